@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilworks.llm import mixing, quality, secrets, sharding
+from veilworks.llm import language, maxscore, mixing, neardup, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_maxscore": maxscore.query,
+        "op2_language_ecoc": language.query,
         "op3_quality_rules": quality.query,
         "op5_secret_scan": secrets.query,
         "op8_virtual_slots": sharding.query,
         "op9_pareto_mix": mixing.query,
+        "op10_bottom_k": neardup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE_SQL, "op9_pareto_mix": mixing.ORACLE_SQL}
+    return {
+        "op1_maxscore": maxscore.ORACLE_SQL,
+        "op3_quality_rules": quality.ORACLE_SQL,
+        "op9_pareto_mix": mixing.ORACLE_SQL,
+        "op10_bottom_k": neardup.ORACLE_SQL,
+    }
