@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilworks.llm import language, maxscore, mixing, neardup, quality, secrets, sharding
+from veilworks.llm import encoding, language, maxscore, mixing, neardup, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_ecoc": language.query,
         "op3_quality_rules": quality.query,
         "op5_secret_scan": secrets.query,
+        "op6_maxplus_encode": encoding.query,
+        "op7_compression_toxicity": toxicity.query,
         "op8_virtual_slots": sharding.query,
         "op9_pareto_mix": mixing.query,
         "op10_bottom_k": neardup.query,
