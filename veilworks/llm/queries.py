@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilworks.llm import encoding, language, maxscore, mixing, neardup, quality, secrets, sharding, toxicity
+from veilworks.llm import encoding, language, maxscore, mixing, neardup, quality, secrets, sharding, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_maxscore": maxscore.query,
         "op2_language_ecoc": language.query,
         "op3_quality_rules": quality.query,
+        "op4_suffix_dedup": substrings.query,
         "op5_secret_scan": secrets.query,
         "op6_maxplus_encode": encoding.query,
         "op7_compression_toxicity": toxicity.query,
