@@ -5,11 +5,13 @@ a class, so that copies cost one row. Inverted lists of the `INDEXED` least valu
 list is first met as a star, every member against its least member, which is linear in the list. Pairs are estimated
 from the `SKETCH` least values of the union of their sketches; those that may reach the threshold are verified on full
 sets, and what holds makes components. Lists whose members still lie in several components are then met whole: such a
-list is dealt into cells of bounded blocks, each block against each, and a cell yields only the pairs of different
-components whose estimate may reach the threshold. Those are verified as well. No list is cut.
+list is dealt into cells of bounded blocks, each block against each. A cell first yields a forest of its most similar
+pairs of different components, which are verified and mostly join what belongs together; then, in what is left, all
+pairs of different components whose estimate may reach the threshold, and those are verified too. No list is cut.
 
 Two documents at the threshold share none of the indexed values with a chance of 0.25 ** INDEXED (under 1e-10), and
-the estimate falls short by `SLACK` in one of 1e5 cases at most; sets of up to `SKETCH` shingles are estimated exactly.
+the estimate falls short by `ERRORS` standard errors in one of 1e6 cases; sets of up to `SKETCH` shingles are compared
+exactly. Sketches hold the upper halves of the 64-bit hashes, lists and sets the hashes.
 
 Cases: null or empty text, or text without words: an empty set, linked with nothing, a component of its own; rows that
 repeat are copies of each other; a null doc_id can't name a component but joins it (alone its component_id is null and
@@ -32,11 +34,16 @@ from veilworks.llm.graph import components
 WIDTH = 5
 #: At least PART / WHOLE of the union.
 PART, WHOLE = 75, 100
-SKETCH = 64
+SKETCH = 256
 INDEXED = 16
-SLACK = 0.25
-#: Classes of a block, and pairs of a hub that one task verifies together.
-BLOCK = 256
+#: Standard errors by which an estimate may fall short.
+ERRORS = 5.0
+#: Classes of a block, pairs that are compared at once, the size of a cell that needs no filter, least values of the
+#: filter and columns of its matrices, and pairs of a hub that one task verifies together.
+BLOCK = 2048
+STRIP = 512
+SMALL = 24
+FILTER, COLUMNS = 64, 4096
 SALT = 400
 
 
@@ -66,53 +73,74 @@ def _name(part: np.ndarray) -> int:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        count, name, sketch = [], [], []
+        count, name, sketch, first = [], [], [], []
         for part in text_sets(batch.column("_t")):
             count.append(len(part))
             name.append(_name(part))
-            sketch.append(part[:SKETCH].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(name, pa.int64()), _binary(sketch)], names=["doc_id", "n_shingles", "node", "sketch"])
+            sketch.append((part[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
+            first.append(part[:INDEXED].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(name, pa.int64()), _binary(sketch), _binary(first)], names=["doc_id", "n_shingles", "node", "sketch", "least"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (the class of equal sets, 0 for none) and sketch of every document."""
+    """doc_id, n_shingles, node (the class of equal sets, 0 for none), sketch and least, the indexed values."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
-    return rows.mapInArrow(_sketch, "doc_id long, n_shingles long, node long, sketch binary")
+    return rows.mapInArrow(_sketch, "doc_id long, n_shingles long, node long, sketch binary, least binary")
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets from the SKETCH least values of the union of their sketches."""
-    union = np.union1d(a, b)[:SKETCH]
-    if not len(union):
-        return 0.0
-    both = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(union, both, assume_unique=True).sum()) / len(union)
+_NONE = np.uint32(0xFFFFFFFF)
 
 
-_LOWEST = PART / WHOLE - SLACK
+def table(rows: list[bytes], width: int = SKETCH, kind: type = np.uint32) -> np.ndarray:
+    """Values as rows, filled up with the greatest value, which no set holds."""
+    out = np.full((len(rows), width), np.iinfo(kind).max, kind)
+    for i, raw in enumerate(rows):
+        part = np.frombuffer(raw, kind)
+        out[i, : len(part)] = part
+    return out
 
 
-def _may_link(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
-    if min(n_a, n_b) * WHOLE < PART * max(n_a, n_b):
-        return False
-    return estimate(a, b) >= (_LOWEST if max(n_a, n_b) > SKETCH else PART / WHOLE - 1e-9)
+def estimates(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of pairs of rows: exact if the sketches hold both sets, else from the SKETCH least values of
+    the union of the sketches."""
+    both = np.concatenate([a, b], 1)
+    both.sort(1)
+    there = both != _NONE
+    twice = (both[:, 1:] == both[:, :-1]) & there[:, 1:]
+    fresh = there.copy()
+    fresh[:, 1:] &= ~twice
+    rank = np.cumsum(fresh, 1, dtype=np.int32)
+    seen = np.where(np.maximum(n_a, n_b) <= SKETCH, 2 * SKETCH, SKETCH)
+    match = (twice & (rank[:, 1:] <= seen[:, None])).sum(1)
+    return match / np.maximum(np.minimum(rank[:, -1], seen), 1)
+
+
+def lowest(n_a: np.ndarray, n_b: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """The estimate that a pair at the threshold still reaches: it samples `size` of the union's values."""
+    at = PART / WHOLE
+    union = np.maximum((n_a + n_b) / (1 + at), 1)
+    error = np.sqrt(at * (1 - at) / size * np.maximum(1 - size / union, 0))
+    return np.where(np.maximum(n_a, n_b) <= size, at - 1e-9, at - ERRORS * error - 1 / size)
+
+
+def promising(score: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Pairs that may link by their estimate and sizes."""
+    return (score >= lowest(n_a, n_b)) & (np.minimum(n_a, n_b) * WHOLE >= PART * np.maximum(n_a, n_b))
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both sketches, those that may link."""
     for batch in batches:
-        a = [np.frombuffer(x, np.uint64) for x in batch.column("sketch_a").to_pylist()]
-        b = [np.frombuffer(x, np.uint64) for x in batch.column("sketch_b").to_pylist()]
-        n_a, n_b = batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()
-        keep = [_may_link(a[i], n_a[i], b[i], n_b[i]) for i in range(len(a))]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        score = estimates(table(batch.column("sketch_a").to_pylist()), n_a, table(batch.column("sketch_b").to_pylist()), n_b)
+        yield batch.select(["a", "b"]).filter(pa.array(promising(score, n_a, n_b), pa.bool_()))
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The indexed values of each class."""
     for batch in batches:
-        parts = [np.frombuffer(x, np.int64)[:INDEXED] for x in batch.column("sketch").to_pylist()]
+        parts = [np.frombuffer(x, np.int64) for x in batch.column("least").to_pylist()]
         sizes = [len(x) for x in parts]
         nodes = np.repeat(batch.column("node").to_numpy(), sizes)
         yield pa.RecordBatch.from_pydict({"value": pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), pa.int64()), "node": pa.array(nodes, pa.int64())})
@@ -177,57 +205,170 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return sets.repartition(n, "hub", "salt").sortWithinPartitions(*order).mapInArrow(_verify, "a long, b long").distinct()
 
 
-def _cell(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Pairs of different components in one cell: a block with itself, or one block with another."""
-    rows = rows.sort_by("node")
-    node, root, side, n = (rows.column(c).to_numpy() for c in ("node", "root", "block", "n_shingles"))
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
-    _, first, second = (k.as_py() for k in key)
-    sizes = np.array([len(x) for x in sets])
-    values, code = np.unique(np.concatenate(sets), return_inverse=True)
-    held = np.zeros((len(sets), len(values)), np.float32)
-    held[np.repeat(np.arange(len(sets)), sizes), code] = 1
-    shared = held @ held.T
-    # a pair that may link shares at least that many retained values
-    least = np.minimum.outer(sizes, sizes) * (_LOWEST * 0.75)
-    far = (root[:, None] != root[None, :]) & (shared >= np.maximum(least, 1)) & (node[:, None] < node[None, :])
-    far &= (side[:, None] == first) & (side[None, :] == second) | (side[:, None] == second) & (side[None, :] == first)
-    a, b = [], []
-    for i, j in zip(*np.nonzero(far), strict=True):
-        if _may_link(sets[i], int(n[i]), sets[j], int(n[j])):
-            a.append(node[i])
-            b.append(node[j])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def rest_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates between components that share a list, from cells of bounded blocks."""
+class Cell:
+    """One cell of a list: a block with itself, or one block with another."""
+
+    def __init__(self, node: np.ndarray, root: np.ndarray, block: np.ndarray, n: np.ndarray, sketch: list[bytes], least: list[bytes], value: int, first: int, second: int):
+        order = np.argsort(node, kind="stable")
+        self.node, self.root, self.block, self.n = node[order], root[order], block[order], n[order]
+        self.sets = table([sketch[i] for i in order])
+        self.least = table([least[i] for i in order], INDEXED, np.uint64)
+        self.own, self.first, self.second = np.array(value, np.int64).view(np.uint64), first, second
+
+    def _far(self, i: int, j: int) -> np.ndarray:
+        """Pairs of rows i to j with all rows: of different components, of the cell's blocks, each once."""
+        side, other = self.block[i:j, None], self.block[None, :]
+        both = (side == self.first) & (other == self.second) | (side == self.second) & (other == self.first)
+        return both & (self.root[i:j, None] != self.root[None, :]) & (self.node[i:j, None] < self.node[None, :])
+
+    def _shared(self) -> np.ndarray | None:
+        """How many of the FILTER least values each two rows share, by products of 0/1 matrices over bounded numbers of
+        the values that occur twice; None for a small cell."""
+        if len(self.sets) <= SMALL:
+            return None
+        values, code, count = np.unique(self.sets[:, :FILTER], return_inverse=True, return_counts=True)
+        code = code.reshape(-1, FILTER)
+        wanted = (count > 1) & (values != _NONE)
+        column = np.cumsum(wanted) - 1
+        at, place = np.nonzero(wanted[code])
+        column = column[code[at, place]]
+        out = np.zeros((len(self.sets), len(self.sets)), np.float32)
+        for low in range(0, int(wanted.sum()), COLUMNS):
+            here = (column >= low) & (column < low + COLUMNS)
+            held = np.zeros((len(self.sets), COLUMNS), np.float32)
+            held[at[here], column[here] - low] = 1
+            out += held @ held.T
+        return out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of candidates and their estimates.
+
+        A pair is looked at only in the list of the least value that both index, so it comes from one list. In cells
+        that are not small, pairs that share too few of their least values go first.
+        """
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        shared = self._shared()
+        for i in range(0, len(self.sets), STRIP):
+            j = min(len(self.sets), i + STRIP)
+            far = self._far(i, j)
+            if shared is not None:
+                far &= shared[i:j] >= np.minimum(np.maximum.outer(self.n[i:j], self.n), FILTER) * lowest(self.n[i:j, None], self.n[None, :], FILTER) - 1e-3
+            x, y = np.nonzero(far)
+            x += i
+            for k in range(0, len(x), STRIP):
+                p, q = x[k : k + STRIP], y[k : k + STRIP]
+                same = (self.least[p][:, :, None] == self.least[q][:, None, :]).any(2)
+                lead = self.least[p, same.argmax(1)]
+                here = same.any(1) & (lead == self.own)
+                p, q = p[here], q[here]
+                score = estimates(self.sets[p], self.n[p], self.sets[q], self.n[q])
+                good = promising(score, self.n[p], self.n[q])
+                out.append((p[good], q[good], score[good]))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        p, q, _ = self.pairs()
+        return self.node[p], self.node[q]
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the candidates a forest of greatest estimates that joins components; fewer pairs than rows."""
+        p, q, score = self.pairs()
+        order = np.argsort(-score, kind="stable")
+        p, q = p[order], q[order]
+        parent = {r: r for r in self.root.tolist()}
+
+        def top(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        keep, left = [], len(parent) - 1
+        for k, (x, y) in enumerate(zip(self.root[p].tolist(), self.root[q].tolist(), strict=True)):
+            x, y = top(x), top(y)
+            if x != y:
+                parent[x] = y
+                keep.append(k)
+                left -= 1
+                if not left:
+                    break
+        return self.node[p[keep]], self.node[q[keep]]
+
+
+def _cells(how: str):
+    """Rows come by cell; a cell, which is bounded, is held at a time."""
+    names = ("node", "root", "block", "n_shingles", "sketch", "least", "value", "first", "second")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+
+        def flush(out: tuple[list, list]) -> None:
+            if not held:
+                return
+            node, root, block, n = (np.concatenate([h[c] for h in held]) for c in range(4))
+            if len(node) > 1:
+                cell = Cell(node, root, block, n, [x for h in held for x in h[4]], [x for h in held for x in h[5]], *(int(held[0][c][0]) for c in (6, 7, 8)))
+                a, b = getattr(cell, how)()
+                out[0].append(a)
+                out[1].append(b)
+            held.clear()
+
+        def made(out: tuple[list, list]) -> pa.RecordBatch:
+            a, b = (np.concatenate([*c, np.zeros(0, np.int64)]) for c in out)
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() if c in ("sketch", "least") else batch.column(c).to_numpy() for c in names]
+            keys = np.stack(columns[6:], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            out: tuple[list, list] = ([], [])
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if held and any(int(held[0][c][0]) != int(columns[c][i]) for c in (6, 7, 8)):
+                    flush(out)
+                held.append([c[i:j] for c in columns])
+            yield made(out)
+        out = ([], [])
+        flush(out)
+        yield made(out)
+
+    return run
+
+
+def rest_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame, how: str) -> DataFrame:
+    """Candidates between components that share a list, from cells of bounded blocks; how: forest or all."""
     rows = postings.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rows.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
     open_ = open_.select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(open_, "value").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("value", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "root", "block")
-    cells = cells.join(classes.select("node", "sketch", "n_shingles"), "node")
-    return cells.groupBy("value", "first", "second").applyInArrow(_cell, "a long, b long").distinct()
+    cells = cells.join(classes.select("node", "sketch", "least", "n_shingles"), "node")
+    n, key = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["value", "first", "second"]
+    return cells.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_cells(how), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between classes, and the label (node, root) of every class that has one. rows: sketches, written."""
-    classes = rows.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    classes = rows.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("least").alias("least"), F.first("n_shingles").alias("n_shingles"))
     classes = written(classes, "classes")
-    values = classes.select("node", "sketch").mapInArrow(_values, "value long, node long")
+    values = classes.select("node", "least").mapInArrow(_values, "value long, node long")
     lists = values.groupBy("value").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     postings = written(values.join(lists.select("value", "hub"), "value"), "postings")
     stars = postings.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     stars = written(_with_sketches(stars, classes), "pairs")
     links = written(verified(stars, docs, classes), "links")
-    labels = components(links)
-    rest = written(rest_pairs(postings.select("value", "node"), labels, classes).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(rest, docs, classes), "links")
-    if more.limit(1).count():
-        links = links.union(more)
-        labels = components(links)
+    labels, tested = components(links), stars
+    for how in ("forest", "all"):
+        rest = written(rest_pairs(postings.select("value", "node"), labels, classes, how).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = written(verified(rest, docs, classes), "links")
+        tested = tested.union(rest)
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = components(links)
     return links, labels
 
 
