@@ -11,9 +11,10 @@ one in about 190, need to be compared. An anchor has a context: what the strings
    it agrees on.
 3. An anchor with more than `GROUP` different contexts is dealt out by its 400-byte strings instead: each context
    names the strings that the anchor stands for, their hashes are counted with partial sums, and those counted twice
-   are covered. So no task gets a group without bound, and no group is cut.
+   come back to the contexts in bounded parts. So no task gets a group without bound, and no group is cut.
 
-Texts travel twice, to the contexts that are wanted of them and to their covered spans, by a key of doc_id and text.
+Texts travel once, by a key of doc_id and text, and meet there both the contexts that are wanted of them and their
+covered spans.
 
 Cases: null text counts as empty; a text shorter than 400 bytes keeps all; rows that repeat are copies and lose all
 that is long enough; an empty table gives an empty result; further columns stay in `removed`.
@@ -22,6 +23,7 @@ that is long enough; an empty table gives an empty result; further columns stay
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,9 @@ from veilworks.llm.suffixsort import deep_shallow, neighbours
 LENGTH = 400
 GRAM = 16
 REACH = LENGTH - GRAM  # bytes before an anchor that a string around it can have
-GROUP = 256
+#: Contexts of an anchor that one task compares (16 MB at most), and repeated strings that meet a context at a time.
+GROUP = 20_000
+PART = 4096
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -83,11 +87,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at[first], grams[at[first]], starts[first], starts[np.append(first[1:] - 1, len(at) - 1)]
 
 
-_ANCHORS = "rid long, pos int, lead int, tail int, low int, high int, anchor long, context long"
+_ANCHORS = "rid long, pos int, low int, high int, anchor long, context long"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lead, tail: bytes of the context before and from the anchor on; low, high: starts of its strings, before it."""
+    """low, high: how far before the anchor its first and its last string start. What they span is its context."""
     for batch in batches:
         rid = batch.column("rid").to_numpy()
         data, offsets = text_buffers(batch.column("_t"))
@@ -96,20 +100,18 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = data[offsets[i] : offsets[j]]
             at, anchor, first, last = anchors(part, local)
             doc = np.searchsorted(local, at, side="right") - 1
-            lead = np.minimum(at - local[doc], REACH)
-            tail = np.minimum(local[doc + 1] - at, LENGTH)
             raw = part.tobytes()
-            context = [xxhash.xxh3_64_intdigest(raw[p - a : p + b], seed=a) for p, a, b in zip(at.tolist(), lead.tolist(), tail.tolist(), strict=True)]
+            context = [xxhash.xxh3_64_intdigest(raw[a : b + LENGTH], seed=p - a) for p, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rid[i + doc], pa.int64()), pa.array(at - local[doc], pa.int32()), pa.array(lead, pa.int32()), pa.array(tail, pa.int32()),
-                    pa.array(at - first, pa.int32()), pa.array(at - last, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(np.array(context, np.uint64).view(np.int64)),
+                    pa.array(rid[i + doc], pa.int64()), pa.array(at - local[doc], pa.int32()), pa.array(at - first, pa.int32()), pa.array(at - last, pa.int32()),
+                    pa.array(anchor.view(np.int64)), pa.array(np.array(context, np.uint64).view(np.int64)),
                 ],
-                names=["rid", "pos", "lead", "tail", "low", "high", "anchor", "context"],
+                names=["rid", "pos", "low", "high", "anchor", "context"],
             )
 
 
-_CONTEXTS = "anchor long, hot boolean, known boolean, rid long, pos int, low int, high int, before binary, after binary"
+_CONTEXTS = "anchor long, known boolean, rid long, pos int, low int, high int, before binary, after binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,32 +125,66 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = data[offsets[i] : offsets[i + 1]].tobytes()
             for w in each:
                 p = w["pos"]
-                rows.append((w["anchor"], w["hot"], w["known"], rid[i], p, w["low"], w["high"], text[p - w["lead"] : p][::-1], text[p : p + w["tail"]]))
-        names = ["anchor", "hot", "known", "rid", "pos", "low", "high", "before", "after"]
+                rows.append((w["anchor"], w["known"], rid[i], p, w["low"], w["high"], text[p - w["low"] : p][::-1], text[p : p - w["high"] + LENGTH]))
+        names = ["anchor", "known", "rid", "pos", "low", "high", "before", "after"]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-        kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def agreement(strings: list[bytes]) -> np.ndarray:
-    """Common prefix of every two strings of a bounded group, from those of neighbours in sorted order."""
-    order = deep_shallow(strings)
-    near = np.array(neighbours(strings, order))
-    n = len(strings)
-    out = np.zeros((n, n), np.int64)
-    place = np.array(order)
-    for i in range(n - 1):
-        run = np.minimum.accumulate(near[i + 1 :])
-        out[place[i], place[i + 1 :]] = run
-        out[place[i + 1 :], place[i]] = run
+def _least(near: list[int]) -> list[np.ndarray]:
+    """Minima of 1, 2, 4, ... neighbours, so that the common prefix of any two places in sorted order is read off."""
+    out = [np.array(near)]
+    while 2 ** len(out) <= len(near):
+        half = 2 ** (len(out) - 1)
+        out.append(np.minimum(out[-1][:-half], out[-1][half:]))
     return out
 
 
-def covered(before: list[bytes], after: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """How far before and after the anchor each context is covered by some other; (0, 0): not at all."""
-    left, right = agreement(before), agreement(after)
-    enough = left + right >= LENGTH
-    return np.where(enough, left, 0).max(1), np.where(enough, right, 0).max(1)
+def covered(before: list[bytes], after: list[bytes]) -> tuple[list[int], list[int]]:
+    """How far before and after the anchor each context is covered by some other; 0 and 0: not at all.
+
+    Contexts are joined in order of falling agreement after the anchor, as the branches of their suffix tree are. In
+    each set those nearest to each other in the order of what lies before the anchor agree most there, so it is enough
+    to look at the neighbours of what is added to a set, and the smaller set is added to the larger.
+    """
+    n = len(before)
+    ahead, back = deep_shallow(after), deep_shallow(before)
+    right, minima = neighbours(after, ahead), _least(neighbours(before, back))
+    rank = [0] * n
+    for i, x in enumerate(back):
+        rank[x] = i
+    left_most, right_most = [0] * n, [0] * n
+    held: list[list[int]] = [[rank[x]] for x in ahead]  # ranks of the set that starts at a place of `ahead`
+    top = list(range(n))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for i in sorted(range(1, n), key=lambda i: -right[i]):
+        a, b, depth = find(i - 1), find(i), right[i]
+        if len(held[a]) < len(held[b]):
+            a, b = b, a
+        large, small = held[a], held[b]
+        if depth >= GRAM and depth + REACH >= LENGTH:
+            for r in small:
+                at = bisect_left(large, r)
+                for other in large[max(0, at - 1) : at + 1]:
+                    low, high = min(r, other) + 1, max(r, other) + 1
+                    k = (high - low).bit_length() - 1
+                    shared = int(min(minima[k][low], minima[k][high - 2**k]))
+                    if shared + depth >= LENGTH:
+                        for x in (back[r], back[other]):
+                            left_most[x], right_most[x] = max(left_most[x], shared), max(right_most[x], depth)
+        held[a] = sorted(large + small) if len(small) > 8 else large
+        if held[a] is large:
+            for r in small:
+                insort(large, r)
+        held[b], top[b] = [], a
+    return left_most, right_most
 
 
 _SPANS = "rid long, start int, stop int"
@@ -169,8 +205,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (known, rid, pos, _, _) in enumerate(rows):
             if not known and right[k]:
                 out[0].append(rid)
-                out[1].append(pos - int(left[k]))
-                out[2].append(pos + int(right[k]))
+                out[1].append(pos - left[k])
+                out[2].append(pos + right[k])
 
     for batch in batches:
         out: tuple[list[int], list[int], list[int]] = ([], [], [])
@@ -186,53 +222,75 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _spans(*out)
 
 
-_STRINGS = "anchor long, string long, rid long, start int, known boolean"
+def _starts(before: bytes, after: bytes, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts, in the context, of the strings that an anchor stands for, and their hashes."""
+    data = np.frombuffer(before[::-1] + after, np.uint8)
+    starts = np.arange(len(before) - low, len(before) - high + 1)
+    if not len(starts):
+        return starts, np.zeros(0, np.int64)
+    return starts, span_hash(prefix_hash(data), starts, starts + LENGTH).view(np.int64)
+
+
+_STRINGS = "anchor long, string long, n long"
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings that the anchors of hot groups stand for."""
+    """The strings of hot anchors' contexts, counted within the batch."""
     for batch in batches:
-        parts: list[list[np.ndarray]] = [[], [], [], [], []]
-        columns = (batch.column(c).to_pylist() for c in ("anchor", "known", "rid", "pos", "low", "high", "before", "after"))
-        for anchor, known, rid, pos, low, high, before, after in zip(*columns, strict=True):
-            data = np.frombuffer(before[::-1] + after, np.uint8)
-            starts = np.arange(len(before) - low, len(before) - high + 1)
-            if not len(starts):
-                continue
-            found = span_hash(prefix_hash(data), starts, starts + LENGTH)
-            values = (np.full(len(starts), anchor, np.int64), found.view(np.int64), np.full(len(starts), rid, np.int64), starts - len(before) + pos, np.full(len(starts), known, bool))
-            for p, x in zip(parts, values, strict=True):
-                p.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-        cols = [pa.array(np.concatenate(p) if p else np.zeros(0, np.int64), k) if k != pa.bool_() else pa.array(np.concatenate(p) if p else np.zeros(0, bool)) for p, k in zip(parts, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(cols, names=["anchor", "string", "rid", "start", "known"])
+        held: list[np.ndarray] = []
+        for anchor, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "before", "after", "low", "high")), strict=True):
+            _, found = _starts(*row)
+            held.append(np.stack([np.full(len(found), anchor, np.int64), found], 1))
+        pairs, n = np.unique(np.concatenate([*held, np.zeros((0, 2), np.int64)]), axis=0, return_counts=True)
+        yield pa.RecordBatch.from_pydict({"anchor": pa.array(pairs[:, 0], pa.int64()), "string": pa.array(pairs[:, 1], pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def _hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts, each with a bounded part of its anchor's strings that occur twice."""
+    for batch in batches:
+        out: tuple[list[int], list[int], list[int]] = ([], [], [])
+        twice = batch.column("twice")
+        for i, (rid, pos, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rid", "pos", "before", "after", "low", "high")), strict=True)):
+            starts, found = _starts(*row)
+            hit = starts[np.isin(found, twice[i].values.to_numpy())]
+            if len(hit):
+                out[0].append(rid)
+                out[1].append(pos - len(row[0]) + int(hit[0]))
+                out[2].append(pos - len(row[0]) + int(hit[-1]) + LENGTH)
+        yield _spans(*out)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("rid", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("_t")))
 
 
-def spans(keyed: DataFrame) -> DataFrame:
-    """rid, start and stop of covered stretches; they may overlap. keyed: rid and _t."""
-    spark = keyed.sparkSession
+def spans(texts: DataFrame) -> DataFrame:
+    """rid, start and stop of covered stretches; they may overlap. texts: rid, _t and whatever the caller joins by rid.
+
+    The plan meets the texts by rid in several places with the same columns, so one shuffle of them serves all.
+    """
+    spark = texts.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    long = keyed.filter(F.octet_length("_t") >= LENGTH).select("rid", "_t")
-    found = written(long.mapInArrow(_find, _ANCHORS), "anchors")
-    one = F.min(F.struct("rid", "pos", "lead", "tail", "low", "high"))
-    contexts = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), one.alias("one"))
-    contexts = written(contexts, "contexts")
+    found = written(texts.filter(F.octet_length("_t") >= LENGTH).select("rid", "_t").mapInArrow(_find, _ANCHORS), "anchors")
+    one = F.min(F.struct("rid", "pos", "low", "high"))
+    contexts = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), one.alias("one")).filter("one is not null")
     again = contexts.filter("n > 1").select("anchor", "context")
-    whole = found.join(again, ["anchor", "context"]).filter(f"lead + tail >= {LENGTH}").select("rid", (F.col("pos") - F.col("lead")).alias("start"), (F.col("pos") + F.col("tail")).alias("stop"))
-    groups = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("anchor", (F.col("m") > GROUP).alias("hot"))
-    wanted = contexts.join(groups, "anchor").select("one.rid", F.struct("anchor", "hot", (F.col("n") > 1).alias("known"), "one.pos", "one.lead", "one.tail", "one.low", "one.high").alias("w"))
-    wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"))  # of one text
-    cut = written(long.join(wanted, "rid").mapInArrow(_cut, _CONTEXTS), "cut")
-    cool = cut.filter("not hot").select("anchor", "known", "rid", "pos", "before", "after").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare, _SPANS)
-    strings = written(cut.filter("hot").mapInArrow(_strings, _STRINGS), "strings")
-    twice = strings.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "string")
-    hot = strings.filter("not known").join(twice, ["anchor", "string"]).groupBy("rid", "anchor").agg(F.min("start").alias("start"), (F.max("start") + LENGTH).cast("int").alias("stop")).select("rid", "start", "stop")
-    return whole.union(cool).union(hot).distinct()
+    whole = found.join(again, ["anchor", "context"]).select("rid", (F.col("pos") - F.col("low")).alias("start"), (F.col("pos") - F.col("high") + LENGTH).alias("stop"))
+    groups = contexts.groupBy("anchor").agg(F.count("one").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("anchor", (F.col("m") > GROUP).alias("hot"))
+    wanted = contexts.join(groups, "anchor").select("one.rid", "hot", F.struct("anchor", (F.col("n") > 1).alias("known"), "one.pos", "one.low", "one.high").alias("w"))
+
+    def cut(hot: bool) -> DataFrame:
+        lists = wanted.filter(F.col("hot") == F.lit(hot)).groupBy("rid").agg(F.collect_list("w").alias("wanted"))  # of one text
+        return texts.join(lists, "rid").mapInArrow(_cut, _CONTEXTS)
+
+    cool = cut(False).select("anchor", "known", "rid", "pos", "before", "after").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare, _SPANS)
+    strings = cut(True).mapInArrow(_strings, _STRINGS).groupBy("anchor", "string").agg(F.sum("n").alias("n")).filter("n > 1")
+    part = F.pmod(F.col("string"), F.ceil(F.col("m") / PART))
+    sizes = strings.groupBy("anchor").agg(F.count("n").alias("m"))
+    twice = strings.join(sizes, "anchor").groupBy("anchor", part.alias("part")).agg(F.collect_list("string").alias("twice")).select("anchor", "twice")
+    hot = cut(True).filter("not known").join(twice, "anchor").mapInArrow(_hit, _SPANS)
+    return whole.union(cool).union(hot)
 
 
 def _merge(pairs: list[dict]) -> list[tuple[int, int]]:
@@ -263,9 +321,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns of `keep`, _t and spans, a list of (start, stop) in bytes, null for texts that keep all."""
-    keyed = _keyed(docs)
-    lists = spans(keyed).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # of one text
-    return keyed.join(lists, "rid", "left").select(*[F.col(f"`{c}`") for c in keep], "_t", "spans")
+    names = [f"k{i}" for i in range(len(keep))]
+    texts = _keyed(docs).select("rid", "_t", *[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)])
+    lists = spans(texts).groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # of one text
+    return texts.join(lists, "rid", "left").select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "_t", "spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
