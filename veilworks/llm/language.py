@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from veilworks.llm.common import _LOWER, documents, held_out, small_batches, slabs, text_buffers, written
 
 SAMPLE = 1500
+#: The commonest labels, at most so many, are learned.
+LANGUAGES = 500
 BUCKETS = 1 << 16
 GRAM = 3
 SCALES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
@@ -105,7 +107,8 @@ def margins(column: pa.Array, weights: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     """text, lang and fold (0 to 3; the last tests) of about `size` rows of each language that are not held out."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 4, 2))
-    rates = known.groupBy("lang").agg((F.lit(float(size)) / F.count(F.lit(1))).alias("rate"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    rates = F.broadcast(counts.select("lang", (F.lit(float(size)) / F.col("n")).alias("rate")))  # at most LANGUAGES rows
     draw = F.crc32(F.concat(F.lit("fold:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = known.select("lang", "text", draw.alias("draw")).join(rates, "lang")
     return rows.filter(F.col("draw") < F.col("rate") * float(1 << 32)).select("text", "lang", (F.col("draw") % 4).cast("int").alias("fold"))
