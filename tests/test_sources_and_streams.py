@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,9 +78,9 @@ def test_session_stream(spark, tmp_path):
     out = str(tmp_path / "out")
 
     def run():
-        """All that is there. A timeout by processing time keeps a query busy, so it is asked to end."""
+        """All that is there, with the state that an earlier run left."""
         stream = spark.readStream.schema(schema).parquet(str(src))
-        fakes = sessions.pseudonymize_stream(stream, seed="5").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+        fakes = sessions.pseudonymize_stream(stream, seed="5", idle=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
         assert fakes.trigger(availableNow=True).start().awaitTermination(120)
 
     run()
@@ -100,3 +102,19 @@ def test_window_stream(spark, tmp_path):
     finally:
         q.stop()
     assert got == [(0, 2, 6.0), (1, 1, 9.0)]
+
+
+def test_idle_sessions_end(spark, tmp_path):
+    schema = "session string, turn int, text string"
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    spark.createDataFrame([("a", 1, "PESEL 44051401359")], schema).coalesce(1).write.parquet(str(src))
+    stream = spark.readStream.schema(schema).parquet(str(src))
+    q = sessions.pseudonymize_stream(stream, seed="5", idle=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        deadline = time.time() + 90
+        kept = lambda: [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+        while time.time() < deadline and not (1 in kept() and kept()[-1] == 0):
+            time.sleep(0.5)
+        assert 1 in kept() and kept()[-1] == 0
+    finally:
+        q.stop()

@@ -51,7 +51,7 @@ def system_text(messages: DataFrame) -> DataFrame:
 
 def counts_by_type(messages: DataFrame, spans: str = "entities") -> DataFrame:
     """session, entity_type and n over the whole history."""
-    return messages.select("session", F.explode(spans).alias("x")).groupBy("session", F.col("x.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
+    return messages.select("session", F.explode_outer(spans).alias("x")).filter("x is not null").groupBy("session", F.col("x.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pseudonymize(messages: DataFrame, seed: str = "0", **options: object) -> tuple[DataFrame, DataFrame]:

@@ -219,4 +219,5 @@ def canonical(label: Column) -> Column:
 
 
 def exploded(df: DataFrame, *keep: str, spans: str = "entities") -> DataFrame:
-    return df.select(*keep, F.posexplode(spans).alias("span_id", "x")).select(*keep, "span_id", "x.*")
+    """Rows of spans. An inner explode would have its array tested, and so detected, once more in a filter below it."""
+    return df.select(*keep, F.posexplode_outer(spans).alias("span_id", "x")).filter("span_id is not null").select(*keep, "span_id", "x.*")

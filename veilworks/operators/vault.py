@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from veilworks.functions.declension import decline, forms, pattern_of
 from veilworks.functions.surface import NAME_TYPES, mapping_key
 from veilworks.operators.generate import mint
+from veilworks.sources.shared import written
 
 
 def title_words(text: str) -> str:
@@ -140,7 +141,7 @@ STATE = "session string, vault string"
 
 def mentions(messages: DataFrame, spans: str = "entities") -> DataFrame:
     """Rows for `run`, from (session, turn, spans); ord is the order in the session."""
-    x = messages.select(F.col("session").cast("string").alias("session"), "turn", F.posexplode(spans).alias("i", "x"))
+    x = messages.select(F.col("session").cast("string").alias("session"), "turn", F.posexplode_outer(spans).alias("i", "x")).filter("i is not null")
     ordinal = (F.col("turn").cast("long") * F.lit(1 << 20) + F.col("i")).alias("ord")
     return x.select("session", ordinal, "x.entity_type", mapping_key(F.col("x.entity_type"), F.col("x.text"), F.col("x.lemma")).alias("key"), "x.text", "x.lemma", "x.case", F.col("x.metadata.gender").alias("gender"))
 
@@ -165,7 +166,7 @@ def run(rows: DataFrame, seed: str = "0") -> tuple[DataFrame, DataFrame]:
         return pd.DataFrame({"session": [vault.session] * (len(made) + 1), "ord": [o for _, o, _ in made] + [-1], "fake": [f for _, _, f in made] + [vault.dumps()]})
 
     states.__annotations__ = {"pdf": pd.DataFrame, "return": pd.DataFrame}
-    both = rows.groupBy("session").applyInPandas(states, MAPPED)
+    both = written(rows.groupBy("session").applyInPandas(states, MAPPED), "vault")  # read for fakes and for states
     return both.filter("ord >= 0"), both.filter("ord < 0").select("session", F.col("fake").alias("vault"))
 
 

@@ -15,8 +15,12 @@ from veilworks.operators.vault import MAPPED, Vault, mentions, replay
 IDLE_SECONDS = 1800
 
 
-def map_stream(rows: DataFrame, seed: str = "0", idle: int = IDLE_SECONDS) -> DataFrame:
-    """Mentions (as of vault.mentions) with their fakes. A session's state lives while it has mentions, reads included."""
+def map_stream(rows: DataFrame, seed: str = "0", idle: int | None = IDLE_SECONDS) -> DataFrame:
+    """Mentions (as of vault.mentions) with their fakes. A session's state lives while it has mentions, reads included.
+
+    With idle None it never expires; a query that waits for expiry is never out of work, so it has to be stopped.
+    """
+    ends = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def step(key: tuple[str], pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -26,15 +30,16 @@ def map_stream(rows: DataFrame, seed: str = "0", idle: int = IDLE_SECONDS) -> Da
         held = [p for p in pdfs if len(p)]
         made = replay(vault, pd.concat(held).sort_values("ord").to_dict("records")) if held else []
         state.update((vault.dumps(),))
-        state.setTimeoutDuration(idle * 1000)
+        if idle is not None:
+            state.setTimeoutDuration(idle * 1000)
         yield pd.DataFrame(made, columns=["session", "ord", "fake"])
 
-    return rows.groupBy("session").applyInPandasWithState(step, MAPPED, "vault string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("session").applyInPandasWithState(step, MAPPED, "vault string", "append", ends)
 
 
-def pseudonymize_stream(messages: DataFrame, seed: str = "0", **options: object) -> DataFrame:
+def pseudonymize_stream(messages: DataFrame, seed: str = "0", idle: int | None = IDLE_SECONDS, **options: object) -> DataFrame:
     """A stream of (session, turn, text) to the fakes of its mentions."""
-    return map_stream(mentions(detect(messages, **options)), seed)
+    return map_stream(mentions(detect(messages, **options)), seed, idle)
 
 
 def latency_windows(events: DataFrame, width: str = "1 minute", late: str = "10 minutes", ts: str = "ts", channel: str = "channel", ms: str = "ms") -> DataFrame:
