@@ -48,6 +48,7 @@ class Recognizer:
     keep: Callable[[Column], Column] | None = None
 
 
+# The patterns of addresses, here and in the table below those of all types.
 _W = r"[A-Za-zĄĆĘŁŃÓŚŹŻąćęłńóśźż.\-]+"
 _CITY_WORD = r"[A-ZĄĆĘŁŃÓŚŹŻ][A-Za-ząćęłńóśźżĄĆĘŁŃÓŚŹŻ\-]+"
 _POSTAL = r"\d{2}-\d{3}"
