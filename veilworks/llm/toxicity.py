@@ -37,9 +37,9 @@ TOXIC_BYTES, ORDINARY_BYTES, HARD_BYTES = 16384, 300_000, 100_000
 #: Lengths of word beginnings, and the log of the chance at which one counts as toxic.
 BEGIN, CHANCE = range(3, 11), -12.0
 #: Gains below this don't count; sums above MOST count as MOST.
-GAIN, MOST = 2, 20
+GAIN, MOST = 5, 20
 LIMIT = 0.7
-MARK = b"\x01\x02\x03"
+MARK = b"\x01\x02\x03\x04\x05"
 EDGES = ".,;:!?\"'()[]{}#*$%&|<>"
 CACHE = 400_000
 
