@@ -150,6 +150,7 @@ def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLANTED = f"""
 n AS (SELECT doc_id, lpad(CAST(doc_id * 7919 % 100000000 AS VARCHAR), 8, '0') AS e, '44051' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') AS t FROM documents),
 v AS (SELECT doc_id, e || CAST({weighted_sql("e", ids.REGON9_WEIGHTS)} % 11 % 10 AS VARCHAR) AS regon, t || CAST((10 - {weighted_sql("t", ids.PESEL_WEIGHTS)} % 10) % 10 AS VARCHAR) AS pesel FROM n)"""
+_SURE, _LEAST = ("PESEL", "REGON", "DATE_TIME"), 0.55
 
 
 @query(
@@ -161,8 +162,8 @@ UNION ALL SELECT doc_id, 'DATE_TIME', 56, 66, 0.8, '12.01.2024' FROM v"""
 )
 def detect_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checksum, label in front and threshold decide the score; a bad number without a label stays below others."""
-    found = sp.exploded(sp.detect(_planted(spark, sf_dir).select("doc_id", F.substring("text", 1, 67).alias("text"))), "doc_id")
-    return found.filter(F.col("entity_type").isin("PESEL", "REGON", "DATE_TIME") & (F.col("score") > 0.55)).select("doc_id", "entity_type", F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.round("score", 2).alias("score"), "text")
+    found = sp.exploded(sp.detect(_planted(spark, sf_dir).select("doc_id", "text")), "doc_id")
+    return found.filter(F.col("entity_type").isin(*_SURE) & (F.col("score") > _LEAST)).select("doc_id", "entity_type", F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.round("score", 2).alias("score"), "text")
 
 
 @query(
@@ -171,9 +172,27 @@ WITH {_PLANTED}
 SELECT v.doc_id, 'PESEL [PESEL] oraz REGON [REGON] i 000000001 dnia [DATA]. ' || substr(d.text, 1, 50) AS masked FROM v JOIN documents d USING (doc_id)"""
 )
 def mask_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _planted(spark, sf_dir).select("doc_id", F.col("text").substr(F.lit(1), F.lit(118)).alias("text"))
-    spans = F.expr("""array(named_struct('entity_type', 'PESEL', 'start', 6, 'end', 17), named_struct('entity_type', 'REGON', 'start', 29, 'end', 38), named_struct('entity_type', 'DATE_TIME', 'start', 56, 'end', 66))""")
-    return rows.withColumn("s", spans).select("doc_id", rewrite.mask("text", "s").alias("masked"))
+    """Detected and masked in the whole text; the SQL states the lead-in and 50 characters. mask_documents has the rest."""
+    rows = sp.detect(_planted(spark, sf_dir).select("doc_id", "text"), mode="merge")
+    sure = F.filter("entities", lambda x: x["entity_type"].isin(*_SURE) & (x["score"] > _LEAST))
+    masked = rows.withColumn("s", sure).select("doc_id", rewrite.mask("text", "s").alias("masked"))
+    lead = len("PESEL [PESEL] oraz REGON [REGON] i 000000001 dnia [DATA]. ")
+    return masked.select("doc_id", F.substring("masked", 1, lead + 50).alias("masked"))
+
+
+@query()
+def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of every recognizer in the whole planted text. SQL has no such patterns; a test has brute force."""
+    found = sp.exploded(sp.detect(_planted(spark, sf_dir).select("doc_id", "text")), "doc_id")
+    return found.select("doc_id", "entity_type", F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.round("score", 2).alias("score"), "text")
+
+
+@query()
+def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole planted text with every span of every recognizer masked."""
+    rows = sp.detect(_planted(spark, sf_dir).select("doc_id", "text"), mode="merge")
+    named = F.transform("entities", lambda x: F.struct(sp.canonical(x["entity_type"]).alias("entity_type"), x["start"].alias("start"), x["end"].alias("end")))
+    return rows.withColumn("s", named).select("doc_id", rewrite.mask("text", "s").alias("masked"))
 
 
 # ---------------------------------------------------------------- overlaps, thresholds, windows
