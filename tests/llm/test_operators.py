@@ -78,6 +78,21 @@ def test_maxscore(spark, monkeypatch, big):
     assert maxscore.search(coded.limit(0), coded).count() == 0 and maxscore.search(coded, coded.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", [np.int64, np.float32])
+def test_maxscore_one_sign(kind):
+    shard = maxscore.Shard(np.array([1, 2]), np.array([[1, 5], [1, 1]]), kind)
+    ids, scores = shard.search(np.array([0, -1], kind), 9, 2)
+    assert ids.tolist() == [2, 1] and scores.tolist() == [-1, -5]
+    rng = np.random.default_rng(5)
+    for sign in (1, -1):  # blocks of one sign, and queries with zero weights
+        docs = sign * rng.integers(0, 4, (90, 6))
+        shard = maxscore.Shard(np.arange(90), docs, kind, 7)
+        for query in rng.integers(-2, 3, (40, 6)) * (rng.random((40, 6)) < 0.6):
+            best = sorted((-int(x @ query), i) for i, x in enumerate(docs) if i != 3)[:5]
+            ids, scores = shard.search(query.astype(kind), 3, 5)
+            assert [(-int(s), i) for i, s in zip(ids.tolist(), scores, strict=True)] == best
+
+
 # ---------------------------------------------------------------- 2
 
 

@@ -50,7 +50,7 @@ class Shard:
         for first, terms, low, high in self.blocks:
             bound = np.maximum(np.maximum(query * low, query * high), 0)
             order = np.argsort(-bound, kind="stable")
-            order = order[: max(1, int((query[order] != 0).sum()))] if np.any(query) else order[:1]
+            order = order[query[order] != 0] if np.any(query) else order[:1]  # a term of bound 0 may still lower scores
             rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what terms from here on can add
             full = len(places) >= k
             needed = scores[k - 1] if full else None
