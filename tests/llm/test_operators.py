@@ -413,6 +413,17 @@ def test_near_duplicate_edges(spark):
     assert neardup.deduplicated(empty(spark)).count() == 0
 
 
+def test_near_duplicate_ids(spark):
+    """Several null ids, and one id with texts of different classes."""
+    rng = random.Random(3)
+    near, other, third = prose(90, rng), prose(70, rng), prose(50, rng)
+    lone = [(None, prose(40, rng)) for _ in range(6)]
+    rows = [(7, near), (7, other), (7, other), (7, other.replace("word", "WORD") + " "), (9, near + " tail"), (8, third), (8, edited(other, 1, rng)), *lone, *lone, (None, other + " end"), (None, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, size string")
+    got = Counter((r.doc_id, r.text) for r in neardup.keep_one(docs).collect())
+    assert got == Counter([(7, near), (7, other), (8, third), *lone, (None, None), (3, "")])
+
+
 # ---------------------------------------------------------------- all
 
 

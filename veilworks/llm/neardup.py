@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilworks.llm.common import documents, shingles, slabs, small_batches, text_buffers, written
@@ -79,14 +79,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name.append(_name(part))
             sketch.append((part[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
             first.append(part[:INDEXED].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(name, pa.int64()), _binary(sketch), _binary(first)], names=["doc_id", "n_shingles", "node", "sketch", "least"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(count, pa.int64()), pa.array(name, pa.int64()), _binary(sketch), _binary(first)], names=["doc_id", "text_key", "n_shingles", "node", "sketch", "least"])
+
+
+def text_key() -> Column:
+    """Length and hash of the text, which name it among rows of one doc_id."""
+    return F.struct(F.coalesce(F.length("text"), F.lit(-1)).alias("length"), F.xxhash64("text").alias("hash"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (the class of equal sets, 0 for none), sketch and least, the indexed values."""
+    """doc_id, text_key, n_shingles, node (the class of equal sets, 0 for none), sketch and least, the indexed values."""
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
-    return rows.mapInArrow(_sketch, "doc_id long, n_shingles long, node long, sketch binary, least binary")
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("_t"))
+    return rows.mapInArrow(_sketch, "doc_id long, text_key struct<length: int, hash: long>, n_shingles long, node long, sketch binary, least binary")
 
 
 _NONE = np.uint32(0xFFFFFFFF)
@@ -373,29 +378,30 @@ def link(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node, component_id and kept of every document."""
+    """doc_id, text_key, n_shingles, node, component_id and kept of every document."""
     rows = written(sketches(docs), "sketches")
     _, labels = link(docs.select("doc_id", "text"), rows)
-    rows = rows.select("doc_id", "n_shingles", "node")
+    rows = rows.select("doc_id", "text_key", "n_shingles", "node")
     rooted = rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.filter("root <> 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rooted.join(names, "root", "left")
     component = F.when(F.col("root") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", "node", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_key", "n_shingles", "node", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are their component's first; of rows with the same doc_id and text one stays."""
+    """The rows of docs that are their component's first; of rows with the same doc_id and class one stays, that of the
+    shortest text. Rows with the same doc_id, or none, and different texts are told apart by their texts."""
     columns = docs.columns
-    verdict = deduplicated(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", "text")
-    kept = held.join(verdict, held["doc_id"].eqNullSafe(verdict["_id"]))
-    key = F.struct(F.coalesce(F.length("text"), F.lit(-1)), F.xxhash64("text"))
-    # only rows that share a doc_id need a choice
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumnRenamed("doc_id", "_again")
-    kept = kept.join(again, kept["doc_id"].eqNullSafe(again["_again"]), "left")
-    single = kept.filter("_n is null").select("_row.*")
-    several = kept.filter("_n is not null").groupBy("doc_id", "_node").agg(F.min_by("_row", key).alias("_row")).select("_row.*")
+    texts = deduplicated(docs).filter("kept").groupBy("doc_id", "node", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    chosen = texts.groupBy("doc_id", "node").agg(F.min(F.struct("text_key", "n")).alias("x"))
+    verdict = chosen.select(F.col("doc_id").alias("_id"), "x.text_key.length", "x.text_key.hash", F.col("x.n").alias("_n"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", text_key().alias("_key"))
+    same = held["doc_id"].eqNullSafe(verdict["_id"]) & (held["_key.length"] == verdict["length"]) & (held["_key.hash"] == verdict["hash"])
+    kept = held.join(verdict, same)
+    # only rows that repeat need a choice
+    single = kept.filter("_n = 1").select("_row.*")
+    several = kept.filter("_n > 1").groupBy("doc_id", "_key").agg(F.first("_row").alias("_row")).select("_row.*")
     return single.unionByName(several)
 
 
