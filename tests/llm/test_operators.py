@@ -122,6 +122,13 @@ def test_language(spark):
     assert language.predict(docs.limit(0), model, "doc_id").count() == 0
 
 
+def test_unlabelled(spark):
+    rows = [(1, "thorn wick", None), (2, "12 34 !", None), (3, None, None), (4, "é", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = language.accepted(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 4}
+
+
 # ---------------------------------------------------------------- 3
 
 

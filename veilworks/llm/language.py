@@ -204,9 +204,12 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """The rows of docs whose text has a language; those that are `und` go."""
+    """The rows of docs whose text has a letter, and so a language; letterless texts go, whether or not any label was
+    learned."""
     columns = docs.columns
     model = fit(docs, size)
+    if not model.languages:
+        return docs.filter(r"text rlike r'\p{L}'")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text")
     return predict(row, model, "_row").filter(F.col("lang_pred") != UNKNOWN).select("_row.*")
 
