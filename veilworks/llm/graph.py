@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilworks.llm.common import written
+from veilworks.llm.common import drop, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round, a node's label becomes the least among its own and its neighbours' and then that label's own label, so
     labels travel ever longer ways. Counts are partial before each shuffle, so a node with many links is no burden.
-    A round is written to the shared folder before the next one reads it.
+    A round is written to the shared folder before the next one reads it, and then the one before goes.
     """
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
@@ -26,10 +26,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         jump = new.select(F.col("node").alias("via"), F.col("root").alias("beyond"))
         new = new.join(jump, F.col("root") == F.col("via"), "left").select("node", "was", F.least("root", F.coalesce("beyond", "root")).alias("root"))
         new = written(new, "labels")
-        done = new.filter(F.col("was") != F.col("root")).limit(1).count() == 0
-        labels = new.select("node", "root")
-        if done:
+        drop(labels)
+        labels = new
+        if new.filter(F.col("was") != F.col("root")).limit(1).count() == 0:
             break
     else:
         raise RuntimeError("components did not settle")
-    return labels
+    drop(both)
+    return labels.select("node", "root")

@@ -1,7 +1,9 @@
 """MinHash near-deduplication by bottom-k sketches from one hash function.
 
 A document's set holds the hashes of its five-word shingles; its sketch is the `SKETCH` least of them. Equal sets form
-a class, so that copies cost one row. Inverted lists of the `INDEXED` least values of each class give candidates. Each
+a class, so that copies cost one row. Inverted lists of the `INDEXED` least values of each class, less its `COMMON`
+commonest ones, give candidates: classes that share more than `COMMON` values share one that both keep, as rarity is
+the same order for both. So a line or passage that many documents hold makes no list of its own. Each
 list is first met as a star, every member against its least member, which is linear in the list. Pairs are estimated
 from the `SKETCH` least values of the union of their sketches; those that may reach the threshold are verified on full
 sets, and what holds makes components. Lists whose members still lie in several components are then met whole: such a
@@ -9,9 +11,12 @@ list is dealt into cells of bounded blocks, each block against each. A cell firs
 pairs of different components, which are verified and mostly join what belongs together; then, in what is left, all
 pairs of different components whose estimate may reach the threshold, and those are verified too. No list is cut.
 
-Two documents at the threshold share none of the indexed values with a chance of 0.25 ** INDEXED (under 1e-10), and
-the estimate falls short by `ERRORS` standard errors in one of 1e6 cases; sets of up to `SKETCH` shingles are compared
-exactly. Sketches hold the upper halves of the 64-bit hashes, lists and sets the hashes.
+Two documents at the threshold share at most `COMMON` of their `INDEXED` least values with a chance of 4e-7, and the
+estimate falls short by `ERRORS` standard errors as seldom; sets of up to `SKETCH` shingles are compared exactly.
+Sketches hold the upper halves of the 64-bit hashes, lists and sets the hashes.
+
+Texts of classes with a list are dealt out once, by class, to a table that all verifications read; tables go as soon as
+nothing reads them any more.
 
 Cases: null or empty text, or text without words: an empty set, linked with nothing, a component of its own; rows that
 repeat are copies of each other; a null doc_id can't name a component but joins it (alone its component_id is null and
@@ -25,17 +30,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilworks.llm.common import documents, shingles, slabs, small_batches, text_buffers, written
+from veilworks.llm.common import documents, drop, shingles, slabs, small_batches, text_buffers, written
 from veilworks.llm.graph import components
 
 WIDTH = 5
 #: At least PART / WHOLE of the union.
 PART, WHOLE = 75, 100
 SKETCH = 256
-INDEXED = 16
+INDEXED = 24
+#: Of its indexed values each class leaves out so many that are the commonest: fewer if it is so small that a linked
+#: pair shares fewer.
+COMMON = 6
 #: Standard errors by which an estimate may fall short.
 ERRORS = 5.0
 #: Classes of a block, pairs that are compared at once, the size of a cell that needs no filter, least values of the
@@ -143,12 +151,22 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The indexed values of each class."""
+    """The indexed values of each class, and how many of the commonest it can spare."""
     for batch in batches:
         parts = [np.frombuffer(x, np.int64) for x in batch.column("least").to_pylist()]
         sizes = [len(x) for x in parts]
-        nodes = np.repeat(batch.column("node").to_numpy(), sizes)
-        yield pa.RecordBatch.from_pydict({"value": pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), pa.int64()), "node": pa.array(nodes, pa.int64())})
+        n = batch.column("n_shingles").to_numpy()
+        spare = np.minimum(COMMON, -(-PART * n // WHOLE) - 1)
+        names = {"value": np.concatenate([*parts, np.zeros(0, np.int64)]), "node": np.repeat(batch.column("node").to_numpy(), sizes), "spare": np.repeat(spare, sizes)}
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in names.items()})
+
+
+def kept_values(classes: DataFrame) -> DataFrame:
+    """(value, node): the values that a class shares with another, less the commonest that it can spare."""
+    values = classes.select("node", "least", "n_shingles").mapInArrow(_values, "value long, node long, spare long")
+    lists = values.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("members"), F.desc("value")))  # INDEXED rows
+    return values.join(lists, "value").withColumn("rank", rank).filter("rank > spare").select("value", "node")
 
 
 def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -191,8 +209,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets link.
+def bodies(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node and _t, the text that stands for each class: that of its row `at`, a doc_id and text_key."""
+    at = classes.select("node", F.col("at.doc_id").alias("_id"), F.col("at.text_key.length").alias("_length"), F.col("at.text_key.hash").alias("_hash"))
+    texts = docs.select("doc_id", text_key().alias("_key"), F.coalesce("text", F.lit("")).alias("_t"))
+    same = texts["doc_id"].eqNullSafe(at["_id"]) & (texts["_key.length"] == at["_length"]) & (texts["_key.hash"] == at["_hash"])
+    return texts.join(at, same).select("node", "_t").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets link. texts: of bodies.
 
     Texts meet the pairs that name them; one set travels for each pair to its hub's task, and a hub's own set to each
     of its salted parts, so that a hub with many pairs is split.
@@ -201,12 +227,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     spread = parts.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("parts"))
     parts = parts.join(spread, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), "node")
     own = spread.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("hub").alias("node"))
-    wanted = parts.union(own).join(classes.select("node", "doc_id"), "node")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
-    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("hub", "salt", "node", "_t")
-    sets = rows.mapInArrow(_sets, "hub long, salt int, node long, set binary")
+    sets = texts.join(parts.union(own), "node").select("hub", "salt", "node", "_t").mapInArrow(_sets, "hub long, salt int, node long, set binary")
     order = [F.col("hub"), F.col("salt"), (F.col("node") != F.col("hub"))]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sets.repartition(n, "hub", "salt").sortWithinPartitions(*order).mapInArrow(_verify, "a long, b long").distinct()
 
 
@@ -356,32 +379,43 @@ def rest_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame, how:
     return cells.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_cells(how), "a long, b long").distinct()
 
 
-def link(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between classes, and the label (node, root) of every class that has one. rows: sketches, written."""
-    classes = rows.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("least").alias("least"), F.first("n_shingles").alias("n_shingles"))
-    classes = written(classes, "classes")
-    values = classes.select("node", "least").mapInArrow(_values, "value long, node long")
+def link(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between classes, and the label (node, root) of every class that has one. classes: of class_rows,
+    written; the table goes."""
+    values = written(kept_values(classes), "values")
     lists = values.groupBy("value").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     postings = written(values.join(lists.select("value", "hub"), "value"), "postings")
+    listed = written(classes.join(postings.select("node").distinct(), "node", "left_semi"), "listed")
+    drop(values, classes)
+    texts = written(bodies(docs, listed.select("node", "at")), "bodies")
     stars = postings.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(_with_sketches(stars, classes), "pairs")
-    links = written(verified(stars, docs, classes), "links")
+    stars = written(_with_sketches(stars, listed), "pairs")
+    links = written(verified(stars, texts), "links")
     labels, tested = components(links), stars
     for how in ("forest", "all"):
-        rest = written(rest_pairs(postings.select("value", "node"), labels, classes, how).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = written(verified(rest, docs, classes), "links")
+        rest = written(rest_pairs(postings.select("value", "node"), labels, listed, how).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = written(verified(rest, texts), "links")
         tested = tested.union(rest)
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
+    drop(postings, listed, texts)
     return links, labels
 
 
+def class_rows(rows: DataFrame) -> DataFrame:
+    """A row for each class of equal sets, the empty one left out; at names the row whose text stands for it."""
+    first = [F.first(c).alias(c) for c in ("sketch", "least", "n_shingles")]
+    return rows.filter("node <> 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), *first)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_shingles, node, component_id and kept of every document."""
-    rows = written(sketches(docs), "sketches")
-    _, labels = link(docs.select("doc_id", "text"), rows)
-    rows = rows.select("doc_id", "text_key", "n_shingles", "node")
+    made = written(sketches(docs), "sketches")
+    rows = written(made.select("doc_id", "text_key", "n_shingles", "node"), "rows")
+    classes = written(class_rows(made), "classes")
+    drop(made)
+    _, labels = link(docs.select("doc_id", "text"), classes)
     rooted = rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.filter("root <> 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rooted.join(names, "root", "left")
