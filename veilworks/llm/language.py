@@ -3,13 +3,14 @@
 Each language has a codeword; each bit of it is predicted by a binary classifier on hashed byte trigrams (naive Bayes
 log-odds, the mean of the languages that have the bit set against the mean of the others). Decoding is loss-weighted:
 the distance of a codeword is the logistic loss of its bits against the margins, each bit weighted by how often its
-classifier was right on that language in a second fold. The nearest codeword wins, its share of exp(-distance) is the
-score, and a text whose two nearest codewords lie close together is flagged as ambiguous.
+classifier was right on that language in a second fold. The nearest codeword wins and its share of exp(-distance) is
+the score. A text is flagged as ambiguous if its two nearest codewords lie close together, or if even the nearest is
+far: its bits are then undecided, as in letters that are no language that was learned. `accepted` rejects such texts.
 
 The classifiers are fitted on a sample of labelled rows, about `SAMPLE` of each language, drawn by a hash of doc_id;
 every text is then predicted whole. Cases: a text that is null or has no letter is `und` with score 0; with no labelled
 rows every text is `und`, with one language every other text has it, score 1; texts too short for a trigram are tied
-and get the first language by code point; rows are predicted one by one; further columns stay.
+and get the first language by code point; rows are predicted one by one, repeated ones alike; further columns stay.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ BUCKETS = 1 << 16
 GRAM = 3
 SCALES = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 UNKNOWN = "und"
-#: A text is ambiguous if its score is below this.
-CLEAR = 0.6
+#: A text is ambiguous if its score is below CLEAR or the mean loss of its bits above FAR; an undecided bit costs
+#: log 2 = 0.69.
+CLEAR, FAR = 0.6, 0.35
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -64,16 +66,16 @@ class Model:
     trust: np.ndarray  # languages x bits, rows add up to the number of bits
     scale: float
 
-    def predict(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the nearest codeword and its score."""
+    def predict(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the nearest codeword, its score, and its mean loss of a bit."""
         n = len(self.languages)
         if n < 2:
-            return np.zeros(len(margins), int), np.ones(len(margins))
+            return np.zeros(len(margins), int), np.ones(len(margins)), np.zeros(len(margins))
         loss = np.logaddexp(0, -self.scale * margins[:, None, :] * self.code[None, :, :])
         far = (loss * self.trust[None, :, :]).sum(2)
         p = np.exp(far.min(1, keepdims=True) - far)
         best = far.argmin(1)
-        return best, 1 / p.sum(1)
+        return best, 1 / p.sum(1), far.min(1) / self.code.shape[1]
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -109,7 +111,7 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 4, 2))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     rates = F.broadcast(counts.select("lang", (F.lit(float(size)) / F.col("n")).alias("rate")))  # at most LANGUAGES rows
-    draw = F.crc32(F.concat(F.lit("fold:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("fold"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 32)  # CRC would follow held_out's
     rows = known.select("lang", "text", draw.alias("draw")).join(rates, "lang")
     return rows.filter(F.col("draw") < F.col("rate") * float(1 << 32)).select("text", "lang", (F.col("draw") % 4).cast("int").alias("fold"))
 
@@ -180,12 +182,12 @@ def fit(docs: DataFrame, size: int = SAMPLE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns of `keep` with lang_pred, score and ambiguous."""
+    """The columns of `keep` with lang_pred, score, loss (of a bit of the nearest codeword) and ambiguous."""
     spark = docs.sparkSession
     small_batches(spark)
     held = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col("text"), F.lit("")).alias("_t"), F.expr(r"coalesce(text rlike r'\p{L}', false)").alias("_letter"))
-    names_out = [*held.columns[:-2], "lang_pred", "score"]
-    schema = type(held.schema)(list(held.schema.fields[:-2])).add("lang_pred", "string", False).add("score", "double", False)
+    names_out = [*held.columns[:-2], "lang_pred", "score", "loss"]
+    schema = type(held.schema)(list(held.schema.fields[:-2])).add("lang_pred", "string", False).add("score", "double", False).add("loss", "double", False)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,25 +195,25 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in batches:
             letters = np.asarray(batch.column("_letter").to_numpy(zero_copy_only=False), bool)
-            best, score = model.predict(margins(batch.column("_t"), model.weights))
+            best, score, loss = model.predict(margins(batch.column("_t"), model.weights))
             known = letters & bool(model.languages)
             best, score = np.where(known, best, len(names) - 1), np.where(known, score, 0.0)
             cols = [batch.column(i) for i in range(batch.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=names_out)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(loss, pa.float64())], names=names_out)
 
     out = held.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", (F.col("score") < CLEAR).alias("ambiguous"))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "loss", ((F.col("score") < CLEAR) | (F.col("loss") > FAR)).alias("ambiguous"))
 
 
 def accepted(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """The rows of docs whose text has a letter, and so a language; letterless texts go, whether or not any label was
-    learned."""
+    """The rows of docs that have a language: the prediction names one and isn't ambiguous. So letterless texts go, and
+    those whose letters no learned language explains. If no language can be learned, all texts with letters stay."""
     columns = docs.columns
     model = fit(docs, size)
     if not model.languages:
         return docs.filter(r"text rlike r'\p{L}'")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text")
-    return predict(row, model, "_row").filter(F.col("lang_pred") != UNKNOWN).select("_row.*")
+    return predict(row, model, "_row").filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
