@@ -114,7 +114,11 @@ def test_language(spark):
     assert len(right) > 30 and np.mean(right) > 0.98
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002)) and got[1003].lang_pred == "aa" and got[1004].ambiguous
     assert all(0 <= r.score <= 1 for r in got.values())
-    assert {r.doc_id for r in language.accepted(docs).collect()} == {i for i, *_ in rows} - {1000, 1001, 1002}
+    strange = spark.createDataFrame([(2000, "qqzx jjkq vvxw " * 9, None)], docs.schema)
+    assert {r.doc_id for r in language.accepted(docs.union(strange)).collect()} == {i for i, *_ in rows} - {1000, 1001, 1002, 1004}
+    clash = docs.union(docs.filter("doc_id < 2")).withColumn("score", F.lit("x")).withColumn("_t", F.lit(1)).withColumn("text", F.when(F.col("doc_id") == 0, F.repeat("text", F.lit(3000))).otherwise(F.col("text")))
+    again = language.accepted(clash)
+    assert again.columns == clash.columns and Counter(r.doc_id for r in again.collect())[0] == 2
     one = docs.filter("lang = 'aa'")
     assert {r.lang_pred for r in language.predict(docs.filter("doc_id < 3"), language.fit(one), "doc_id").collect()} == {"aa"}
     none = language.fit(docs.withColumn("lang", F.lit(None).cast("string")))
@@ -122,6 +126,14 @@ def test_language(spark):
     assert language.predict(docs.limit(0), model, "doc_id").count() == 0
 
 
+@pytest.mark.parametrize("first", [0, 1000, 10**7, 10**12])
+def test_folds(spark, first):
+    """Each fold is filled whatever the length of the ids, though a remainder of their CRC is held out."""
+    docs = spark.range(first, first + 900).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit("en").alias("lang"))
+    folds = {r.fold: r["count"] for r in language.sample(docs).groupBy("fold").count().collect()}
+    assert len(folds) == 4 and min(folds.values()) > 120
+
+
 def test_unlabelled(spark):
     rows = [(1, "thorn wick", None), (2, "12 34 !", None), (3, None, None), (4, "é", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -189,9 +201,22 @@ def test_substrings(spark, monkeypatch, group):
     passage = "".join(rng.choice("abcdef ") for _ in range(460))
     own = lambda n: "".join(rng.choice("ghijkl ") for _ in range(n))
     texts = [*TEXTS, *[own(rng.randint(0, 300)) + passage[rng.randint(0, 40) :] + own(rng.randint(0, 300)) for _ in range(12)], "q" * 3000, passage[:400], passage[:399], own(400) * 3]
-    rows = substrings.removed(frame(spark, texts), "doc_id").mapInArrow(substrings._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    got = {r.doc_id: tuple(r)[1:] for r in rows.collect()}
-    assert [got[i] for i in range(len(texts))] == brute_removed(texts)
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.digests(substrings.removed(frame(spark, texts), "doc_id")).collect()}
+    assert [got[i][:4] for i in range(len(texts))] == brute_removed(texts)
+
+
+@pytest.mark.parametrize("group", [20000, 1])
+def test_passages(spark, monkeypatch, group):
+    """Of 60 words, under 400 bytes, in otherwise different texts; lines of fewer words are not noted."""
+    monkeypatch.setattr(substrings, "GROUP", group)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(5))
+    own = lambda n: " ".join(word() for _ in range(n))
+    passages, line = [own(60) for _ in range(8)], own(40)
+    texts = [f"{own(90)} {passages[i % 8]} {own(90)}" for i in range(24)] + [f"{own(90)} {line} {own(90)}" for _ in range(8)] + [own(200) for _ in range(8)]
+    got = {r.doc_id: r for r in substrings.digests(substrings.removed(frame(spark, texts), "doc_id")).collect()}
+    assert all(r.n_removed == 0 for r in got.values()) and not any(got[i].n_passages for i in range(24, 40))
+    assert sum(got[i].n_passages == 1 for i in range(24)) >= 21
 
 
 def test_substrings_edges(spark):
