@@ -8,11 +8,13 @@ order sampling: document i has the inclusion probability p_i = R w_i / sum(w s),
 
     q_i = (u_i / (1 - u_i)) / (p_i / (1 - p_i));
 
-documents of least rank are taken until the words nearest to R are reached. The cut is found without sorting a source:
-ranks are binned twice into 256 bins with sums of words, and only the documents of one last bin are put in order.
+documents of least rank are taken while they fit in R, and then of all others the one whose words come nearest to what
+is left. The cut is found without sorting a source: ranks are binned twice into 256 bins with sums of words, and only
+the documents of one last bin are put in order.
 
 Cases: null text has size 0 and is never drawn before words are short; a source of no words has target 0; rows that
-are alike in id and text share one decision; an empty table gives an empty result; further columns stay.
+are alike in id, text and source are told apart by a number, so that each is drawn for itself; an empty table gives an
+empty result; further columns stay.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilworks.llm.common import WORD_CLASS, documents, text_of, written
+from veilworks.llm.common import WORD_CLASS, documents, drop, text_of, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -29,15 +31,30 @@ BINS = 256
 LEVELS = 2
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """Adds size (words), w (in thousandths) and u to the rows."""
+KEY = ("doc_id", "digest", "source")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """Adds size (words), digest (of the text) and w (in thousandths) to the rows."""
     text = text_of(docs)
-    key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(text.cast("binary")))
-    draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long")
-    out = docs.withColumn("size", F.regexp_count(text, F.lit(WORD_CLASS)).cast("long")).withColumn("u", (draw + F.lit(0.5)) / F.lit(float(1 << 52)))
+    out = docs.withColumn("size", F.regexp_count(text, F.lit(WORD_CLASS)).cast("long")).withColumn("digest", F.md5(text.cast("binary")))
     return out.withColumn("w", F.expr("1000 + (1000 * size) div (size + 1000)"))
 
 
+def drawn(rows: DataFrame, seed: str = SEED) -> DataFrame:
+    """Rows of `sized` with u, in (0, 1), by seed, id and text, and by nth if there is such a column and it isn't 0."""
+    parts = [F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("digest")]
+    if "nth" in rows.columns:
+        parts.append(F.when(F.col("nth") > 0, F.col("nth").cast("string")))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("long")
+    return rows.withColumn("u", (draw + F.lit(0.5)) / F.lit(float(1 << 52)))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of `sized` with nth, from 0 among rows alike in id, text and source."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("size")) - 1)
+
+
 def targets(rows: DataFrame) -> DataFrame:
     """A row for each source: source, source_size, mass (sum of w * size), target, whole copies and the rest to draw.
 
@@ -72,74 +89,97 @@ def ranked(rows: DataFrame, by: DataFrame) -> DataFrame:
     return both.withColumn("q", F.when((F.col("rest") > 0) & (F.col("mass") > 0), q))
 
 
+def _key() -> F.Column:
+    return F.struct("q", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), "size")
+
+
+def _bin(level: int) -> F.Column:
+    return F.floor(F.col("q") / (1 + F.col("q")) * BINS**level).cast("long")
+
+
+def _before() -> F.Column:
+    """Whether a row is taken since its rank is at or before the cut."""
+    return F.coalesce(F.coalesce(_bin(LEVELS) < F.col("cell"), F.lit(False)) | (_key() <= F.col("cut")), F.coalesce(_bin(LEVELS) < F.col("cell"), F.lit(False)))
+
+
 def cuts(rows: DataFrame, by: DataFrame) -> DataFrame:
-    """by with the greatest (q, id, size) that is drawn, null where none is."""
-    place = F.col("q") / (1 + F.col("q"))
-    state = by.withColumn("left", F.col("rest")).withColumn("cell", F.lit(0).cast("long"))
-    width = 1
-    for _ in range(LEVELS):
-        width *= BINS
-        cell = F.floor(place * width).cast("long")
-        inside = ranked(rows, state).withColumn("bin", cell).filter(F.floor(F.col("bin") / BINS) == F.col("cell"))
-        sums = inside.groupBy("source", "left", "bin").agg(F.sum("size").alias("words"))
-        run = Window.partitionBy("source").orderBy("bin")
-        run = sums.withColumn("upto", F.sum("words").over(run))
-        # the last bin that the cut can be in: the first to reach what is left, or the last of all
-        reach = run.groupBy("source").agg(
-            F.coalesce(F.min(F.when(F.col("upto") >= F.col("left"), F.struct("bin", (F.col("left") - F.col("upto") + F.col("words")).alias("left")))), F.max(F.struct("bin", (F.col("left") - F.col("upto") + F.col("words")).alias("left")))).alias("at")
-        )
-        reach = reach.select(F.col("source").alias("of_source"), F.col("at.bin").alias("cell"), F.col("at.left").alias("left"))
-        state = by.join(reach, by["source"].eqNullSafe(reach["of_source"]), "left").drop("of_source")
-        state = state.select("source", "source_size", "mass", "target", "whole", "rest", "left", "cell")
-    last = ranked(rows, state).withColumn("bin", F.floor(place * width).cast("long")).filter(F.col("bin") == F.col("cell"))
-    run = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("upto", F.coalesce(F.sum("size").over(run), F.lit(0)))
-    drawn = last.filter(F.col("upto") + F.col("size") / 2 <= F.col("left"))
-    key = F.struct("q", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), "size")
-    top = drawn.groupBy("source").agg(F.max(key).alias("cut")).withColumnRenamed("source", "of_source")
-    out = state.join(top, state["source"].eqNullSafe(top["of_source"]), "left")
-    return out.select("source", "source_size", "mass", "target", "whole", "rest", "cell", "cut")
+    """by with cut, the greatest (q, id, size) that fits, and extra, that of the row taken to fill up; null: none."""
+    state = by.withColumn("used", F.lit(0).cast("long")).withColumn("cell", F.lit(0).cast("long"))
+    columns = [*by.columns, "used", "cell"]
+
+    def found(frame: DataFrame, more: DataFrame, *named: F.Column) -> DataFrame:
+        more = more.withColumnRenamed("source", "of_source")
+        return frame.join(more, frame["source"].eqNullSafe(more["of_source"]), "left").drop("of_source").select(*named)
+
+    for level in range(1, LEVELS + 1):
+        inside = ranked(rows, state).withColumn("bin", _bin(level)).filter(F.floor(F.col("bin") / BINS) == F.col("cell"))
+        sums = inside.groupBy("source", "rest", "used", "bin").agg(F.sum("size").alias("words"))
+        run = sums.withColumn("upto", F.col("used") + F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
+        # the last bin that the cut can be in: the first to reach the rest, or the last of all
+        at = F.struct("bin", (F.col("upto") - F.col("words")).alias("used"))
+        reach = run.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("rest"), at)), F.max(at)).alias("at"))
+        state = found(by, reach, *by.columns, F.col("at.used").alias("used"), F.col("at.bin").alias("cell"))
+    last = ranked(rows, state).filter(_bin(LEVELS) == F.col("cell"))
+    run = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.withColumn("upto", F.col("used") + F.sum("size").over(run)).filter(F.col("upto") <= F.col("rest"))
+    top = last.groupBy("source").agg(F.max(_key()).alias("cut"), F.max("upto").alias("upto"))
+    state = found(state, top, *columns, "cut", (F.col("rest") - F.coalesce("upto", "used")).alias("gap"))
+    off = F.abs(F.col("size") - F.col("gap"))
+    fill = ranked(rows, state).filter(F.col("q").isNotNull() & ~_before() & (off < F.col("gap")))
+    fill = fill.groupBy("source").agg(F.min(F.struct(off.alias("off"), _key().alias("key"))).alias("x"))
+    return found(state, fill, *columns, "cut", F.col("x.key").alias("extra"))
 
 
 def copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows (of sized) with source_size, target and copies."""
-    key = F.struct("q", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), "size")
-    before = F.floor(F.col("q") / (1 + F.col("q")) * (BINS**LEVELS)).cast("long") < F.col("cell")
+    """rows (of sized, with u) with source_size, target and copies."""
+    taken = _before() | F.coalesce(_key() == F.col("extra"), F.lit(False))
     out = ranked(rows, plan)
-    drawn = F.coalesce(before | (key <= F.col("cut")), F.lit(False)) | F.coalesce(before, F.lit(False))
-    out = out.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("q").isNotNull() & drawn, 1).otherwise(0))
-    return out.drop("mass", "whole", "rest", "cell", "cut", "q", "u", "w")
+    out = out.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("q").isNotNull() & taken, 1).otherwise(0))
+    return out.drop("mass", "whole", "rest", "used", "cell", "cut", "extra", "q", "u", "w", "digest", "nth")
 
 
 def plan_of(rows: DataFrame) -> DataFrame:
     by = written(targets(rows), "mix-targets")
-    return written(cuts(rows, by), "mix-cuts")
+    plan = written(cuts(rows, by), "mix-cuts")
+    drop(by)
+    return plan
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs.
 
-    The text is read twice, for sizes and for the rows; only sizes are shuffled.
+    The text is read twice, for sizes and for the rows; only sizes are shuffled, and the texts of rows that repeat.
     """
     columns = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", "source", "text")
-    rows = sized(held, seed)
-    plan = plan_of(written(rows.select("doc_id", "source", "size", "u", "w"), "mix-sizes"))
-    taken = copies(rows, plan).filter(F.col("copies") > 0)
+    rows = sized(held).drop("text")
+    sizes = written(numbered(rows.select(*KEY, "size", "w")), "mix-sizes")
+    plan = plan_of(drawn(sizes, seed))
+    again = written(sizes.filter("nth > 0").select("doc_id", "digest").distinct(), "mix-repeats")
+    drop(sizes)
+    if again.limit(1).count():
+        again = again.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+        same = rows["doc_id"].eqNullSafe(again["_id"]) & (rows["digest"] == again["_digest"])
+        rows = rows.join(again, same, "left_anti").withColumn("nth", F.lit(0)).unionByName(numbered(rows.join(again, same, "left_semi")))
+    taken = copies(drawn(rows, seed), plan).filter(F.col("copies") > 0)
     return taken.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "row").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    rows = written(sized(docs).select("doc_id", "source", "size", "u", "w"), "mix-sizes")
+    rows = written(drawn(numbered(sized(docs).select(*KEY, "size", "w"))), "mix-sizes")
     return copies(rows, plan_of(rows)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLE_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+WITH d0 AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1 AS nth
   FROM documents),
+d AS (
+  SELECT doc_id, source, size,
+         (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || digest || CASE WHEN nth > 0 THEN ':' || nth ELSE '' END), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM d0),
 e AS (SELECT *, 1000 + (1000 * size) // (size + 1000) AS w FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(w * size) AS BIGINT) AS mass FROM e GROUP BY source),
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
@@ -155,8 +195,10 @@ s7 AS (SELECT *, target - whole * source_size AS rest FROM s6),
 q AS (SELECT e.*, source_size, target, whole, rest, CASE WHEN rest > 0 AND mass > 0 THEN
         (u / (1 - u)) / (least(rest * w / mass, 1 - 1e-9::DOUBLE) / (1 - least(rest * w / mass, 1 - 1e-9::DOUBLE))) END AS q
       FROM e JOIN s7 ON e.source IS NOT DISTINCT FROM s7.source),
-r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM q)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN q IS NOT NULL AND upto + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM r
+r AS (SELECT *, q IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS fits FROM q),
+g AS (SELECT *, rest - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM r),
+h AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN fits OR q IS NULL OR abs(size - gap) >= gap THEN 1 ELSE 0 END, abs(size - gap), q, doc_id, size) = 1
+        AND NOT fits AND q IS NOT NULL AND abs(size - gap) < gap AS extra FROM g)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN fits OR extra THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM h
 """
