@@ -2,8 +2,8 @@
 
 A window is one word, lower-cased, without punctuation at its ends, between marks; each distinct window of a text is compressed with both dictionaries
 and its gain is the number of bytes by which the toxic one is shorter. Longer windows drown the few bytes that a single
-toxic word saves in what its neighbours cost. A text's statistic adds up the gains above a threshold, and a table that
-was calibrated on a fold of labelled texts turns it into a probability.
+toxic word saves in what its neighbours cost. A text's statistic adds up the gains above a threshold, and a table turns
+it into a probability; threshold and table are those that describe a fold of labelled texts best that trained nothing.
 
 The toxic dictionary is trained on contrast: word beginnings that are so often in toxic and so seldom in ordinary texts
 that chance is ruled out (families of near copies count once), and the words of toxic texts that have them. The
@@ -36,8 +36,9 @@ TOXIC, ORDINARY, TRAIN_BYTES = 1500, 4500, 32768
 TOXIC_BYTES, ORDINARY_BYTES, HARD_BYTES = 16384, 300_000, 100_000
 #: Lengths of word beginnings, and the log of the chance at which one counts as toxic.
 BEGIN, CHANCE = range(3, 11), -12.0
-#: Gains below this don't count; sums above MOST count as MOST.
-GAIN, MOST = 5, 20
+#: A word is toxic to `train` from this gain on; for texts, gains below one of GAINS don't count, and sums above MOST
+#: count as MOST.
+GAIN, GAINS, MOST = 5, (3, 4, 5, 6, 7), 20
 LIMIT = 0.7
 MARK = b"\x01\x02\x03\x04\x05"
 EDGES = ".,;:!?\"'()[]{}#*$%&|<>"
@@ -71,12 +72,12 @@ class Distance:
             got = self.known[window] = len(self.ordinary.compress(raw)) - len(self.toxic.compress(raw))
         return got
 
-    def statistic(self, text: str) -> int:
+    def statistic(self, text: str, least: int) -> int:
         total = 0
         for w in windows(text):
             g = self.gain(w)
-            if g >= GAIN:
-                total += g - GAIN + 1
+            if g >= least:
+                total += g - least + 1
         return min(total, MOST)
 
 
@@ -84,6 +85,7 @@ class Distance:
 class Model:
     toxic: bytes
     ordinary: bytes
+    least: int  # gain that counts
     table: list[float]  # the score of each statistic, rising
 
 
@@ -175,8 +177,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = [(r.text, r.toxic, r.fold) for r in sample(docs, labels).collect()]
     rows.sort()
     toxic, ordinary = train([(t, y) for t, y, fold in rows if fold < 3])
-    near = Distance(toxic, ordinary)
-    return Model(toxic, ordinary, calibrate([(near.statistic(t) if toxic else 0, y) for t, y, fold in rows if fold == 3]))
+    near, tests, best = Distance(toxic, ordinary), [(t, y) for t, y, fold in rows if fold == 3], []
+    for least in GAINS:
+        found = [(near.statistic(t, least) if toxic else 0, y) for t, y in tests]
+        table = calibrate(found)
+        best.append((-sum(math.log(table[s] if y else 1 - table[s]) for s, y in found), -least, table))
+    _, least, table = min(best)  # of equal ones the greatest threshold
+    return Model(toxic, ordinary, -least, table)
 
 
 _made: dict[int, Distance] = {}
@@ -198,7 +205,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             _made[key] = Distance(model.toxic, model.ordinary)
         near = _made[key]
         for batch in batches:
-            score = [model.table[near.statistic(t) if model.toxic else 0] for t in batch.column("_t").to_pylist()]
+            score = [model.table[near.statistic(t, model.least) if model.toxic else 0] for t in batch.column("_t").to_pylist()]
             flags = pa.array([int(s >= LIMIT) for s in score], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), flags], names=names)
 
