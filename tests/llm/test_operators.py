@@ -252,11 +252,40 @@ def test_secrets(spark):
     assert kinds(11) == ["ident", "weak"]  # the address is out of scope
 
 
+def brute_links(text):
+    """All spans by comparing each weak part with all others."""
+    found = [(m.start(), k, m.end()) for k, kind in enumerate(secrets.KINDS) if k > 2 for m in re.finditer(secrets.PATTERNS[kind], text)]
+    base = base_spans(text)
+    parts = base + found
+    near = lambda x, kinds: any(y[1] in kinds and (y[2] <= x[0] + 1 and x[0] - y[2] <= secrets.SCOPE or y[0] - x[2] <= secrets.SCOPE and y[0] >= x[0]) for y in parts if y != x)
+    free = lambda x: all(y[2] <= x[0] or y[0] >= x[2] for y in base)
+    needs = {4: [(1, 3)], 3: [(0, 2, 4)], 5: [(1, 3), (0, 2, 4)]}
+    return sorted(base + [x for x in found if free(x) and all(near(x, k) for k in needs[x[1]])])
+
+
+def test_links_in_long_texts(spark):
+    """Hundreds of parts in a text, more than a block of the fold, against all pairs."""
+    rng = random.Random(4)
+    makers = [
+        lambda: f"user: u{rng.randrange(10**6)}", lambda: "Zx9" + "".join(rng.choice("Ab3dEf7h") for _ in range(20)), lambda: "https://h.example/x", lambda: f"password = hunter{rng.randrange(10**6)}",
+        lambda: "AKIA" + "ABCD0123" * 2, lambda: "%024x" % rng.getrandbits(95), lambda: "filler " * rng.randrange(60), lambda: "é😀",
+    ]
+    texts = [" ; ".join(rng.choice(makers)() for _ in range(n)) for n in (3, 40, 90, 300, 700)] * 2
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.scan(frame(spark, texts), "doc_id").collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_links(t)
+    clean = {r.doc_id: r.text for r in secrets.redact(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        hidden = {p for s, _, e in got[i] for p in range(s, e)}
+        assert clean[i].replace("[SECRET]", "") == "".join(c for p, c in enumerate(t) if p not in hidden)
+
+
 def test_redaction(spark):
     docs = frame(spark, ['x password = "hunter22" y', "clean", None, "", "0123456789abcdef01234567"])
+    docs = docs.union(docs.filter("doc_id = 0"))
     out = secrets.redact(docs)
     assert out.columns == docs.columns
-    assert [r.text for r in out.orderBy("doc_id").collect()] == ['x [SECRET]" y', "clean", None, "", "[SECRET]"]
+    assert [r.text for r in out.orderBy("doc_id").collect()] == ['x [SECRET]" y'] * 2 + ["clean", None, "", "[SECRET]"]
     assert secrets.scan(empty(spark), "doc_id").count() == 0
 
 

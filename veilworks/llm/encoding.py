@@ -74,10 +74,10 @@ def _lists(rows: list[list[int]]) -> pa.Array:
 
 def _giants(giants: DataFrame, model, kind: str, size: int) -> DataFrame:
     """_key and ids of giant documents (distinct _key, _t)."""
-    halo = 64
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks with their surroundings; s is cut text, at and upto its chunk's places in it."""
+        halo = 2 * vocabulary(model.value, kind).longest
         for batch in batches:
             for key, text in zip(batch.column("_key").to_pylist(), batch.column("_t").to_pylist(), strict=True):
                 s = escaped(text)

@@ -40,15 +40,27 @@ GUARDS = {
 _SPANS = "array<struct<s:int,e:int,k:int>>"
 
 
+#: Items that are folded at a time; the states of these blocks are folded in turn, so that no long array is copied for
+#: each of its items.
+STEP = 64
+
+
+def _running(items: str, kind: str, start: str, step: str, merge: str) -> str:
+    """SQL: for each item the fold of those before it, of type `kind`. step: of acc and x; merge: of two states h, a."""
+    none = f"cast(array() as array<{kind}>)"
+    blocks = f"""transform(sequence(0, (size({items}) - 1) div {STEP}), j -> aggregate(slice({items}, cast(j * {STEP} + 1 as int), {STEP}), named_struct('a', {start}, 'o', {none}),
+        (z, x) -> transform(array(z.a), acc -> named_struct('a', {step}, 'o', concat(z.o, array(acc))))[0]))"""
+    heads = f"""aggregate(y, named_struct('a', {start}, 'o', {none}), (z, w) -> transform(array(named_struct('h', z.a, 'a', w.a)), v -> transform(array(v.h), h -> transform(array(v.a), a -> named_struct('a', {merge}, 'o', concat(z.o, array(h))))[0])[0])[0]).o"""
+    return f"transform(array({blocks}), y -> flatten(zip_with(y, {heads}, (w, h) -> transform(w.o, a -> {merge}))))[0]"
+
+
 def _spans(kind: str) -> F.Column:
     """Matches with their places: the text between matches and the matches, in turn, add up to the offsets."""
     k, longest = KINDS.index(kind), 6 if kind == "assign" else 0
-    keep = f"length(_{kind}_v[i]) >= {longest}" if longest else "true"
-    at = f"acc.p + length(_{kind}_b[i])"
-    span = f"named_struct('s', {at}, 'e', {at} + length(_{kind}_m[i]), 'k', {k})"
-    fold = f"""aggregate(sequence(0, size(_{kind}_m) - 1), named_struct('p', 0, 'o', cast(array() as {_SPANS})),
-        (acc, i) -> named_struct('p', {at} + length(_{kind}_m[i]), 'o', if({keep}, concat(acc.o, array({span})), acc.o))).o"""
-    return F.expr(f"if(size(_{kind}_m) = 0, cast(array() as {_SPANS}), {fold})")
+    lengths = f"transform(_{kind}_m, (x, i) -> length(_{kind}_b[i]) + length(x))"
+    ends = f"transform(array(transform(array({lengths}), n -> {_running('n', 'int', '0', 'acc + x', 'h + a')})[0]), p -> transform(_{kind}_m, (x, i) -> p[i] + length(_{kind}_b[i]) + length(x)))[0]"
+    keep = f"filter(transform(e, (x, i) -> named_struct('s', x - length(_{kind}_m[i]), 'e', x, 'k', {k})), (x, i) -> {f'length(_{kind}_v[i]) >= {longest}' if longest else 'true'})"
+    return F.expr(f"if(size(_{kind}_m) = 0, cast(array() as {_SPANS}), transform(array({ends}), e -> {keep})[0])")
 
 
 def _found(df: DataFrame, held: list[str], kinds: tuple[str, ...], condition: str = "true") -> DataFrame:
@@ -75,16 +87,17 @@ def scan(docs: DataFrame, *keep: str, scope: int = SCOPE) -> DataFrame:
     parts = "array_sort(concat(_x_assign, _x_access, _x_hex, _x_weak, _x_ident, _x_endpoint))"
     df = df.select(*held, F.expr(f"concat({', '.join(bases)})").alias("_base"), F.expr(f"if(size(_x_weak) + size(_x_ident) + size(_x_endpoint) = 0, cast(array() as {_SPANS}), {parts})").alias("_parts"))
     far = -(1 << 30)
-    seen = "struct<i:int,c:int,b:int>"
 
     def sweep(parts: str, edge: str, past: str, pick: str) -> str:
         """For each part the nearest edge so far of an identifier, a secret and a base span."""
         role = lambda name, kinds: f"if(x.k in ({kinds}), {pick}(acc.{name}, {edge}), acc.{name})"
-        return f"""aggregate({parts}, named_struct('i', {past}, 'c', {past}, 'b', {past}, 'o', cast(array() as array<{seen}>)),
-            (acc, x) -> named_struct('i', {role("i", "1, 3")}, 'c', {role("c", "0, 2, 4")}, 'b', {role("b", "0, 1, 2")},
-                'o', concat(acc.o, array(named_struct('i', acc.i, 'c', acc.c, 'b', acc.b))))).o"""
+        start = f"named_struct('i', {past}, 'c', {past}, 'b', {past})"
+        step = f"named_struct('i', {role('i', '1, 3')}, 'c', {role('c', '0, 2, 4')}, 'b', {role('b', '0, 1, 2')})"
+        merge = f"named_struct('i', {pick}(h.i, a.i), 'c', {pick}(h.c, a.c), 'b', {pick}(h.b, a.b))"
+        return _running(parts, "struct<i:int,c:int,b:int>", start, step, merge)
 
-    df = df.select(*held, "_base", "_parts", F.expr(sweep("_parts", "x.e", str(far), "greatest")).alias("_before"), F.expr(sweep("reverse(_parts)", "x.s", str(-far), "least")).alias("_after"))
+    df = df.select(*held, "_base", "_parts", F.expr("reverse(_parts)").alias("_back"))
+    df = df.select(*held, "_base", "_parts", F.expr(sweep("_parts", "x.e", str(far), "greatest")).alias("_before"), F.expr(sweep("_back", "x.s", str(-far), "least")).alias("_after"))
     last = "_after[size(_parts) - 1 - i]"
     near = lambda r: f"(x.s - _before[i].{r} <= {scope} or {last}.{r} - x.e <= {scope})"
     linked = f"(x.k = 4 and {near('i')}) or (x.k = 3 and {near('c')}) or (x.k = 5 and {near('i')} and {near('c')})"
@@ -103,17 +116,17 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     columns = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text")
     df = scan(row, "_row")
-    merged = """aggregate(spans, named_struct('p', 0, 'o', ''), (acc, x) -> if(x.e <= acc.p, acc, named_struct('p', x.e, 'o',
-        concat(acc.o, if(x.s >= acc.p, concat(substring(_t, acc.p + 1, x.s - acc.p), '%s'), '')))))""" % mark
-    df = df.withColumn("_m", F.expr(f"if(size(spans) = 0, null, {merged})"))
-    clean = F.expr("if(_m is null, _row.text, concat(_m.o, substring(_t, _m.p + 1)))")
+    df = df.withColumn("_past", F.expr(f"if(size(spans) = 0, null, {_running('spans', 'int', '0', 'greatest(acc, x.e)', 'greatest(h, a)')})"))
+    pieces = f"transform(spans, (x, i) -> if(x.e > _past[i] and x.s >= _past[i], concat(substring(_t, _past[i] + 1, x.s - _past[i]), '{mark}'), ''))"
+    clean = F.expr(f"if(size(spans) = 0, _row.text, concat(array_join({pieces}, ''), substring(_t, greatest(_past[size(spans) - 1], spans[size(spans) - 1].e) + 1)))")
     return df.select(*[clean.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns and n_linked, the parts that are reported only because their complements are near."""
     df = scan(documents(spark, sf_dir), "doc_id")
     count = lambda k: F.expr(f"cast(size(filter(spans, x -> x.k = {k})) as bigint)")
     return df.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.expr(f"sha2({joined('filter(spans, x -> x.k < 3)')}, 256)").alias("base_sha256"), F.expr(joined("spans")).alias("spans"),
+        F.expr(f"sha2({joined('filter(spans, x -> x.k < 3)')}, 256)").alias("base_sha256"), F.expr(joined("spans")).alias("spans"), (F.size("spans").cast("long") - count(0) - count(1) - count(2)).alias("n_linked"),
     )
