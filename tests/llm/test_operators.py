@@ -364,21 +364,23 @@ def test_toxicity(spark):
 
 
 def test_shards(spark):
+    """All columns against a plain computation: shards by the map, places gapless, one more shard only takes."""
     owners = sharding.first_map(24)
-    docs = frame(spark, TEXTS * 12).union(frame(spark, [None, "x"]))
-    rows = sharding.shard(docs, owners, sharding.grow(owners)).collect()
-    assert len(rows) == len(TEXTS) * 12 + 2
-    by = {}
+    placed = lambda docs: sharding.place(neardup.written(sharding.slotted(docs), "t"), owners, grown_shard=sharding.grow(owners))
+    docs = frame(spark, TEXTS * 12).union(frame(spark, [None, "x"])).union(frame(spark, TEXTS[4:9] * 4).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = placed(docs).collect()
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in [*enumerate(TEXTS * 12), (0, None), (1, "x"), *((None, t) for t in TEXTS[4:9] * 4)])
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
+    slots = {r.doc_id: r.vslot for r in sharding.with_slots(docs.select("doc_id")).collect()}
+    by, held = {}, Counter()
     for r in rows:
         by.setdefault(r.shard, []).append(r.slot)
-        assert r.grown_shard in (r.shard, 24)
-    assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    texts = {i: t or "" for i, t in enumerate(TEXTS * 12)}
-    some = {(r.doc_id, r["size"], r.text_crc32) for r in rows}
-    assert all((i, len(t.encode()) + 8, zlib.crc32(t.encode())) in some for i, t in texts.items())
-    part = {r.doc_id: r.shard for r in sharding.shard(docs.filter("doc_id % 7 = 0"), owners).collect()}
+        held[r.vslot] += r["size"]
+        assert r.vslot == slots[r.doc_id] and r.shard == owners[r.vslot] and r.grown_shard in (r.shard, 24)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and all(r.slot_bytes == held[r.vslot] for r in rows)
+    part = {r.doc_id: r.shard for r in placed(docs.filter("doc_id % 7 = 0")).collect()}
     assert all(r.shard == part[r.doc_id] for r in rows if r.doc_id in part)
-    assert sharding.shard(empty(spark), owners).count() == 0
+    assert placed(empty(spark)).count() == 0
 
 
 def test_slot_maps(spark, tmp_path):
@@ -392,6 +394,15 @@ def test_slot_maps(spark, tmp_path):
     sharding.save_map(spark, old, 1, str(tmp_path / "m"))
     sharding.save_map(spark, even, 2, str(tmp_path / "m"))
     assert sharding.load_map(spark, str(tmp_path / "m")) == even and sharding.load_map(spark, str(tmp_path / "m"), 1) == old
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        sharding.save_map(spark, even, 1, str(tmp_path / "m"))
+
+
+def test_shards_query(spark, sf):
+    rows = queries()["op8_virtual_slots"](spark, sf).collect()
+    load = lambda c: Counter({s: sum(r["size"] for r in rows if r[c] == s) for s in range(24)})
+    spread = lambda c: max(load(c).values()) - min(load(c).values())
+    assert spread("balanced_shard") < spread("shard") and all(r.grown_shard in (r.shard, 24) for r in rows)
 
 
 # ---------------------------------------------------------------- 9

@@ -3,14 +3,17 @@
 A record hashes into one of `SLOTS` virtual slots by its key alone, and a versioned map says which shard owns each
 slot. The first map of n shards is a function of n only (it is grown from one shard, step by step), so key and shard
 count decide a record's shard and one more shard takes slots from the others and gives none away. `rebalance` edits a
-map by the bytes that each slot holds; that is a new version, stored beside the old one.
+map by the bytes that each slot holds. Each edit is a new version, stored beside the old ones, which never change.
 
-Cases: null text counts as no bytes (size 8, crc 0); null keys share one slot; repeated rows get places of their own;
-an empty table gives an empty result; further columns are ignored.
+Cases: null text counts as no bytes (size 8, crc 0); null keys share one slot, whose rows are ranked in `CELLS` parts,
+as those of every slot are; repeated rows get places of their own; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from veilworks.llm.common import documents, shared_dir, text_of, written
 
 SLOTS = 4096
 SHARDS = 24
+#: Parts of a slot that are ranked apart.
+CELLS = 16
 #: Bytes of a record besides its text.
 ROW_BYTES = 8
 
@@ -70,7 +75,8 @@ def map_frame(spark: SparkSession, owners: list[int], version: int) -> DataFrame
 
 
 def save_map(spark: SparkSession, owners: list[int], version: int, path: str) -> None:
-    map_frame(spark, owners, version).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Add a version; one that exists can't be written again."""
+    map_frame(spark, owners, version).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[int]:
@@ -86,39 +92,45 @@ def with_slots(df: DataFrame, key: str = "doc_id", slots: int = SLOTS) -> DataFr
     return df.withColumn("vslot", F.pmod(hashed, F.lit(slots)).cast("int"))
 
 
-def slot_stats(df: DataFrame) -> DataFrame:
-    """Rows and bytes of each slot: at most `SLOTS` rows."""
-    return df.groupBy("vslot").agg(F.count(F.lit(1)).alias("slot_rows"), F.sum("size").alias("slot_bytes"))
+def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32, vslot and cell, a part of the slot."""
+    text = text_of(docs)
+    sized = docs.select("doc_id", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return with_slots(sized, slots=slots).withColumn("cell", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(CELLS)).cast("int"))
+
 
+def slot_stats(base: DataFrame) -> DataFrame:
+    """Rows and bytes of each slot: as many rows as slots at most."""
+    return base.groupBy("vslot").agg(F.count(F.lit(1)).alias("slot_rows"), F.sum("size").alias("slot_bytes"))
 
-def shard(docs: DataFrame, owners: list[int], grown: list[int] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (the record's place in its shard), grown_shard, vslot, slot_bytes.
 
-    A place is the number of rows in the shard's earlier slots plus the row's rank in its own slot, so that no task
-    ever holds more than a slot.
+def place(base: DataFrame, owners: list[int], **others: list[int]) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot (the record's place in its shard), a column for each other map, vslot
+    and slot_bytes. base: of `slotted`, written.
+
+    A place is the number of rows in the shard's earlier cells plus the row's rank in its own, so that no task ever
+    holds more than a cell.
     """
-    spark = docs.sparkSession
-    text = text_of(docs)
-    sized = docs.select("doc_id", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    base = written(with_slots(sized, slots=len(owners)), "slots")
-    table = map_frame(spark, owners, 0).drop("version")
-    if grown is not None:
-        table = table.join(map_frame(spark, grown, 1).select("vslot", F.col("shard").alias("grown_shard")), "vslot")
-    else:
-        table = table.withColumn("grown_shard", F.lit(None).cast("int"))
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = table.join(slot_stats(base), "vslot").withColumn("first", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)))
-    inside = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    ranked = base.withColumn("rank", F.row_number().over(inside) - 1)
-    return ranked.join(F.broadcast(placed), "vslot").select(  # as many rows as slots
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("rank")).alias("slot"), "grown_shard", "vslot", "slot_bytes"
-    )
+    spark = base.sparkSession
+    names = ["vslot", "shard", *others]
+    table = spark.createDataFrame(list(zip(range(len(owners)), owners, *others.values(), strict=True)), ", ".join(f"{n} int" for n in names))
+    cells = base.groupBy("vslot", "cell").agg(F.count(F.lit(1)).alias("cell_rows"), F.sum("size").alias("cell_bytes"))
+    before = Window.partitionBy("shard").orderBy("vslot", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = table.join(cells, "vslot").withColumn("first", F.coalesce(F.sum("cell_rows").over(before), F.lit(0)))
+    placed = placed.withColumn("slot_bytes", F.sum("cell_bytes").over(Window.partitionBy("vslot"))).drop("cell_rows", "cell_bytes")
+    inside = Window.partitionBy("vslot", "cell").orderBy("doc_id", "text_crc32", "size")
+    rows = base.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(placed), ["vslot", "cell"])  # SLOTS * CELLS rows
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("rank")).alias("slot"), *others, "vslot", "slot_bytes")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owners = first_map(SHARDS)
-    grown = grow(owners)
-    where = f"{shared_dir(spark)}/slot-map"
-    for version, each in enumerate((owners, grown)):
-        map_frame(spark, each, version).drop("version").coalesce(1).write.mode("overwrite").parquet(f"{where}/version={version}")
-    return shard(documents(spark, sf_dir), load_map(spark, where, 0), load_map(spark, where, 1))
+    """Three versions of the map: the first, that with one more shard, and the first evened out by the bytes of slots.
+    `balanced_shard` is by the last; it depends on the table and so isn't the shard of the law."""
+    where = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    base = written(slotted(documents(spark, sf_dir)), "slots")
+    sizes = {r.vslot: r.slot_bytes for r in slot_stats(base).collect()}
+    first = first_map(SHARDS)
+    for version, owners in enumerate((first, grow(first), rebalance(first, [sizes.get(s, 0) for s in range(SLOTS)]))):
+        save_map(spark, owners, version, where)
+    maps = [load_map(spark, where, v) for v in range(3)]
+    return place(base, maps[0], grown_shard=maps[1], balanced_shard=maps[2])
