@@ -17,7 +17,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 #: Rows of a batch that goes to a Python worker, and bytes of text that are worked on at once.
 BATCH_ROWS = 1000
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:

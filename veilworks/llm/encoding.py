@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 from veilworks.llm.common import documents, small_batches, written
 from veilworks.llm.maxplus import SPACE, Chunk, Vocabulary, choose, escaped
@@ -74,10 +75,11 @@ def _lists(rows: list[list[int]]) -> pa.Array:
 
 def _giants(giants: DataFrame, model, kind: str, size: int) -> DataFrame:
     """_key and ids of giant documents (distinct _key, _t)."""
+    library = SentencePieceProcessor(model_proto=model.value)
+    halo = 2 * max(len(library.id_to_piece(i)) for i in range(library.vocab_size()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks with their surroundings; s is cut text, at and upto its chunk's places in it."""
-        halo = 2 * vocabulary(model.value, kind).longest
         for batch in batches:
             for key, text in zip(batch.column("_key").to_pylist(), batch.column("_t").to_pylist(), strict=True):
                 s = escaped(text)

@@ -118,12 +118,13 @@ def cuts(rows: DataFrame, by: DataFrame) -> DataFrame:
         # the last bin that the cut can be in: the first to reach the rest, or the last of all
         at = F.struct("bin", (F.col("upto") - F.col("words")).alias("used"))
         reach = run.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("rest"), at)), F.max(at)).alias("at"))
-        state = found(by, reach, *by.columns, F.col("at.used").alias("used"), F.col("at.bin").alias("cell"))
+        # a row for each source: written, so that the planner knows its size when rows meet it
+        state = written(found(by, reach, *by.columns, F.col("at.used").alias("used"), F.col("at.bin").alias("cell")), "mix-state")
     last = ranked(rows, state).filter(_bin(LEVELS) == F.col("cell"))
     run = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = last.withColumn("upto", F.col("used") + F.sum("size").over(run)).filter(F.col("upto") <= F.col("rest"))
     top = last.groupBy("source").agg(F.max(_key()).alias("cut"), F.max("upto").alias("upto"))
-    state = found(state, top, *columns, "cut", (F.col("rest") - F.coalesce("upto", "used")).alias("gap"))
+    state = written(found(state, top, *columns, "cut", (F.col("rest") - F.coalesce("upto", "used")).alias("gap")), "mix-state")
     off = F.abs(F.col("size") - F.col("gap"))
     fill = ranked(rows, state).filter(F.col("q").isNotNull() & ~_before() & (off < F.col("gap")))
     fill = fill.groupBy("source").agg(F.min(F.struct(off.alias("off"), _key().alias("key"))).alias("x"))

@@ -48,10 +48,10 @@ COMMON = 6
 ERRORS = 5.0
 #: Classes of a block, pairs that are compared at once, the size of a cell that needs no filter, least values of the
 #: filter and columns of its matrices, and pairs of a hub that one task verifies together.
-BLOCK = 2048
-STRIP = 512
+BLOCK = 1024
+STRIP = 256
 SMALL = 24
-FILTER, COLUMNS = 64, 4096
+FILTER, COLUMNS = 64, 1024
 SALT = 400
 
 
