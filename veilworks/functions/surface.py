@@ -1,4 +1,4 @@
-"""Normal forms of text and of names, and how alike two of them are. Column expressions; texts are taken as NFC."""
+"""Normal forms of text and of names, and how alike two of them are, as column expressions."""
 
 from __future__ import annotations
 
@@ -37,8 +37,20 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+#: Decomposed Polish letters: a letter, its mark, and both in one.
+COMPOSED = tuple((b, m, x) for m, pairs in (("\u0328", "aąeęAĄEĘ"), ("\u0301", "cćnńoósśzźCĆNŃOÓSŚZŹ"), ("\u0307", "zżZŻ")) for b, x in zip(pairs[::2], pairs[1::2], strict=True))
+
+
+def composed_polish(c: Column) -> Column:
+    """Polish letters as single characters, whatever form they came in; `nfc` does so for all letters, in Python."""
+    out = c
+    for base, mark, letter in COMPOSED:
+        out = F.replace(out, F.lit(base + mark), F.lit(letter))
+    return F.when(c.rlike("[\u0301\u0307\u0328]"), out).otherwise(c)
+
+
 def normalize(c: Column) -> Column:
-    return collapse(F.lower(c))
+    return collapse(F.lower(composed_polish(c)))
 
 
 def fold_diacritics(c: Column) -> Column:

@@ -10,6 +10,7 @@ from veilworks.functions.surface import normalize
 from veilworks.operators import spans as sp
 from veilworks.operators import vault
 from veilworks.operators.rewrite import fuzzy_restore, restore, splice
+from veilworks.sources.shared import written
 
 SEPARATOR = "\n\n"
 
@@ -57,14 +58,15 @@ def counts_by_type(messages: DataFrame, spans: str = "entities") -> DataFrame:
 def pseudonymize(messages: DataFrame, seed: str = "0", **options: object) -> tuple[DataFrame, DataFrame]:
     """Messages with entities, replacements and fake_text, and the state of each session.
 
-    Texts are not shuffled to the sessions' tasks; only mentions are, and their fakes come back by (session, turn).
+    Texts are not shuffled to the sessions' tasks; only mentions are, and their fakes come back by row. Messages are
+    numbered and detected once and written, so that sessions and turns may be null or occur again.
     """
-    found = sp.detect(messages.withColumn("session", F.col("session").cast("string")), **options)
-    mentions = vault.mentions(found)
-    fakes, state = vault.run(mentions, seed)
-    fakes = fakes.select("session", F.shiftright("ord", 20).alias("turn"), F.struct(F.col("ord").bitwiseAND((1 << 20) - 1).alias("i"), "fake").alias("f"))
-    per = fakes.groupBy("session", "turn").agg(F.array_sort(F.collect_list("f")).alias("_fakes"))
-    both = found.join(per, [found["session"].eqNullSafe(per["session"]), found["turn"].cast("long") == per["turn"]], "left").select(found["*"], "_fakes")
+    held = messages.select(F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("message"), F.col("session").cast("string").alias("session"), "turn", "text")
+    found = written(sp.detect(held, **options).withColumn("row", F.monotonically_increasing_id()), "spans")
+    fakes, state = vault.run(vault.mentions(found), seed)
+    per = fakes.groupBy(F.col("row").alias("of_row")).agg(F.array_sort(F.collect_list(F.struct("i", "fake"))).alias("_fakes"))
+    columns = ["session" if c == "session" else F.col(f"message.`{c}`") for c in messages.columns]
+    both = found.join(per, found["row"] == per["of_row"], "left").select(*columns, "entities", "_fakes")
     put = F.expr("transform(entities, (x, i) -> named_struct('entity_type', x.entity_type, 'original', x.text, 'fake', _fakes[i].fake, 'start', x.start, 'end', x.end))")
     both = both.withColumn("replacements", put).withColumn("fake_text", splice("text", "replacements")).drop("_fakes")
     return both, state
@@ -72,11 +74,15 @@ def pseudonymize(messages: DataFrame, seed: str = "0", **options: object) -> tup
 
 def depseudonymize(texts: DataFrame, state: DataFrame, text: str = "text", out: str = "restored", fuzzy: bool = False) -> DataFrame:
     """Adds `out` to (session, text): originals put back, exactly or also for words near to a name's forms."""
-    full = texts.join(vault.restorations(state), "session", "left").withColumn("forms", F.coalesce("forms", F.expr("cast(array() as array<struct<form:string,original:string,kind:string>>)")))
+    def joined(frame: DataFrame, more: DataFrame) -> DataFrame:
+        more = more.withColumnRenamed("session", "_of")
+        return frame.join(more, F.col("session").cast("string").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+    full = joined(texts, vault.restorations(state)).withColumn("forms", F.coalesce("forms", F.expr("cast(array() as array<struct<form:string,original:string,kind:string>>)")))
     full = full.withColumn(out, restore(text, "forms")).drop("forms")
     if not fuzzy:
         return full
-    return full.join(vault.name_tokens(state), "session", "left").withColumn(out, fuzzy_restore(out, "tokens")).drop("tokens")
+    return joined(full, vault.name_tokens(state)).withColumn(out, fuzzy_restore(out, "tokens")).drop("tokens")
 
 
 def round_trip(messages: DataFrame, seed: str = "0", **options: object) -> DataFrame:
@@ -86,7 +92,8 @@ def round_trip(messages: DataFrame, seed: str = "0", **options: object) -> DataF
     answer = echo(hidden.select("session", "turn", "role", F.col("fake_text").alias("text"))).withColumnRenamed("answer", "text")
     totals = hidden.groupBy("session").agg(F.sum(F.size("entities")).cast("long").alias("entities"))
     back = depseudonymize(answer, state, out="answer", fuzzy=True).withColumnRenamed("text", "sent")
-    return back.join(totals, "session")
+    totals = totals.withColumnRenamed("session", "_of")
+    return back.join(totals, back["session"].eqNullSafe(totals["_of"])).drop("_of")
 
 
 def same_text(a: Column, b: Column) -> Column:

@@ -90,6 +90,13 @@ def confusion(docs: DataFrame, key: str = "doc_id", gold: str = "gold", predicte
     return out
 
 
+def confusion_grid(cells: DataFrame) -> DataFrame:
+    """All cells, those that don't occur with 0: each type and MISS, against each type and SPURIOUS."""
+    spark = cells.sparkSession
+    labels = [(g, p) for g in (*CANONICAL, MISS, SPURIOUS) for p in (*CANONICAL, MISS, SPURIOUS)]
+    return spark.createDataFrame(labels, "gold string, predicted string").join(cells, ["gold", "predicted"], "left").na.fill(0, ["n"])
+
+
 def error_spans(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, kind and a line for each: TYPE: text for what was missed, TYPE@start for what was made up."""
     line = F.when(F.col("match_kind") == "fn", F.concat("gold.type", F.lit(": "), "gold.text")).otherwise(F.concat("predicted.type", F.lit("@"), F.col("predicted.start").cast("string")))
@@ -199,6 +206,18 @@ def latency(samples: DataFrame, *by: str, ms: str = "ms") -> DataFrame:
     return out.select(*by, *[F.round(F.col("p")[i], 3).alias(n) for i, n in enumerate(("p50", "p90", "p99"))], "mean", "n")
 
 
+def mean_of_numbers(c: Column) -> Column:
+    """The mean without NaN and null; null if nothing is left."""
+    return F.avg(F.when(~F.isnan(c), c))
+
+
+def answer_summary(answers: DataFrame) -> DataFrame:
+    """One row: documents, those without a leak, and those whose answer holds every original. answers: leak_free and
+    reconstructed, of each document."""
+    count = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c)
+    return answers.agg(F.count(F.lit(1)).alias("documents"), count("leak_free"), count("reconstructed"))
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     """Longest common subsequence of two arrays: one row of the table is folded over the other array."""
     zero = F.array_repeat(F.lit(0), F.size(b) + 1)

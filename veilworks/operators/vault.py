@@ -3,6 +3,9 @@
 A mention looks up its key; a name that is not known reuses the fake of the one person whose words contain, or are
 contained in, its own; all else is minted, unused in the session. The state machine is plain Python and is run by
 `applyInPandas` over a session's mentions or by the streaming operator over its state.
+
+Messages whose session is null make one session, whose name stays null. A null turn comes before all others; messages
+of one turn follow each other in the order of their rows.
 """
 
 from __future__ import annotations
@@ -36,7 +39,17 @@ class Vault:
     faces: dict[str, dict[str, str]] = field(default_factory=dict)  # fake base -> case -> form
     people: list[dict] = field(default_factory=list)  # names in order of arrival
     writes: int = 0
-    messages: int = 0
+
+    def __post_init__(self) -> None:
+        """Indexes over the state, which are not part of it."""
+        self.used = {*self.reverse, *self.faces}
+        self.by_word: dict[tuple[str, str], list[int]] = {}
+        for i, p in enumerate(self.people):
+            self._index(i, p)
+
+    def _index(self, i: int, p: dict) -> None:
+        for w in set(p["lemma"].lower().split()):
+            self.by_word.setdefault((p["kind"], w), []).append(i)
 
     def dumps(self) -> str:
         return json.dumps(asdict(self), ensure_ascii=False)
@@ -51,9 +64,10 @@ class Vault:
         """The part of a known fake that stands for this mention, if exactly one known fake fits."""
         own = key.lower().split()
         hits = []
-        for p in self.people:
+        for i in sorted({i for w in own for i in self.by_word.get((kind, w), ())}):
+            p = self.people[i]
             theirs = p["lemma"].lower().split()
-            if p["kind"] == kind and own and theirs and (set(own) <= set(theirs) or set(theirs) <= set(own)):
+            if set(own) <= set(theirs) or set(theirs) <= set(own):
                 hits.append((p["fake"], theirs))
         if len({fake for fake, _ in hits}) != 1:
             return None
@@ -70,8 +84,11 @@ class Vault:
             for case, form in self.faces[fake].items():
                 self.reverse.setdefault(form, {"original": original, "case": case, "kind": kind, "exact": False})
             self.people.append({"lemma": key, "fake": fake, "kind": kind})
+            self._index(len(self.people) - 1, self.people[-1])
+            self.used.update((fake, *self.faces[fake].values()))
         else:
             self.reverse[fake] = {"original": text, "case": None, "kind": kind, "exact": True}
+            self.used.add(fake)
         self.writes += 1
 
     def get_or_create(self, kind: str, key: str, text: str, lemma: str | None = None, case: str | None = None, gender: str | None = None) -> str:
@@ -82,12 +99,13 @@ class Vault:
             if fake is not None:
                 self._write(kind, key, text, lemma, fake, forms(fake, pattern_of(fake, gender)) if " " not in fake else self.faces.get(fake, {}))
         if fake is None:
-            made = mint(kind, f"{self.session}|{key}", {*self.reverse, *self.faces}, self.seed, text, gender)
+            made = mint(kind, f"{self.session}|{key}", self.used, self.seed, text, gender)
             fake = made.base
             self._write(kind, key, text, lemma, fake, made.forms)
         form = self.faces.get(fake, {}).get(case or "nom", fake) if name else fake
         if name:  # the surface that this form stood in for
             self.reverse[form] = {"original": text, "case": case, "kind": kind, "exact": True}
+            self.used.add(form)
         return form
 
     # -- fakes to originals
@@ -136,14 +154,17 @@ class Vault:
 
 MENTION = "session string, ord long, entity_type string, key string, text string, lemma string, case string, gender string"
 MAPPED = "session string, ord long, fake string"
+#: Beside MENTION in batch: the message's row and the mention's place in it, which name a mention.
+PLACE = ("row", "i")
 STATE = "session string, vault string"
 
 
 def mentions(messages: DataFrame, spans: str = "entities") -> DataFrame:
-    """Rows for `run`, from (session, turn, spans); ord is the order in the session."""
-    x = messages.select(F.col("session").cast("string").alias("session"), "turn", F.posexplode_outer(spans).alias("i", "x")).filter("i is not null")
-    ordinal = (F.col("turn").cast("long") * F.lit(1 << 20) + F.col("i")).alias("ord")
-    return x.select("session", ordinal, "x.entity_type", mapping_key(F.col("x.entity_type"), F.col("x.text"), F.col("x.lemma")).alias("key"), "x.text", "x.lemma", "x.case", F.col("x.metadata.gender").alias("gender"))
+    """Rows for `run`, from (session, turn, spans) and row, if there is one; ord is the order in the session."""
+    place = PLACE if "row" in messages.columns else ()
+    x = messages.select(F.col("session").cast("string").alias("session"), "turn", *place[:1], F.posexplode_outer(spans).alias("i", "x")).filter("i is not null")
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 40)))
+    return x.select("session", (turn * F.lit(1 << 20) + F.col("i")).alias("ord"), *place, "x.entity_type", mapping_key(F.col("x.entity_type"), F.col("x.text"), F.col("x.lemma")).alias("key"), "x.text", "x.lemma", "x.case", F.col("x.metadata.gender").alias("gender"))
 
 
 def replay(vault: Vault, rows: Iterable[dict]) -> list[tuple[str, int, str]]:
@@ -155,19 +176,21 @@ def replay(vault: Vault, rows: Iterable[dict]) -> list[tuple[str, int, str]]:
 
 
 def run(rows: DataFrame, seed: str = "0") -> tuple[DataFrame, DataFrame]:
-    """Mentions with their fakes, and the state of each session.
+    """(session, row, i, fake) of the mentions (with row and i), and the state of each session.
 
     A session's mentions depend on each other in order, so a session is one group; that is the only shuffle.
     """
 
     def states(pdf: pd.DataFrame) -> pd.DataFrame:
-        vault = Vault(str(pdf["session"].iloc[0]), seed)
-        made = replay(vault, pdf.sort_values("ord").to_dict("records"))
-        return pd.DataFrame({"session": [vault.session] * (len(made) + 1), "ord": [o for _, o, _ in made] + [-1], "fake": [f for _, _, f in made] + [vault.dumps()]})
+        key = pdf["session"].iloc[0]
+        vault = Vault("" if key is None or key != key else key, seed)
+        pdf = pdf.assign(turn=pdf["ord"] // (1 << 20)).sort_values(["turn", "row", "i"])
+        made = replay(vault, pdf.to_dict("records"))
+        return pd.DataFrame({"session": [key] * (len(made) + 1), "row": [*pdf["row"], -1], "i": [*pdf["i"], -1], "fake": [f for _, _, f in made] + [vault.dumps()]})
 
     states.__annotations__ = {"pdf": pd.DataFrame, "return": pd.DataFrame}
-    both = written(rows.groupBy("session").applyInPandas(states, MAPPED), "vault")  # read for fakes and for states
-    return both.filter("ord >= 0"), both.filter("ord < 0").select("session", F.col("fake").alias("vault"))
+    both = written(rows.groupBy("session").applyInPandas(states, "session string, row long, i int, fake string"), "vault")  # read for fakes and for states
+    return both.filter("i >= 0"), both.filter("i < 0").select("session", F.col("fake").alias("vault"))
 
 
 def _unfolded(state: DataFrame, schema: str, make) -> DataFrame:

@@ -47,7 +47,7 @@ class Evaluation:
         reports.leaks_csv(self.leaks, self.documents, f"{path}/leaks")
         reports.restoration_csv(self.restoration_totals, f"{path}/restoration")
         reports.write_json(self.restoration, f"{path}/documents")
-        summary = self.stats.join(self.version, how="cross").join(self.exact_rate, how="cross")  # one row each
+        summary = self.stats.join(self.version, how="cross").join(self.exact_rate, how="cross").join(scoring.answer_summary(self.answers), how="cross")  # one row each
         reports.write_json(summary, f"{path}/aggregate")
 
 
@@ -69,11 +69,14 @@ def evaluate(docs: DataFrame, seed: str = "0", **options: object) -> Evaluation:
     found = {p: scoring.outcomes(a) for p, a in aligned.items()}
     odd = unmapped.count()
     back = chat.depseudonymize(seen.select(F.col("doc_id").alias("session"), "fake_text"), state, text="fake_text")
+    echoed = chat.echo(seen.select(F.col("doc_id").alias("session"), F.lit(1).alias("turn"), F.lit("user").alias("role"), F.col("fake_text").alias("text")))
+    echoed = chat.depseudonymize(echoed, state, text="answer", out="restored", fuzzy=True)
     restored = docs.select("doc_id", F.col("entities").alias("gold")).join(back.select(F.col("session").alias("doc_id"), "restored"), "doc_id")
     details = scoring.restoration(restored)
     totals, rate = scoring.restoration_totals(details)
     leaked = scoring.leaks(rows.withColumnRenamed("fake_text", "outbound"), fakes="fakes")
-    answers = restored.select("doc_id", scoring.reconstructs(F.transform("gold", lambda x: x["text"]), F.col("restored")).alias("reconstructed"))
+    answered = docs.select("doc_id", F.col("entities").alias("gold")).join(echoed.select(F.col("session").alias("doc_id"), "restored"), "doc_id")
+    answers = answered.select("doc_id", scoring.reconstructs(F.transform("gold", lambda x: x["text"]), F.col("restored")).alias("reconstructed"))
     answers = answers.join(leaked.select("doc_id").distinct().withColumn("leaked", F.lit(True)), "doc_id", "left").select("doc_id", F.col("leaked").isNull().alias("leak_free"), "reconstructed")
     return Evaluation(
         {p: scoring.detection_report(f, odd) for p, f in found.items()}, {p: scoring.confusion(a, unmapped=odd) for p, a in aligned.items()}, scoring.error_spans(found["overlap"]), unmapped,

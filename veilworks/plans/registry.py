@@ -406,18 +406,26 @@ c AS (SELECT g AS type, CASE WHEN g = p THEN 1 ELSE 0 END AS tp, 0 AS fp, CASE W
       UNION ALL SELECT p, 0, CASE WHEN g IS NULL OR g <> p THEN 1 ELSE 0 END, 0 FROM j WHERE p IS NOT NULL),
 k AS (SELECT type, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM c GROUP BY type),
 a AS (SELECT unnest(['{"', '".join(sp.CANONICAL)}']) AS type),
-x AS (SELECT a.type, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM a LEFT JOIN k USING (type) UNION ALL SELECT '__micro__', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT) FROM k)
-SELECT type, tp, fp, fn, tp + fn AS support, CAST(round(10000 * CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END) AS BIGINT) AS precision_e4, CAST(round(10000 * CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END) AS BIGINT) AS recall_e4 FROM x"""
+x AS (SELECT a.type, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM a LEFT JOIN k USING (type) UNION ALL SELECT '__micro__', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT) FROM k),
+y AS (SELECT type, tp, fp, fn, tp + fn AS support, CAST(round(10000 * CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END) AS BIGINT) AS precision_e4, CAST(round(10000 * CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END) AS BIGINT) AS recall_e4 FROM x)
+SELECT * FROM y
+UNION ALL SELECT '__macro__', 0, 0, 0, CAST(sum(support) AS BIGINT), CAST(round(avg(precision_e4)) AS BIGINT), CAST(round(avg(recall_e4)) AS BIGINT) FROM y WHERE support > 0 AND type <> '__micro__'"""
 )
 def detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = scoring.detection_report(scoring.outcomes(scoring.align(_gold(spark, sf_dir)))).filter("type <> '__macro__'")
+    report = scoring.detection_report(scoring.outcomes(scoring.align(_gold(spark, sf_dir))))
     e4 = lambda c: F.round(F.col(c) * 10000).cast("long").alias(f"{c}_e4")
     return report.select("type", "tp", "fp", "fn", "support", e4("precision"), e4("recall"))
 
 
-@query(f"WITH {_GOLD} SELECT coalesce(g, 'SPURIOUS') AS gold, coalesce(p, 'MISS') AS predicted, count(*) AS n FROM j GROUP BY ALL")
+@query(
+    f"""
+WITH {_GOLD}, c AS (SELECT coalesce(g, 'SPURIOUS') AS gold, coalesce(p, 'MISS') AS predicted, count(*) AS n FROM j GROUP BY ALL),
+l AS (SELECT unnest(['{"', '".join((*sp.CANONICAL, scoring.MISS, scoring.SPURIOUS))}']) AS label)
+SELECT a.label AS gold, b.label AS predicted, coalesce(n, 0) AS n FROM l a CROSS JOIN l b LEFT JOIN c ON c.gold = a.label AND c.predicted = b.label"""
+)
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.confusion(scoring.align(_gold(spark, sf_dir)))
+    """All 144 cells."""
+    return scoring.confusion_grid(scoring.confusion(scoring.align(_gold(spark, sf_dir))))
 
 
 @query(f"WITH {_GOLD} SELECT doc_id, count(*) AS n FROM j WHERE g = p AND doc_id % 3 = 0 GROUP BY doc_id")
@@ -440,21 +448,21 @@ def error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH c AS (SELECT event_type AS channel, value AS ms FROM events)
-SELECT channel, round(quantile_cont(ms, 0.5), 3) AS p50, round(quantile_cont(ms, 0.9), 3) AS p90, round(quantile_cont(ms, 0.99), 3) AS p99, count(*) AS n FROM c GROUP BY channel"""
+SELECT channel, round(quantile_cont(ms, 0.5), 3) AS p50, round(quantile_cont(ms, 0.9), 3) AS p90, round(quantile_cont(ms, 0.99), 3) AS p99, round(avg(ms), 3) AS mean, count(*) AS n FROM c GROUP BY channel"""
 )
 def latency_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), F.col("value").alias("ms"))
-    return scoring.latency(samples, "channel").drop("mean")
+    return scoring.latency(samples, "channel")
 
 
 @query(
     """
 WITH c AS (SELECT event_type AS channel, CASE WHEN user_id < 10 THEN '<10' WHEN user_id < 50 THEN '10-49' ELSE '>=50' END AS bucket, value AS ms FROM events)
-SELECT bucket, channel, round(quantile_cont(ms, 0.5), 3) AS p50, round(quantile_cont(ms, 0.9), 3) AS p90, round(quantile_cont(ms, 0.99), 3) AS p99, count(*) AS n FROM c GROUP BY ALL"""
+SELECT bucket, channel, round(quantile_cont(ms, 0.5), 3) AS p50, round(quantile_cont(ms, 0.9), 3) AS p90, round(quantile_cont(ms, 0.99), 3) AS p99, round(avg(ms), 3) AS mean, count(*) AS n FROM c GROUP BY ALL"""
 )
 def latency_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), dialog.bucket(F.col("user_id"), [10, 50]).alias("bucket"), F.col("value").alias("ms"))
-    return scoring.latency(samples, "bucket", "channel").drop("mean")
+    return scoring.latency(samples, "bucket", "channel")
 
 
 @query(

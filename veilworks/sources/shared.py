@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a folder of its own only where that is unset and all run on one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='veilworks-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
