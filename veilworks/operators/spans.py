@@ -86,7 +86,7 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
     Recognizer("EMAIL_ADDRESS", [(r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}\b", 0.99)], (), guard="@"),
     # digits and separators that can be a Polish number: nine digits, or more with the country's prefix
     Recognizer(
-        "PHONE_NUMBER", [(r"(?<![\w+])(?:\+48|0048)?[ \-]?\(?\d{2,3}\)?(?:[ \-]?\d{2,3}){2,3}(?!\w)", 0.40)], ["tel", "telefon", "kom"], guard=r"[0-9]{2}",
+        "PHONE_NUMBER", [(r"(?<![\w+])(?:(?:\+48|0048)[ \-]?)?\(?\d{2,3}\)?(?:[ \-]?\d{2,3}){2,3}(?!\w)", 0.40)], ["tel", "telefon", "kom"], guard=r"[0-9]{2}",
         keep=lambda t: F.length(F.regexp_replace(digits_only(t), r"^(?:00)?48(?=[0-9]{9}$)", "")) == 9,
     ),
 )

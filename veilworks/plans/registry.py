@@ -532,3 +532,6 @@ def labels_against_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule's verdicts beside labels, the input of a two-class report."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.contains("text", F.lit("|")).cast("int").alias("predicted"))
     return table(spark, sf_dir, "labels").select("doc_id", "toxic").join(docs, "doc_id")
+
+
+from veilworks.plans import further  # noqa: E402, F401  registers its queries here
