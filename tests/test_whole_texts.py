@@ -80,3 +80,21 @@ def test_documents(spark, tmp_path):
     assert len(sure[4]) > 3 and len(sure[5]) > 3 and rows_of(spark, tmp_path, "detect_planted") == sure
     masked = {r.doc_id: r.masked for r in registry.queries()["mask_documents"](spark, str(tmp_path)).collect()}
     assert masked == {i: None if t is None else brute_masked(t, want[i]) for i, t in texts.items()}
+
+
+def test_many_matches_and_distant_context(spark):
+    many = " ".join(f"w{i}" for i in range(30000))
+    far = "pesel" + " " * 500 + "44051401359"
+    rows = spark.createDataFrame([(1, many), (2, far), (3, None), (4, ""), (5, "pesel a b c d e 44051401359")], "doc_id long, text string")
+    words = {r.doc_id: r.w for r in rows.select("doc_id", sp.regex_spans("text", r"\w+").alias("w")).collect()}
+    assert [(x.start, x.end, x.text) for x in words[1]] == [(m.start(), m.end(), m.group()) for m in re.finditer(r"\w+", many)]
+    assert words[3] == [] and words[4] == []
+    found = {r.doc_id: r.score for r in sp.exploded(sp.detect(rows.filter("doc_id in (2, 5)"), recognizers=sp.RECOGNIZERS[:1]), "doc_id").collect()}
+    assert round(found[2], 2) == 0.99 and round(found[5], 2) == 0.8
+
+
+def test_gazetteer_runs_of_words(spark):
+    rows = spark.createDataFrame([(1, "Anna Maria Nowak, Gdynia"), (2, None), (3, "")], "doc_id long, text string")
+    gazetteer = spark.createDataFrame([("Anna Maria Nowak", "PERSON", "x", "nom"), ("Nowak, Gdynia", "PERSON", "y", "nom"), ("Gdynia", "LOCATION", "z", "nom")], "surface string, entity_type string, lemma string, case string")
+    got = {r.doc_id: sorted((x.start, x.end, x.text) for x in r.names) for r in sp.names_from_gazetteer(rows, gazetteer, "doc_id").collect()}
+    assert got == {1: [(0, 16, "Anna Maria Nowak"), (11, 24, "Nowak, Gdynia"), (18, 24, "Gdynia")]}

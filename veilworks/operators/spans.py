@@ -28,6 +28,8 @@ CONTEXT_BONUS, CEILING, CONTEXT_WORDS = 0.20, 0.99, 5
 NAME_SCORE = 0.85
 THRESHOLDS = {"PESEL": 0.25, "NIP": 0.25, "REGON": 0.25, "POLISH_BANK_ACCOUNT": 0.25, "POLISH_ADDRESS": 0.35, "DATE_TIME": 0.30, "PERSON": 0.40, "LOCATION": 0.40, "EMAIL_ADDRESS": 0.40, "PHONE_NUMBER": 0.40}
 DEFAULT_THRESHOLD = 0.30
+#: Characters before a span in which context words are looked for first.
+NEAR = 120
 #: Canonical names, and the labels that mean them.
 CANONICAL = ("PERSON", "LOCATION", "ADDRESS", "PESEL", "NIP", "REGON", "BANK_ACCOUNT", "EMAIL_ADDRESS", "PHONE_NUMBER", "DATE_TIME")
 ALIASES = {**{c: c for c in CANONICAL}, "POLISH_ADDRESS": "ADDRESS", "POLISH_BANK_ACCOUNT": "BANK_ACCOUNT", "NRB": "BANK_ACCOUNT", "IBAN": "BANK_ACCOUNT", "IBAN_CODE": "BANK_ACCOUNT"}
@@ -92,15 +94,35 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
 )
 
 
+def _bind(value: str, name: str, body: str) -> str:
+    """SQL: body, in which name stands for the value, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+#: SQL: where the matches z.m end, that lie between the pieces z.b. Sums run in blocks of about the root of their number, because
+#: an array that a fold appends to is copied each time.
+_ENDS = _bind(
+    "named_struct('l', transform(z.m, (x, i) -> length(z.b[i]) + length(x)), 'k', cast(ceil(sqrt(size(z.m))) as int))", "y",
+    _bind(
+        """aggregate(sequence(0, cast((size(y.l) - 1) div y.k as int)), named_struct('p', 0, 'o', cast(array() as array<int>)), (a, j) -> named_struct(
+            'p', a.p + aggregate(slice(y.l, j * y.k + 1, y.k), 0, (s, v) -> s + v), 'o', concat(a.o, array(a.p)))).o""", "f",
+        """flatten(transform(f, (p, j) -> aggregate(slice(y.l, j * y.k + 1, y.k), named_struct('p', p, 'o', cast(array() as array<int>)), (a, v) -> named_struct(
+            'p', a.p + v, 'o', concat(a.o, array(a.p + v)))).o))""",
+    ),
+)
+
+
+def _pieces(text: str, pattern: str) -> str:
+    """SQL: m, all matches, and b, what lies before, between and behind them."""
+    p = "r'(?imsuU)" + pattern.replace("'", r"\x27") + "'"
+    return f"named_struct('m', regexp_extract_all({text}, {p}, 0), 'b', split({text}, {p}))"
+
+
 def _matches(text: str, pattern: str, guard: str) -> str:
     """SQL: places and texts of all matches. What lies between matches and the matches add up to the offsets."""
-    p = "r'(?imsuU)" + pattern.replace("'", r"\x27") + "'"
-    found, between = f"regexp_extract_all({text}, {p}, 0)", f"split({text}, {p})"
-    fold = """aggregate(sequence(0, size(z.m) - 1), named_struct('p', 0, 'o', cast(array() as array<struct<start:int,end:int,text:string>>)), (a, i) ->
-        named_struct('p', a.p + length(z.b[i]) + length(z.m[i]), 'o', concat(a.o, array(named_struct(
-            'start', a.p + length(z.b[i]), 'end', a.p + length(z.b[i]) + length(z.m[i]), 'text', z.m[i]))))).o"""
+    made = _bind(_ENDS, "e", "transform(z.m, (x, i) -> named_struct('start', e[i] - length(x), 'end', e[i], 'text', x))")
     none = "cast(array() as array<struct<start:int,end:int,text:string>>)"
-    inner = f"transform(array(named_struct('m', {found}, 'b', {between})), z -> if(size(z.m) = 0, {none}, {fold}))[0]"
+    inner = _bind(_pieces(text, pattern), "z", f"if(size(z.m) = 0, {none}, {made})")
     g = "r'" + guard.replace("'", r"\x27") + "'"
     return f"if({text} is null{f' or not {text} rlike {g}' if guard else ''}, {none}, {inner})"
 
@@ -118,10 +140,11 @@ def context_near(text: Column, start: Column, words: Sequence[str]) -> Column:
     """Whether one of the last words before the place holds one of the given."""
     if not words:
         return F.lit(False)
-    width = 120
-    first = F.greatest(start - width, F.lit(0))
-    before = F.lower(F.substring(text, first + 1, start - first))
-    last = F.slice(F.concat(F.array(*[F.lit("")] * CONTEXT_WORDS), F.regexp_extract_all(before, F.lit(r"(?U)\w+"), 0)), -CONTEXT_WORDS, CONTEXT_WORDS)
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), 0)
+    near = tokens(F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))))
+    # of more words than are asked for, the last are whole; if so few are near, all that stands before is read
+    found = F.when((start <= NEAR) | (F.size(near) > CONTEXT_WORDS), near).otherwise(tokens(F.substring(text, F.lit(1), start)))
+    last = F.slice(F.concat(F.array(*[F.lit("")] * CONTEXT_WORDS), found), -CONTEXT_WORDS, CONTEXT_WORDS)
     return F.exists(last, lambda t: F.lit(False) if not words else _any(t, words))
 
 
@@ -203,15 +226,14 @@ def names_from_gazetteer(df: DataFrame, gazetteer: DataFrame, key: str, text: st
     The stand-in for a language model; any DataFrame of (key, names: array of SPAN) can take its place. The planner
     chooses the join by the gazetteer's size.
     """
-    grams = None
-    per = df.select(key, F.col(text).alias("_t"), regex_spans(text, r"(?U)\w+").alias("w"))
-    for n in range(1, words + 1):
-        runs = F.expr(f"if(size(w) < {n}, array(), transform(sequence(0, size(w) - {n}), i -> named_struct('s', w[i].start, 'e', w[i + {n - 1}].end)))")
-        g = per.select(key, "_t", F.explode(runs).alias("r"))
-        grams = g if grams is None else grams.unionByName(g)
-    grams = grams.withColumn("surface", F.expr("substring(_t, r.s + 1, r.e - r.s)"))
+    run = lambda n: "concat(z.m[i]" + "".join(f", z.b[i + {k}], z.m[i + {k}]" for k in range(1, n)) + ")"
+    runs = ", ".join(f"if(i + {n} <= size(z.m), named_struct('s', e[i] - length(z.m[i]), 'surface', {run(n)}), null)" for n in range(1, words + 1))
+    made = _bind(_ENDS, "e", f"flatten(transform(sequence(0, size(z.m) - 1), i -> filter(array({runs}), r -> r is not null)))")
+    none = "cast(array() as array<struct<s:int,surface:string>>)"
+    grams = df.select(key, F.explode(F.expr(_bind(_pieces(f"`{text}`", r"\w+"), "z", f"if(coalesce(size(z.m), 0) <= 0, {none}, {made})"))).alias("r"))
+    grams = grams.select(key, F.col("r.s").alias("s"), F.col("r.surface").alias("surface"))
     hit = grams.join(gazetteer, "surface")
-    span = F.struct(F.col("entity_type"), F.col("r.s").alias("start"), F.col("r.e").alias("end"), F.lit(NAME_SCORE).alias("score"), F.col("surface").alias("text"), F.struct(*[F.lit(None).alias(m) for m in META]).alias("metadata"), "lemma", "case").cast(SPAN)
+    span = F.struct(F.col("entity_type"), F.col("s").alias("start"), (F.col("s") + F.length("surface")).alias("end"), F.lit(NAME_SCORE).alias("score"), F.col("surface").alias("text"), F.struct(*[F.lit(None).alias(m) for m in META]).alias("metadata"), "lemma", "case").cast(SPAN)
     return hit.groupBy(key).agg(F.collect_list(span).alias("names"))
 
 
