@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilworks.sources.shared import drop, shared_dir, written  # noqa: F401
+
 #: Bytes that separate words: space and U+0009 to U+000D.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -20,36 +20,6 @@ BATCH_ROWS = 1000
 SLAB_BYTES = 1 << 19
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A folder of its own only where none is set and all run on one
-    machine, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='veilworks-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder once and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables of `written` that nothing reads any more."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what a Python worker holds at once: texts of a thousand rows, not ten thousand."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
