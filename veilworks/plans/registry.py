@@ -381,6 +381,22 @@ def chat_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(_private_chat(spark, sf_dir), seed="7")
 
 
+@query(
+    f"""
+WITH m AS (SELECT conv_id, turn, role, text, '44051' || lpad(CAST(conv_id % 100000 AS VARCHAR), 5, '0') AS ten FROM conversations),
+w AS (SELECT conv_id, turn, role, 'PESEL ' || ten || CAST((10 - {weighted_sql("ten", ids.PESEL_WEIGHTS)} % 10) % 10 AS VARCHAR) || CASE WHEN turn % 3 = 0 THEN ' napisz: u' || CAST(conv_id AS VARCHAR) || '@poczta.pl' ELSE '' END || '. ' || text AS text FROM m)
+SELECT CAST(conv_id AS VARCHAR) AS session, count(*) + CAST(sum(CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS entities, true AS hidden,
+  md5(coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), arg_max(text, turn))) AS answer
+FROM w GROUP BY conv_id"""
+)
+def answers_of_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The echoed answer comes back as the whole last user message, and what was sent holds none of its originals."""
+    trip = chat.round_trip(_private_chat(spark, sf_dir), seed="7")
+    sent = lambda pattern: F.contains("sent", F.nullif(F.regexp_extract("answer", pattern, 0), F.lit("")))
+    left = [F.coalesce(sent(p), F.lit(False)) for p in ("[0-9]{11}", r"u[0-9]+@poczta\.pl")]
+    return trip.select("session", "entities", (~(left[0] | left[1])).alias("hidden"), F.md5(F.col("answer").cast("binary")).alias("answer"))
+
+
 # ---------------------------------------------------------------- evaluation
 
 
