@@ -1,4 +1,5 @@
-from veilworks.plans.evaluate import EXIT_EMPTY, EXIT_LEAK, EXIT_OK, evaluate
+from veilworks.__main__ import main
+from veilworks.plans.evaluate import EXIT_EMPTY, EXIT_LEAK, EXIT_OK, EXIT_USAGE, evaluate
 from veilworks.sources import corpora
 
 
@@ -33,3 +34,12 @@ def test_leaks_and_empty_corpora(spark):
     assert run.exit_code() == EXIT_LEAK and [r.original for r in run.leaks.collect()] == ["Kowalski"]
     assert [r.line for r in run.errors.collect()] == ["PERSON: Kowalski"]
     assert evaluate(corpora.read_gold(spark)).exit_code() == EXIT_EMPTY
+
+
+def test_job(spark, tmp_path, capsys):
+    docs = corpus(spark, ("PESEL 44051401359", ("PESEL", "44051401359")))
+    corpora.write_gold(docs, str(tmp_path / "gold"))
+    assert main([str(tmp_path / "out"), str(tmp_path / "gold"), "--seed", "4"], spark) == EXIT_OK
+    assert spark.read.json(str(tmp_path / "out/aggregate")).first().n_docs == 1 and "documents: 1" in capsys.readouterr().err
+    assert main([str(tmp_path / "none"), str(tmp_path / "missing")], spark) == EXIT_EMPTY and not (tmp_path / "none").exists()
+    assert main([], spark) == EXIT_USAGE and main(["a", "b", "--what"], spark) == EXIT_USAGE

@@ -93,6 +93,12 @@ def test_latency_and_answers(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4)] + [("b", 5.0)], "channel string, ms double")
     got = {r.channel: (r.p50, r.p90, r.p99, r["mean"], r.n) for r in sc.latency(df, "channel").collect()}
     assert got == {"a": (2.5, 3.7, 3.97, 2.5, 4), "b": (5.0, 5.0, 5.0, 5.0, 1)}
+    odd = spark.createDataFrame([(None, 3.0), (None, 5.0), ("c", None)], "channel string, ms double")
+    got = {r.channel: (r.p50, r.p99, r["mean"], r.n) for r in sc.latency(odd, "channel").collect()}
+    assert got == {None: (4.0, 4.98, 4.0, 2), "c": (None, None, None, 0)}
+    row = sc.latency(odd).first()
+    assert (row.p50, row.n) == (4.0, 2)
+    assert sc.latency(odd.limit(0), "channel").count() == 0
     pairs = spark.createDataFrame([("a b c d", "a c d"), ("", "x"), ("a b", "c")], "a string, b string")
     assert [r[0] for r in pairs.select(sc.rouge_l(F.col("a"), F.col("b"))).collect()] == [0.8571, 0.0, 0.0]
     values = spark.createDataFrame([(["Jan Kowalski", "44051401359", "brak"], "to Kowalski 440-514-01359"), ([], "x")], "v array<string>, a string")
@@ -101,6 +107,17 @@ def test_latency_and_answers(spark):
     assert [r[0] for r in values.select(sc.reconstructs(F.col("v"), F.col("a"))).collect()] == [False, True]
 
 
+@pytest.mark.parametrize("value", ["rand(3) * 1000", "floor(rand(3) * 40)", "if(id % 3 = 0, 7, rand(3))", "exp(rand(3) * 20)"])
+def test_latency_in_bands(spark, monkeypatch, value):
+    """Large groups are read in bands only; a third of all values may be one."""
+    monkeypatch.setattr(sc, "SKETCH", 500)
+    monkeypatch.setattr(sc, "EXACT_ROWS", 5000)
+    df = spark.range(30000).selectExpr("if(id < 40, 'small', 'large') as channel", f"cast({value} as double) as ms")
+    got = {r.channel: (r.p50, r.p90, r.p99, r.n) for r in sc.latency(df, "channel").collect()}
+    for channel, mine in df.toPandas().groupby("channel")["ms"]:
+        assert got[channel] == (*[pytest.approx(mine.quantile(q), abs=6e-4) for q in sc.QUANTILES], len(mine))
+
+
 def test_corpus(spark):
     rows = [("b", "synthetic", "t2", [("PERSON", 0, 1, "t")]), ("a", "real", "t1", [])]
     df = spark.createDataFrame(rows, f"doc_id string, source string, text string, entities {SPANS}")
@@ -111,3 +128,5 @@ def test_corpus(spark):
     version = sc.corpus_hash(df).first().version
     assert len(version) == 16 and version == sc.corpus_hash(df.repartition(3)).first().version
     assert version != sc.corpus_hash(df.withColumn("text", F.lit("x"))).first().version
+    assert version != sc.corpus_hash(df.union(df.limit(1))).first().version
+    assert len(sc.corpus_hash(df.limit(0)).first().version) == 16

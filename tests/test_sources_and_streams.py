@@ -1,3 +1,4 @@
+import json
 import time
 
 import pytest
@@ -5,6 +6,8 @@ from pyspark.sql import functions as F
 
 from veilworks.operators import scoring
 from veilworks.operators.generate import phone_col
+from veilworks.operators.spans import detect
+from veilworks.operators.vault import mentions
 from veilworks.sources import corpora, reports
 from veilworks.streaming import sessions
 
@@ -91,6 +94,29 @@ def test_session_stream(spark, tmp_path):
     assert len(mine) == 2 and mine[0] == mine[1] and len(got) == 3
 
 
+def test_deletion_in_the_stream(spark, tmp_path):
+    """What comes after a deletion knows nothing of what came before it; an unknown session may be deleted."""
+    schema = "session string, turn int, text string"
+    text = "PESEL 44051401359"
+    spark.createDataFrame([("a", 1, text), ("a", 2, text + " i NIP 1234563218"), ("a", 4, text)], schema).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("a", 2), ("b", 1)], "session string, turn int").write.parquet(str(tmp_path / "gone"))
+    found = mentions(detect(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))))
+    gone = sessions.deletions(spark.readStream.schema("session string, turn int").parquet(str(tmp_path / "gone")))
+    q = sessions.map_stream(found.unionByName(gone), idle=None).writeStream.format("memory").queryName("deleted").outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
+    q = q.trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    rows = sorted((r.ord >> 20, r.fake) for r in spark.table("deleted").collect())
+    assert [t for t, _ in rows] == [1, 2, 2, 4] and rows[0][1] in (rows[1][1], rows[2][1])
+    assert [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]][-1] == 1
+
+
+def test_access_log(spark):
+    rows = spark.createDataFrame([("s", 200, [1, 2], {"total": 1.5}), (None, 503, None, None)], "session string, status int, entities array<int>, timing_ms map<string,double>")
+    got = [json.loads(r.value) for r in reports.access_log(rows.withColumn("text", F.lit("tajne"))).collect()]
+    assert (got[0]["entities_detected"], got[0]["timing_ms"], got[0]["status"]) == (2, {"total": 1.5}, 200)
+    assert got[1]["entities_detected"] is None and got[1]["session"] is None and "text" not in got[1]
+
+
 def test_window_stream(spark, tmp_path):
     src = tmp_path / "ev"
     spark.createDataFrame([("2024-01-01 00:00:10", "detect", 5.0), ("2024-01-01 00:00:40", "detect", 7.0), ("2024-01-01 00:01:10", "detect", 9.0)], "t string, channel string, ms double").select(F.to_timestamp("t").alias("ts"), "channel", "ms").write.parquet(str(src))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilworks.functions import surface as su
@@ -199,11 +199,43 @@ def restoration_totals(details: DataFrame, key: str = "doc_id") -> tuple[DataFra
 # ---------------------------------------------------------------- latency and answers
 
 
+QUANTILES = (0.5, 0.9, 0.99)
+SKETCH = 10000  # ranks of a sketch are off by one part of this at most
+EXACT_ROWS = 10 * SKETCH  # below this many values a band is all of a group, since rounding of ranks weighs more than the sketch
+
+
 def latency(samples: DataFrame, *by: str, ms: str = "ms") -> DataFrame:
-    """p50, p90, p99, mean and n of each group, exact, interpolated, rounded to 3 places."""
-    p = F.percentile(ms, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    out = samples.groupBy(*by).agg(p.alias("p"), F.round(F.avg(ms), 3).alias("mean"), F.count(ms).alias("n"))
-    return out.select(*by, *[F.round(F.col("p")[i], 3).alias(n) for i, n in enumerate(("p50", "p90", "p99"))], "mean", "n")
+    """p50, p90, p99, mean and n of each group, exact, interpolated at p * (n - 1), rounded to 3 places.
+
+    A sketch of each group gives a band of values around each percentile; values below a band are only counted, and
+    equal values within it are counted before they are put in order. A task so orders the distinct values of a band,
+    about four in SKETCH of a large group. Groups may be null; null values don't count; a group without values has nulls.
+    """
+    keys, value, places = [f"_k{i}" for i in range(len(by))], F.col("_v"), range(len(QUANTILES))
+    rows = samples.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(ms).cast("double").alias("_v"))
+    ends = [max(0.0, q - 2 / SKETCH) for q in QUANTILES] + [min(1.0, q + 2 / SKETCH) for q in QUANTILES]
+    groups = rows.groupBy(*keys).agg(F.percentile_approx("_v", ends, SKETCH).alias("_ends"), F.round(F.avg("_v"), 3).alias("mean"), F.count("_v").alias("n"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys] or [F.lit(True)]
+    one = [f"r.{k}" for k in keys]
+
+    ends_of = groups.select(*keys, "n", F.when(F.col("n") >= EXACT_ROWS, F.col("_ends")).alias("_ends"))
+    held = rows.filter("_v is not null").alias("r").join(ends_of.alias("g"), same).select(*one, "_v", "n", "_ends")
+    side = [F.coalesce(F.when(value < F.col("_ends")[i], -1).when(value > F.col("_ends")[i + len(QUANTILES)], 1), F.lit(0)) for i in places]
+    held = held.select(*keys, "n", "_v", F.array(*side).alias("_side"))
+    counted = held.groupBy(*keys, "n", "_side", F.when(F.array_contains("_side", 0), value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+    # of each percentile, all values below its band become one row without a value, which comes first
+    targets = F.array(*[F.struct(F.lit(i).alias("i"), F.col("_side")[i].alias("side"), F.lit(q).alias("q")) for i, q in enumerate(QUANTILES)])
+    band = counted.select("*", F.explode(targets).alias("t")).filter("t.side <= 0")
+    band = band.groupBy(*keys, "t.i", (F.col("t.q") * (F.col("n") - 1)).alias("_at"), F.when(F.col("t.side") == 0, value).alias("_v")).agg(F.sum("_n").alias("_n"))
+    ranked = band.withColumn("_to", F.sum("_n").over(Window.partitionBy(*keys, "i", "_at").orderBy(value.asc_nulls_first())))
+    at = lambda rank: F.min(F.when(value.isNotNull() & (F.col("_to") > rank), value))
+    found = ranked.groupBy(*keys, "i", "_at").agg(at(F.floor("_at")).alias("_low"), at(F.ceil("_at")).alias("_high"))
+    found = found.withColumn("_p", F.round(F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at")), 3))
+    names = [f"p{round(q * 100)}" for q in QUANTILES]
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("_p"))).alias(names[i]) for i in places])
+    out = groups.select(*keys, "mean", "n").alias("r").join(wide.alias("g"), same, "left")
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, one, strict=True)], *names, "mean", "n")
 
 
 def mean_of_numbers(c: Column) -> Column:
@@ -287,14 +319,13 @@ def target_warnings(stats: DataFrame, docs: int = 50, entities: int = 500) -> Da
     return stats.select(F.explode(F.filter(rows, lambda w: w.isNotNull())).alias("warning"))
 
 
-def corpus_hash(docs: DataFrame, buckets: int = 64) -> DataFrame:
-    """version: 16 hex digits over id, text and number of entities of all documents in order of id.
+def corpus_hash(docs: DataFrame) -> DataFrame:
+    """version: 16 hex digits over id, text and number of entities of all documents, in any order; null counts as empty.
 
-    Each row is hashed where it is; hashes are put in order and hashed in ranges of ids, and the ranges' hashes once
-    more, so no task gets all texts.
+    Each row is hashed where it is, and four numbers of 60 bits of its hash are added up over all rows: partial sums
+    meet in one row, and no task gets a list. Rows that occur again count again.
     """
-    row = F.sha2(F.concat(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), F.size("entities").cast("string")), 256)
-    hashed = docs.select(F.col("doc_id").cast("string").alias("id"), row.alias("h"))
-    ranges = hashed.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    parts = ranges.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return parts.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256), 1, 16).alias("version"))
+    row = F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.greatest(F.size("entities"), F.lit(0)).cast("string"))
+    hashed = docs.select(F.sha2(row, 256).alias("h"))
+    lanes = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(28,0)")), F.lit(0)).cast("string") for i in range(4)]
+    return hashed.agg(F.concat_ws(",", F.count(F.lit(1)).cast("string"), *lanes).alias("sums")).select(F.substring(F.sha2("sums", 256), 1, 16).alias("version"))

@@ -16,7 +16,7 @@ from veilworks.operators import scoring, spans
 from veilworks.sources import reports
 from veilworks.sources.shared import written
 
-EXIT_OK, EXIT_LEAK, EXIT_EMPTY = 0, 1, 2
+EXIT_OK, EXIT_LEAK, EXIT_EMPTY, EXIT_USAGE = 0, 1, 2, 3
 
 
 @dataclass

@@ -281,3 +281,27 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines hold counts and no content."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.array(F.lit(1)).alias("entities"), "text")
     return reports.request_log(rows).select(F.get_json_object("value", "$.session").alias("session"), "value")
+
+
+@query(
+    """
+WITH h AS (SELECT sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(text, ''), '2')) AS h FROM documents)
+SELECT substr(sha256(concat_ws(',', count(*), coalesce(sum(('0x' || substr(h, 1, 15))::BIGINT), 0), coalesce(sum(('0x' || substr(h, 16, 15))::BIGINT), 0), coalesce(sum(('0x' || substr(h, 31, 15))::BIGINT), 0), coalesce(sum(('0x' || substr(h, 46, 15))::BIGINT), 0))), 1, 16) AS version FROM h"""
+)
+def corpus_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One version over all whole texts, each with two entities."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(F.lit(1), F.lit(2)).alias("entities"))
+    return scoring.corpus_hash(docs)
+
+
+@query(
+    """
+SELECT '{"ts":null,"session":"' || conv_id || '","endpoint":"/api/chat","status":' || CASE WHEN conv_id % 3 = 0 THEN 503 WHEN conv_id % 3 = 1 THEN 429 ELSE 500 END || ',"provider":"openai","model":null,"entities_detected":' || CASE WHEN conv_id % 2 = 0 THEN '1' ELSE 'null' END || ',"timing_ms":null}' AS value FROM conversations"""
+)
+def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each message taken as a request: errors' states, and the number of spans of chat requests alone."""
+    k = F.col("conv_id") % 3
+    kind = F.when(k == 0, "unreachable").when(k == 1, "rate_limit").otherwise("another")
+    spans = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit(1)))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.lit("/api/chat").alias("endpoint"), dialog.error_status(kind).alias("status"), F.lit("openai").alias("provider"), spans.alias("entities"), "text")
+    return reports.access_log(rows)

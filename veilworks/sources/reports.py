@@ -44,3 +44,17 @@ def request_log(messages: DataFrame) -> DataFrame:
     """One JSON line for each session, without content: counts only."""
     by = messages.groupBy("session").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.size("entities")).alias("entities"))
     return by.select(F.to_json(F.struct("session", "messages", "entities")).alias("value"))
+
+
+def access_log(requests: DataFrame) -> DataFrame:
+    """One JSON line for each request, without content. Fields that a request lacks are null, others are left out.
+
+    requests: rows with any of ts, session, endpoint (the route, without values of its parameters), status, provider,
+    model, entities (spans of a chat request, of which only the number is written) and timing_ms (a struct or map).
+    """
+    given = set(requests.columns)
+    plain = ("ts", "session", "endpoint", "status", "provider", "model")
+    fields = [(F.col(c) if c in given else F.lit(None).cast("string")).alias(c) for c in plain]
+    found = F.when(F.col("entities").isNotNull(), F.size("entities")) if "entities" in given else F.lit(None).cast("int")
+    timing = F.col("timing_ms") if "timing_ms" in given else F.lit(None).cast("map<string,double>")
+    return requests.select(F.to_json(F.struct(*fields, found.alias("entities_detected"), timing.alias("timing_ms")), {"ignoreNullFields": "false"}).alias("value"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilworks.operators.spans import detect
-from veilworks.operators.vault import MAPPED, Vault, mentions, replay
+from veilworks.operators.vault import MAPPED, MENTION, Vault, mentions, replay
 
 IDLE_SECONDS = 1800
 
@@ -18,6 +18,8 @@ IDLE_SECONDS = 1800
 def map_stream(rows: DataFrame, seed: str = "0", idle: int | None = IDLE_SECONDS) -> DataFrame:
     """Mentions (as of vault.mentions) with their fakes. A session's state lives while it has mentions, reads included.
 
+    A row without an entity_type deletes its session's state where it stands in the order; it gives no row, whether or
+    not there was a state.
     With idle None it never expires; a query that waits for expiry is never out of work, so it has to be stopped.
     """
     ends = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
@@ -28,10 +30,18 @@ def map_stream(rows: DataFrame, seed: str = "0", idle: int | None = IDLE_SECONDS
             return
         vault = Vault.loads(state.get[0]) if state.exists else Vault(str(key[0]), seed)
         held = [p for p in pdfs if len(p)]
-        made = replay(vault, pd.concat(held).sort_values("ord").to_dict("records")) if held else []
-        state.update((vault.dumps(),))
-        if idle is not None:
-            state.setTimeoutDuration(idle * 1000)
+        made: list[tuple] = []
+        for r in pd.concat(held).sort_values("ord", kind="stable").to_dict("records") if held else []:
+            if r["entity_type"] is None:
+                vault = Vault(str(key[0]), seed)
+            else:
+                made += replay(vault, [r])
+        if vault.writes:
+            state.update((vault.dumps(),))
+            if idle is not None:
+                state.setTimeoutDuration(idle * 1000)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(made, columns=["session", "ord", "fake"])
 
     return rows.groupBy("session").applyInPandasWithState(step, MAPPED, "vault string", "append", ends)
@@ -42,6 +52,13 @@ def pseudonymize_stream(messages: DataFrame, seed: str = "0", idle: int | None =
     return map_stream(mentions(detect(messages, **options)), seed, idle)
 
 
+def deletions(requests: DataFrame) -> DataFrame:
+    """Rows for map_stream, in union with mentions, from (session, turn): each ends its session after that turn."""
+    after = ((F.col("turn").cast("long") + 1) * F.lit(1 << 20) - 1).alias("ord")
+    none = [F.lit(None).cast("string").alias(c.split()[0]) for c in MENTION.split(", ")[2:]]
+    return requests.select(F.col("session").cast("string").alias("session"), after, *none)
+
+
 def latency_windows(events: DataFrame, width: str = "1 minute", late: str = "10 minutes", ts: str = "ts", channel: str = "channel", ms: str = "ms") -> DataFrame:
     """Counts and means of each channel in windows of time; rows later than the watermark are left out."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), channel).agg(F.count(F.lit(1)).alias("n"), F.avg(ms).alias("mean"), F.max(ms).alias("most"))
