@@ -38,6 +38,29 @@ def held_out(column: str, parts: int, part: int) -> F.Column:
     return F.expr(f"pmod(crc32(cast(coalesce(cast({column} as string), '') as binary)), {parts}) = {part}")
 
 
+# ---------------------------------------------------------------- vectors
+
+
+def finite_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """Without rows whose vector is null or holds a null or non-finite component."""
+    x = "cast(x as double)"
+    return vectors.filter(F.col(column).isNotNull()).filter(F.expr(f"forall(`{column}`, x -> x is not null and not isnan({x}) and abs({x}) < double('infinity'))"))
+
+
+def list_matrix(column: pa.Array | pa.ChunkedArray, kind: type, width: int = 0) -> np.ndarray:
+    """Lists without nulls as the rows of a matrix of at least `width` columns; shorter lists end with zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    width = max(width, int(sizes.max(initial=0)))
+    if len(sizes) and (sizes == width).all():
+        return flat.reshape(len(sizes), width).astype(kind)
+    out = np.zeros((len(sizes), width), kind)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(int(at[-1])) - np.repeat(at[:-1], sizes)] = flat
+    return out
+
+
 # ---------------------------------------------------------------- text buffers
 
 
@@ -119,9 +142,9 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix64(((sums[ends] - sums[starts]) * down[starts]) ^ (ends - starts).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Where words start and end. No word crosses the end of a text."""
-    inside = ~_IS_SPACE[data]
+    inside = ~separators[data]
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     before = np.empty_like(inside)

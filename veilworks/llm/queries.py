@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilworks.llm import encoding, language, maxscore, mixing, neardup, quality, secrets, sharding, substrings, toxicity
+from veilworks.llm import decontaminate, encoding, language, maxscore, mixing, neardup, quality, secrets, sharding, substrings, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_virtual_slots": sharding.query,
         "op9_pareto_mix": mixing.query,
         "op10_bottom_k": neardup.query,
+        "op11_wu_manber": decontaminate.query,
+        "op13_jacobi_whitening": whitening.query,
     }
 
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": quality.ORACLE_SQL,
         "op9_pareto_mix": mixing.ORACLE_SQL,
         "op10_bottom_k": neardup.ORACLE_SQL,
+        "op11_wu_manber": decontaminate.ORACLE_SQL,
     }
