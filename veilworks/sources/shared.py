@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of sessions that have none set, by application; only where all runs on one machine.
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of its own only where that is unset and all run on one machine, as in tests."""
@@ -14,8 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='veilworks-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='veilworks-')}"
+        where = _own[app]
     return where.rstrip("/")
 
 
@@ -34,3 +39,26 @@ def drop(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables that live as long as a with block: what is read after it has to be written by `keep`, or to the caller's own place."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        self.tables.append(written(df, tag))
+        return self.tables[-1]
+
+    @staticmethod
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        """A table that outlives the block; its reader deletes it by `drop`."""
+        return written(df, tag)
+
+    def __exit__(self, *_: object) -> None:
+        drop(*self.tables)
+        self.tables.clear()
