@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilworks.sources.shared import drop, shared_dir, written  # noqa: F401
+from veilworks.sources.shared import Scratch, drop, shared_dir, written  # noqa: F401
 
 #: Bytes that separate words: space and U+0009 to U+000D.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"

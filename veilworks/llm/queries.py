@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilworks.llm import decontaminate, encoding, language, maxscore, mixing, neardup, quality, secrets, sharding, substrings, toxicity, whitening
+from veilworks.llm import decontaminate, encoding, hardneg, language, maxscore, mixing, neardup, quality, secrets, sharding, substrings, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pareto_mix": mixing.query,
         "op10_bottom_k": neardup.query,
         "op11_wu_manber": decontaminate.query,
+        "op12_cover_tree_negatives": hardneg.query,
         "op13_jacobi_whitening": whitening.query,
     }
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_pareto_mix": mixing.ORACLE_SQL,
         "op10_bottom_k": neardup.ORACLE_SQL,
         "op11_wu_manber": decontaminate.ORACLE_SQL,
+        "op12_cover_tree_negatives": hardneg.ORACLE_SQL,
     }
