@@ -21,6 +21,7 @@ results; further columns, of whatever name, are ignored.
 from __future__ import annotations
 
 import heapq
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,10 @@ POSITIVES, NEGATIVES = 5, 3
 #: Percent of a positive's score between which its negatives' scores lie.
 LOWEST, HIGHEST = 50, 95
 #: Rows of a tree and anchors of a block; cells at most, and rows of which their pivots are chosen.
-SHARD, ANCHORS, PIVOTS, SAMPLE = 4096, 8192, 256, 4096
-#: Candidates of a leaf, ratio of the covering radii of two levels, and members below which a child is pooled with others.
-LEAF, BASE, SMALL = 64, 1.3, 8
+SHARD, ANCHORS, PIVOTS, SAMPLE = 8192, 8192, 256, 4096
+#: Candidates of a leaf, ratio of the covering radii of two levels, members below which a child is pooled with others,
+#: and such children in a row after which the rest of a level is pooled: so few are near each other that no bound parts them.
+LEAF, BASE, SMALL, STALLED = 256, 1.3, 8, 32
 _FAR = (1 << 63) - 1  # stands for a null vec_id
 
 
@@ -59,9 +61,12 @@ def bounds(dots: np.ndarray, radius: np.ndarray, q_norm: float, norm: float) ->
 
 
 class CoverTree:
-    """Nodes by number: radius, children or members, and the label that all members share, if they do."""
+    """Nodes by number: radius, children or members, and the label that all members share, if they do.
 
-    def __init__(self, codes: np.ndarray, labels: np.ndarray):
+    codes count bounds, `scored` (the same numbers) scores, in a kind that is exact.
+    """
+
+    def __init__(self, codes: np.ndarray, labels: np.ndarray, scored: np.ndarray):
         self.norm = float(np.sqrt((codes.astype(np.float64) ** 2).sum(1).max(initial=0.0)))
         self.points = augmented(codes, self.norm**2)
         self.labels = labels
@@ -75,6 +80,7 @@ class CoverTree:
             self._grow(self._node(0, everyone, self._distance(everyone, 0)), everyone)
         self.centres = codes[self.centre].astype(np.float64) if len(codes) else np.zeros((0, codes.shape[1]))
         self.radii = np.array(self.radius)
+        self.leaves = {i: (m, np.ascontiguousarray(scored[m]), labels[m]) for i, m in enumerate(self.members) if m is not None}
 
     def _distance(self, members: np.ndarray, centre: int) -> np.ndarray:
         away = self.points[members] - self.points[centre]
@@ -111,63 +117,63 @@ class CoverTree:
         """The next level below: centres more than its covering radius apart, each with those it covers. What few are
         covered by is pooled in order of the centres."""
         reach = self.radius[node] / BASE
-        made, few = [], []
+        made, few, stalled = [], [], 0
         centre, rest = self.centre[node], members
-        while len(rest):
+        while len(rest) and stalled < STALLED:
             away = self._distance(rest, centre)
             near = away <= reach
             own = rest[near]
             if len(own) < SMALL:
                 few.append(own)
+                stalled += 1
             else:
                 made.append((centre, own, away[near]))
+                stalled = 0
             rest = rest[~near]
             if len(rest):
                 centre = int(rest[0])
-        return made, np.concatenate(few) if few else members[:0]
+        return made, np.concatenate([*few, rest])
 
-    def search(self, query: np.ndarray, codes: np.ndarray, ids: np.ndarray, k: int, low: np.ndarray, high: np.ndarray, label: int | None = None, skip: np.ndarray | None = None) -> list[np.ndarray]:
-        """For each window from low to high the k best members: places in codes, by score and then by id.
+    def search(self, query: np.ndarray, ids: np.ndarray, k: int, low: np.ndarray, high: np.ndarray, label: int | None = None, skip: int = -1) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each window from low to high the k best members and their scores, by score and then by id.
 
-        label: members of it don't count; skip: members that don't count either. codes has the kind that counts scores exactly.
+        label: members of it don't count; skip: a member that doesn't count either.
         """
-        best = [np.zeros(0, np.int64) for _ in low]
-        scores = [np.zeros(0, codes.dtype) for _ in low]
-        if not self.centre:
-            return best
-        need, q = low.astype(np.float64), query.astype(np.float64)
-        q_norm = float(np.sqrt(q @ q))
-        open_ = low <= high
-        least, most = bounds(self.centres[:1] @ q, self.radii[:1], q_norm, self.norm)
-        heap = [(-float(most[0]), 0, float(least[0]))]
-        while heap and open_.any():
-            upper, node, lower = heapq.heappop(heap)
-            open_ &= need <= -upper  # all that is left is below
-            if not (open_ & (lower <= high)).any() or (label is not None and self.only[node] == label):
-                continue
-            kids = self.children[node]
-            if kids is not None:
-                least, most = bounds(self.centres[kids] @ q, self.radii[kids], q_norm, self.norm)
-                meets = ((most[:, None] >= need) & (least[:, None] <= high) & open_).any(1)
-                for i in np.flatnonzero(meets):
-                    heapq.heappush(heap, (-float(most[i]), int(kids[i]), float(least[i])))
-                continue
-            own = self.members[node]
-            if label is not None:
-                own = own[self.labels[own] != label]
-            got = codes[own] @ query
-            for j in np.flatnonzero(open_):
-                fits = (got >= need[j]) & (got <= high[j])
-                if skip is not None:
-                    fits &= ~np.isin(own, skip)
-                if not fits.any():
+        best: list[list[tuple[float, int, int]]] = [[] for _ in low]  # (-score, id, member), rising
+        if self.centre:
+            q = query.astype(np.float64)
+            q_norm = float(np.sqrt(q @ q))
+            need, most_of, open_ = [float(x) for x in low], [float(x) for x in high], [j for j in range(len(low)) if low[j] <= high[j]]
+            least, most = bounds(self.centres[:1] @ q, self.radii[:1], q_norm, self.norm)
+            heap = [(-float(most[0]), 0, float(least[0]))]
+            while heap:
+                upper, node, lower = heapq.heappop(heap)
+                open_ = [j for j in open_ if need[j] <= -upper]  # all that is left is below
+                if not open_:
+                    break
+                from_, to = min(need[j] for j in open_), max(most_of[j] for j in open_)
+                if lower > to or (label is not None and self.only[node] == label):
+                    continue
+                kids = self.children[node]
+                if kids is not None:
+                    least, most = bounds(self.centres[kids] @ q, self.radii[kids], q_norm, self.norm)
+                    for i in np.flatnonzero((most >= from_) & (least <= to)):
+                        heapq.heappush(heap, (-float(most[i]), int(kids[i]), float(least[i])))
                     continue
-                place, score = np.concatenate([best[j], own[fits]]), np.concatenate([scores[j], got[fits]])
-                order = np.lexsort((ids[place], -score))[:k]
-                best[j], scores[j] = place[order], score[order]
-                if len(order) == k:
-                    need[j] = max(need[j], float(score[order[-1]]))
-        return best
+                own, rows, labels = self.leaves[node]
+                got = rows @ query
+                for i in np.flatnonzero((got >= from_) & (got <= to)):
+                    member, score = int(own[i]), got[i]
+                    if member == skip or (label is not None and labels[i] == label):
+                        continue
+                    one = (-score, int(ids[member]), member)
+                    for j in open_:
+                        if need[j] <= score <= most_of[j] and (len(best[j]) < k or one < best[j][-1]):
+                            insort(best[j], one)
+                            del best[j][k:]
+                            if len(best[j]) == k:
+                                need[j] = max(need[j], float(-best[j][-1][0]))
+        return [(np.array([m for _, _, m in b], np.int64), np.array([-s for s, _, _ in b], query.dtype)) for b in best]
 
 
 # ---------------------------------------------------------------- rows, cells and shards
@@ -208,15 +214,15 @@ def _positives(anchors: pa.Table, rows: pa.Table) -> pa.Table:
     if anchors.num_rows and rows.num_rows:
         q, d = _both(anchors, rows)
         kind = _kind(q, d)
-        tree, ids, names, scored = CoverTree(d, np.zeros(len(d), np.int64)), _ids(rows.column("vec_id")), rows.column("row").to_numpy(), d.astype(kind)
+        tree, ids, names = CoverTree(d, np.zeros(len(d), np.int64), d.astype(kind)), _ids(rows.column("vec_id")), rows.column("row").to_numpy()
         place = {r: i for i, r in enumerate(names.tolist())}
         whole = np.array([-(1 << 62)]), np.array([1 << 62])
         for x, own in zip(q.astype(kind), anchors.column("row").to_pylist(), strict=True):
-            got = tree.search(x, scored, ids, POSITIVES, *whole, skip=np.array([place[own]]) if own in place else None)[0]
+            got, score = tree.search(x, ids, POSITIVES, *whole, skip=place.get(own, -1))[0]
             out["anchor"] += [own] * len(got)
             out["row"] += names[got].tolist()
             out["positive_id"] += [None if i == _FAR else i for i in ids[got].tolist()]
-            out["positive_score"] += [int(s) for s in scored[got] @ x]
+            out["positive_score"] += [int(s) for s in score]
     return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
 
@@ -309,16 +315,16 @@ def _negatives(anchors: pa.Table, rows: pa.Table) -> pa.Table:
     if anchors.num_rows and rows.num_rows:
         q, d = _both(anchors, rows)
         kind = _kind(q, d)
-        labels, ids, names, scored = rows.column("label").to_numpy(), _ids(rows.column("vec_id")), rows.column("row").to_numpy(), d.astype(kind)
-        tree = CoverTree(d, labels)
+        ids, names = _ids(rows.column("vec_id")), rows.column("row").to_numpy()
+        tree = CoverTree(d, rows.column("label").to_numpy(), d.astype(kind))
         for x, own, label, found in zip(q.astype(kind), anchors.column("row").to_pylist(), anchors.column("label").to_pylist(), anchors.column("windows").to_pylist(), strict=True):
             low, high = (np.array([w[c] for w in found]) for c in ("low", "high"))
-            for w, got in zip(found, tree.search(x, scored, ids, NEGATIVES, low, high, label), strict=True):
+            for w, (got, score) in zip(found, tree.search(x, ids, NEGATIVES, low, high, label), strict=True):
                 out["anchor"] += [own] * len(got)
                 out["place"] += [w["place"]] * len(got)
                 out["row"] += names[got].tolist()
                 out["negative_id"] += [None if i == _FAR else i for i in ids[got].tolist()]
-                out["negative_score"] += [int(s) for s in scored[got] @ x]
+                out["negative_score"] += [int(s) for s in score]
     return pa.table({c: pa.array(v, pa.int32() if kinds[c] == "int" else pa.int64()) for c, v in out.items()})
 
 
