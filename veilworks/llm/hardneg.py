@@ -143,8 +143,9 @@ class CoverTree:
         if self.centre:
             q = query.astype(np.float64)
             q_norm = float(np.sqrt(q @ q))
+            exact = query.dtype.kind == "f"
             need, most_of, open_ = [float(x) for x in low], [float(x) for x in high], [j for j in range(len(low)) if low[j] <= high[j]]
-            least, most = bounds(self.centres[:1] @ q, self.radii[:1], q_norm, self.norm)
+            least, most = bounds(self.centres @ q, self.radii, q_norm, self.norm)
             heap = [(-float(most[0]), 0, float(least[0]))]
             while heap:
                 upper, node, lower = heapq.heappop(heap)
@@ -156,14 +157,13 @@ class CoverTree:
                     continue
                 kids = self.children[node]
                 if kids is not None:
-                    least, most = bounds(self.centres[kids] @ q, self.radii[kids], q_norm, self.norm)
-                    for i in np.flatnonzero((most >= from_) & (least <= to)):
-                        heapq.heappush(heap, (-float(most[i]), int(kids[i]), float(least[i])))
+                    for i in kids[(most[kids] >= from_) & (least[kids] <= to)].tolist():
+                        heapq.heappush(heap, (-float(most[i]), i, float(least[i])))
                     continue
                 own, rows, labels = self.leaves[node]
                 got = rows @ query
-                for i in np.flatnonzero((got >= from_) & (got <= to)):
-                    member, score = int(own[i]), got[i]
+                for i in ((got >= from_) & (got <= to)).nonzero()[0].tolist():
+                    member, score = int(own[i]), float(got[i]) if exact else int(got[i])
                     if member == skip or (label is not None and labels[i] == label):
                         continue
                     one = (-score, int(ids[member]), member)
@@ -172,7 +172,7 @@ class CoverTree:
                             insort(best[j], one)
                             del best[j][k:]
                             if len(best[j]) == k:
-                                need[j] = max(need[j], float(-best[j][-1][0]))
+                                need[j] = max(need[j], -best[j][-1][0])
         return [(np.array([m for _, _, m in b], np.int64), np.array([-s for s, _, _ in b], query.dtype)) for b in best]
 
 
@@ -188,11 +188,11 @@ def coded(vectors: DataFrame) -> DataFrame:
 
 
 def _kind(*sides: np.ndarray) -> type:
-    """float64 if it holds every inner product of the two exactly, else int64."""
+    """The least of float32, float64 and int64 that holds every partial sum of the inner products exactly."""
     most = sides[0].shape[1]
     for x in sides:
         most *= float(np.abs(x).max(initial=0))
-    return np.float64 if most < 1 << 53 else np.int64
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
 
 
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
