@@ -336,7 +336,7 @@ def mine(rows: DataFrame, scratch: Scratch, every: int = EVERY) -> DataFrame:
     n, norm2 = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.expr("aggregate(codes, 0D, (s, x) -> s + cast(x as double) * x)")), F.lit(0.0))).first()
     anchors = scratch.write(rows.filter(F.col("vec_id") % every == 0), "anchors")
     found = positives(rows, anchors)
-    window = F.struct(F.col("place").cast("int").alias("place"), F.expr(f"({LOWEST} * positive_score + 99) div 100").alias("low"), F.expr(f"{HIGHEST} * positive_score div 100").alias("high"), "positive_id", "positive_score")
+    window = F.struct(F.col("place").cast("int").alias("place"), F.expr(f"cast(ceil({LOWEST} * cast(positive_score as decimal(20,0)) / 100) as bigint)").alias("low"), F.expr(f"cast(floor({HIGHEST} * cast(positive_score as decimal(20,0)) / 100) as bigint)").alias("high"), "positive_id", "positive_score")
     windows = found.filter("positive_score >= 0").groupBy("anchor").agg(F.array_sort(F.collect_list(window)).alias("windows"))
     asked = scratch.write(anchors.join(windows, anchors["row"] == windows["anchor"]).select("row", F.col("vec_id").alias("anchor_id"), "label", "codes", F.expr("filter(windows, w -> w.low <= w.high)").alias("windows")).filter("size(windows) > 0"), "asked")
     if not n:
