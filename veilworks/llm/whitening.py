@@ -123,10 +123,12 @@ def pivoted_cholesky(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a = a.astype(np.float64, copy=True)
     d = len(a)
     order, out = np.arange(d), np.zeros((d, d))
-    least = d * np.finfo(np.float64).eps * float(a.diagonal().max(initial=0.0))
+    # what is left of a dimension's own variance beyond the rounding of it, so that dimensions may differ in scale
+    least = d * np.finfo(np.float64).eps * a.diagonal()
     for k in range(d):
-        p = k + int(np.argmax(a.diagonal()[k:]))
-        if a[p, p] <= least:
+        left = np.where(a.diagonal() > least[order], a.diagonal(), -1.0)[k:]
+        p = k + int(np.argmax(left))
+        if left[p - k] < 0:
             return out[:, :k], order
         for m in (a, a.T, out):
             m[[k, p]] = m[[p, k]]
