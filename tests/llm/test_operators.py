@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilworks.llm import encoding, language, maxplus, maxscore, mixing, neardup, quality, secrets, sharding, substrings, suffixsort, toxicity
-from veilworks.llm.common import documents
+from veilworks.llm.common import documents, written
 from veilworks.llm.queries import oracle_sql, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,11 +55,11 @@ def test_sql_agrees(spark, sf, duck, name):
 
 
 def brute_top(rows, k):
-    vecs = {i: np.array(v) for i, v in rows}
+    vecs = [(i, np.array(v)) for i, v in rows]
     out = []
-    for q in vecs:
+    for n, (q, x) in enumerate(vecs):
         if q % maxscore.EVERY == 0:
-            scored = sorted(((-int(v @ vecs[q]), i) for i, v in vecs.items() if i != q))[:k]
+            scored = sorted(((-int(v @ x), i) for m, (i, v) in enumerate(vecs) if m != n))[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -70,11 +70,11 @@ def test_maxscore(spark, monkeypatch, big):
     monkeypatch.setattr(maxscore, "BLOCK", 16)
     rng = np.random.default_rng(2)
     rows = [(i, (rng.integers(-3, 4, 8) * big).tolist()) for i in range(150)] + [(200 + i, [big] * 8) for i in range(60)]
-    rows += [(0, rows[0][1])]  # a repeated row counts once
+    rows += [(0, rows[0][1]), (0, rows[1][1]), (41, rows[41][1])]  # rows that share an id are queries and candidates of their own
     df = spark.createDataFrame([(i, [x / 64 for x in v], "c") for i, v in rows] + [(900, None, "c"), (901, [1.0, None], "c"), (902, [float("nan")], "c"), (903, [float("inf")], "c"), (None, [1.0], "c")], "vec_id long, embedding array<double>, score string")
-    coded = maxscore.coded(df)
+    coded = written(maxscore.coded(df), "codes")
     got = sorted(tuple(r) for r in maxscore.search(coded.filter(F.col("vec_id") % 20 == 0), coded).collect())
-    assert got == brute_top(rows[:-1], maxscore.TOP)
+    assert got == brute_top(rows, maxscore.TOP)
     assert maxscore.search(coded.limit(0), coded).count() == 0 and maxscore.search(coded, coded.limit(0)).count() == 0
 
 
