@@ -8,9 +8,10 @@ order sampling: document i has the inclusion probability p_i = R w_i / sum(w s),
 
     q_i = (u_i / (1 - u_i)) / (p_i / (1 - p_i));
 
-documents of least rank are taken while they fit in R, and then of all others the one whose words come nearest to what
-is left. The cut is found without sorting a source: ranks are binned twice into 256 bins with sums of words, and only
-the documents of one last bin are put in order.
+documents of least rank are taken while they fit in R. What is then left of R is filled up from the others: of each size
+class (powers of two) the documents of least rank stand by, `STAND_BY` at most; from the largest to the smallest each is taken that
+still fits, and last the one whose words come nearest to what is left then. The cut is found without sorting a source: ranks are
+binned twice into 256 bins with sums of words, and only the documents of one last bin are put in order.
 
 Cases: null text has size 0 and is never drawn before words are short; a source of no words has target 0; rows that
 are alike in id, text and source are told apart by a number, so that each is drawn for itself; an empty table gives an
@@ -28,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
 BINS = 256
+#: Documents of a size class that stand by to fill up a source.
+STAND_BY = 8
 LEVELS = 2
 
 
@@ -103,7 +106,7 @@ def _before() -> F.Column:
 
 
 def cuts(rows: DataFrame, by: DataFrame) -> DataFrame:
-    """by with cut, the greatest (q, id, size) that fits, and extra, that of the row taken to fill up; null: none."""
+    """by with cut, the greatest (q, id, size) that fits, and extras, those of the rows taken to fill up; null: none."""
     state = by.withColumn("used", F.lit(0).cast("long")).withColumn("cell", F.lit(0).cast("long"))
     columns = [*by.columns, "used", "cell"]
 
@@ -126,17 +129,24 @@ def cuts(rows: DataFrame, by: DataFrame) -> DataFrame:
     top = last.groupBy("source").agg(F.max(_key()).alias("cut"), F.max("upto").alias("upto"))
     state = written(found(state, top, *columns, "cut", (F.col("rest") - F.coalesce("upto", "used")).alias("gap")), "mix-state")
     off = F.abs(F.col("size") - F.col("gap"))
-    fill = ranked(rows, state).filter(F.col("q").isNotNull() & ~_before() & (off < F.col("gap")))
-    fill = fill.groupBy("source").agg(F.min(F.struct(off.alias("off"), _key().alias("key"))).alias("x"))
-    return found(state, fill, *columns, "cut", F.col("x.key").alias("extra"))
+    by_class = Window.partitionBy("source", F.length(F.bin("size"))).orderBy("q", "doc_id", "size")
+    fill = ranked(rows, state).filter(F.col("q").isNotNull() & ~_before() & (F.col("size") > 0) & (off < F.col("gap")))
+    fill = fill.withColumn("k", F.row_number().over(by_class)).filter(F.col("k") <= STAND_BY)
+    fill = fill.groupBy("source", "gap").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("n"), _key().alias("key")))).alias("x"))
+    key = "struct<q:double,id:bigint,size:bigint>"
+    step = "if(y.key.size <= a.left, named_struct('left', a.left - y.key.size, 'keys', concat(a.keys, array(y.key))), a)"
+    fill = fill.withColumn("f", F.expr(f"aggregate(x, named_struct('left', gap, 'keys', cast(array() as array<{key}>)), (a, y) -> {step})"))
+    near = "filter(transform(x, y -> named_struct('off', abs(y.key.size - f.left), 'key', y.key)), y -> y.off < f.left and not array_contains(f.keys, y.key))"
+    fill = fill.withColumn("extras", F.expr(f"concat(f.keys, transform(slice(array_sort({near}), 1, 1), y -> y.key))"))
+    return found(state, fill, *columns, "cut", "extras")
 
 
 def copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows (of sized, with u) with source_size, target and copies."""
-    taken = _before() | F.coalesce(_key() == F.col("extra"), F.lit(False))
+    taken = _before() | F.coalesce(F.array_contains("extras", _key()), F.lit(False))
     out = ranked(rows, plan)
     out = out.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("q").isNotNull() & taken, 1).otherwise(0))
-    return out.drop("mass", "whole", "rest", "used", "cell", "cut", "extra", "q", "u", "w", "digest", "nth")
+    return out.drop("mass", "whole", "rest", "used", "cell", "cut", "extras", "q", "u", "w", "digest", "nth")
 
 
 def plan_of(rows: DataFrame) -> DataFrame:
@@ -198,8 +208,15 @@ q AS (SELECT e.*, source_size, target, whole, rest, CASE WHEN rest > 0 AND mass
       FROM e JOIN s7 ON e.source IS NOT DISTINCT FROM s7.source),
 r AS (SELECT *, q IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS fits FROM q),
 g AS (SELECT *, rest - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM r),
-h AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN fits OR q IS NULL OR abs(size - gap) >= gap THEN 1 ELSE 0 END, abs(size - gap), q, doc_id, size) = 1
-        AND NOT fits AND q IS NOT NULL AND abs(size - gap) < gap AS extra FROM g)
+c AS (SELECT source, q, doc_id, size, gap, row_number() OVER (PARTITION BY source, length(bin(size)) ORDER BY q, doc_id, size) AS k
+      FROM g WHERE NOT fits AND q IS NOT NULL AND size > 0 AND abs(size - gap) < gap),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, q, doc_id) AS i FROM c WHERE k <= 8),
+l AS (SELECT source, any_value(CAST(floor(gap) AS BIGINT)) AS whole_gap, list(size ORDER BY i) AS sizes FROM o GROUP BY source),
+t AS (SELECT o.*, size <= list_reduce(sizes[1:i - 1], lambda a, x: CASE WHEN x <= a THEN a - x ELSE a END, whole_gap) AS fills FROM o JOIN l ON o.source IS NOT DISTINCT FROM l.source),
+u AS (SELECT *, gap - sum(CASE WHEN fills THEN size ELSE 0 END) OVER (PARTITION BY source) AS left_ FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN fills OR abs(size - left_) >= left_ THEN 1 ELSE 0 END, abs(size - left_), q, doc_id, size) = 1
+        AND NOT fills AND abs(size - left_) < left_ AS nearest FROM u),
+h AS (SELECT g.*, coalesce(n.fills OR n.nearest, false) AS extra FROM g LEFT JOIN n ON g.source IS NOT DISTINCT FROM n.source AND g.q = n.q AND g.doc_id IS NOT DISTINCT FROM n.doc_id AND g.size = n.size)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN fits OR extra THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM h
 """
