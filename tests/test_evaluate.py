@@ -1,3 +1,5 @@
+import base64
+
 from veilworks.__main__ import main
 from veilworks.plans.evaluate import EXIT_EMPTY, EXIT_LEAK, EXIT_OK, EXIT_USAGE, evaluate
 from veilworks.sources import corpora
@@ -17,7 +19,7 @@ def test_evaluation(spark, tmp_path):
         ("Umowa z dnia 12.01.2024 i NIP 123-456-32-18.", ("DATE_TIME", "12.01.2024"), ("NIP", "123-456-32-18")),
         ("bez danych",),
     )
-    run = evaluate(docs, seed="4")
+    run = evaluate(docs, bytes(32))
     micro = run.detection["exact"].filter("type = '__micro__'").first()
     assert (micro.tp, micro.fp, micro.fn, micro.f1) == (4, 0, 0, 1.0)
     assert run.exit_code() == EXIT_OK and run.errors.count() == 0
@@ -39,7 +41,8 @@ def test_leaks_and_empty_corpora(spark):
 def test_job(spark, tmp_path, capsys):
     docs = corpus(spark, ("PESEL 44051401359", ("PESEL", "44051401359")))
     corpora.write_gold(docs, str(tmp_path / "gold"))
-    assert main([str(tmp_path / "out"), str(tmp_path / "gold"), "--seed", "4"], spark) == EXIT_OK
+    (tmp_path / "key").write_text(base64.b64encode(bytes(range(32))).decode() + "\n")
+    assert main([str(tmp_path / "out"), str(tmp_path / "gold"), "--key-file", str(tmp_path / "key")], spark) == EXIT_OK
     assert spark.read.json(str(tmp_path / "out/aggregate")).first().n_docs == 1 and "documents: 1" in capsys.readouterr().err
     assert main([str(tmp_path / "none"), str(tmp_path / "missing")], spark) == EXIT_EMPTY and not (tmp_path / "none").exists()
     assert main([], spark) == EXIT_USAGE and main(["a", "b", "--what"], spark) == EXIT_USAGE

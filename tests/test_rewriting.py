@@ -8,6 +8,8 @@ from veilworks.operators import conversation as chat
 from veilworks.operators import generate as gen
 from veilworks.operators import rewrite, vault
 
+KEY = bytes(range(32))
+
 
 def test_splice_like_python(spark):
     rng = random.Random(1)
@@ -30,9 +32,10 @@ def test_restore(spark):
 
 def test_fuzzy_restore(spark):
     tokens = [("nowak", "Kowalski"), ("nowaka", "Kowalski"), ("marek", "Jan"), ("marko", "Ewa")]
-    df = spark.createDataFrame([("Nowakach, Nowela; Marekk! Mark to", tokens), ("x", None), ("", tokens)], "t string, k array<struct<token:string,original:string>>")
-    got = [r.r for r in df.select(rewrite.fuzzy_restore("t", "k").alias("r")).collect()]
-    assert got == ["Kowalski, Nowela; Jan! Mark to", "x", ""]  # Mark is as near to two
+    held = spark.createDataFrame([(s, *t) for s in ("a", None) for t in tokens], "session string, token string, original string")
+    df = spark.createDataFrame([("a", "Nowakach, Nowela; Marekk! Mark to"), ("b", "Nowakach"), (None, ""), (None, "nowakm"), ("a", None)], "session string, t string")
+    got = {(r.session, r.t) for r in rewrite.fuzzy_restore(df, held, "t").collect()}
+    assert got == {("a", "Kowalski, Nowela; Jan! Mark to"), ("b", "Nowakach"), (None, ""), (None, "Kowalski"), ("a", None)}
 
 
 def test_masks_and_templates(spark):
@@ -69,40 +72,50 @@ def test_mint_avoids_used():
         used |= {fake.base, *fake.forms.values()}
 
 
+def mention(kind, key, text, lemma=None, case=None, gender=None):
+    """A row as vault.hidden makes it, with plain marks in place of hashes and seals."""
+    words = [f"h({w})" for w in key.split()] if kind in ("PERSON", "LOCATION") else []
+    return {"entity_type": kind, "field": f"f({kind}|{key})", "words": words, "hint": text, "case": case, "gender": gender, "sealed": f"<{text}>", "sealed_base": f"<{lemma or text}>"}
+
+
 def test_vault_names():
-    v = vault.Vault("s", "1")
-    a = v.get_or_create("PERSON", "jan kowalski", "Janem Kowalskim", "jan kowalski", "ins")
-    assert v.get_or_create("PERSON", "jan kowalski", "Janem Kowalskim", "jan kowalski", "ins") == a
-    b = v.get_or_create("PERSON", "kowalski", "Kowalski", "kowalski", "nom")
-    whole = v.forward["PERSON|jan kowalski"]
+    v = vault.Vault("s")
+    make = lambda *m: v.get_or_create(mention(*m))
+    a = make("PERSON", "jan kowalski", "Janem Kowalskim", "jan kowalski", "ins")
+    assert make("PERSON", "jan kowalski", "Janem Kowalskim", "jan kowalski", "ins") == a
+    b = make("PERSON", "kowalski", "Kowalski", "kowalski", "nom")
+    whole = v.tables.forward["f(PERSON|jan kowalski)"]
     assert b == whole.split()[1]
-    other = v.get_or_create("PERSON", "anna nowak", "Anna Nowak", "anna nowak", "nom")
+    other = make("PERSON", "anna nowak", "Anna Nowak", "anna nowak", "nom")
     assert other != whole
     # two persons share a name: no guess
-    v.get_or_create("PERSON", "ewa kowalski", "Ewa Kowalski", "ewa kowalski", "nom")
-    again = vault.Vault.loads(v.dumps())
-    assert again.get_or_create("PERSON", "jan kowalski", "Jan Kowalski", "jan kowalski", "nom") == whole
-    assert again.mappings() and {m["entity_type"] for m in again.mappings()} == {"PERSON"}
-    forms = {r["form"]: r["original"] for r in again.restorations()}
-    assert forms[a] == "Janem Kowalskim" and forms[whole] == "Jan Kowalski"
+    make("PERSON", "ewa kowalski", "Ewa Kowalski", "ewa kowalski", "nom")
+    columns = ["session", *vault._FIELDS[1:]]
+    rows = [dict(zip(columns, r, strict=True)) for r in vault.rows_of("s", v.tables)]
+    again = vault.Vault("s", vault.tables_of(rows[::-1]))
+    assert again.get_or_create(mention("PERSON", "jan kowalski", "Jan Kowalski", "jan kowalski", "nom")) == whole
+    assert again.get_or_create(mention("PERSON", "kowalski", "Kowalski", "kowalski", "nom")) == v.get_or_create(mention("PERSON", "kowalski", "Kowalski", "kowalski", "nom"))
+    assert v.tables.reverse[a]["sealed"] == "<Janem Kowalskim>" and v.tables.reverse[whole]["sealed"] == "<jan kowalski>"
+    assert [r["name"] for r in map(lambda x: dict(zip(columns, x, strict=True)), vault.rows_of("s", again.tables))]  # what was written since
+    assert not vault.rows_of("s", vault.tables_of(rows))
 
 
 def test_chat(spark):
     rows = [("a", 1, "system", "Bądź krótki"), ("a", 2, "user", "PESEL 44051401359, tel. +48 601 234 567"), ("a", 3, "assistant", "PESEL 44051401359"), ("a", 4, "user", "jan@x.pl i 44051401359 $1 \\x"), ("b", 1, "user", "NIP 1234563218"), ("b", 2, "user", "hej"), ("c", 1, "assistant", "x")]
     m = spark.createDataFrame(rows, "session string, turn int, role string, text string")
-    hidden, state = chat.pseudonymize(m, seed="3")
+    hidden, state = chat.pseudonymize(m, KEY)
     got = hidden.collect()
     assert not any(x in r.fake_text for r in got for x in ("44051401359", "jan@x.pl", "601 234 567", "1234563218"))
     assert len({p.fake for r in got for p in r.replacements if p.original == "44051401359"}) == 1
     back = chat.depseudonymize(hidden.select("session", "text", "fake_text"), state, text="fake_text")
     assert back.filter("restored <> text").count() == 0
-    trips = {r.session: r for r in chat.round_trip(m, seed="3").collect()}
+    trips = {r.session: r for r in chat.round_trip(m, KEY).collect()}
     assert trips["a"].answer == rows[3][3] and trips["a"].entities == 5 and trips["b"].answer == "hej"
     assert {r.session: r.violation for r in chat.validate(m).collect()} == {"a": None, "b": None, "c": "last_role"}
     assert [(r.role, r.content) for r in chat.merge_roles(m).filter("session = 'b'").collect()] == [("user", "NIP 1234563218\n\nhej")]
     assert {r.session: r.entity_count for r in vault.summary(state).collect()} == {"a": 3, "b": 1}
     left, gone = vault.delete(state, spark.createDataFrame([("a",), ("zz",)], "session string"))
-    assert [r.session for r in left.collect()] == ["b"] and {r.session: r.existed for r in gone.collect()} == {"a": True, "zz": False}
+    assert {r.session for r in left.rows.collect()} == {"b"} and {r.session: r.existed for r in gone.collect()} == {"a": True, "zz": False}
 
 
 def test_original_of(spark):

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from veilworks.operators import scoring
 from veilworks.operators.generate import phone_col
 from veilworks.operators.spans import detect
-from veilworks.operators.vault import mentions
 from veilworks.sources import corpora, reports
 from veilworks.streaming import sessions
 
 ENTITY = [("PERSON", 0, 3, "Jan")]
 
 
+KEY = bytes(range(32))
+
+
 def gold(spark, *rows):
     return spark.createDataFrame(rows, corpora.GOLD)
 
@@ -74,7 +76,15 @@ def test_reports(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "m"), header=True).columns == ["channel", "p50", "p90", "p99", "mean", "n"]
 
 
-def test_session_stream(spark, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    before = spark.conf.get(sessions.PROVIDER)
+    spark.conf.set(sessions.PROVIDER, sessions.ROCKSDB)
+    yield spark
+    spark.conf.set(sessions.PROVIDER, before)
+
+
+def test_session_stream(spark, tmp_path, rocks):
     schema = "session string, turn int, text string"
     src = tmp_path / "in"
     spark.createDataFrame([("a", 1, "PESEL 44051401359"), ("b", 1, "NIP 1234563218")], schema).coalesce(1).write.parquet(str(src))
@@ -83,7 +93,7 @@ def test_session_stream(spark, tmp_path):
     def run():
         """All that is there, with the state that an earlier run left."""
         stream = spark.readStream.schema(schema).parquet(str(src))
-        fakes = sessions.pseudonymize_stream(stream, seed="5", idle=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+        fakes = sessions.pseudonymize_stream(stream, KEY, idle=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
         assert fakes.trigger(availableNow=True).start().awaitTermination(120)
 
     run()
@@ -94,20 +104,20 @@ def test_session_stream(spark, tmp_path):
     assert len(mine) == 2 and mine[0] == mine[1] and len(got) == 3
 
 
-def test_deletion_in_the_stream(spark, tmp_path):
+def test_deletion_in_the_stream(spark, tmp_path, rocks):
     """What comes after a deletion knows nothing of what came before it; an unknown session may be deleted."""
     schema = "session string, turn int, text string"
     text = "PESEL 44051401359"
     spark.createDataFrame([("a", 1, text), ("a", 2, text + " i NIP 1234563218"), ("a", 4, text)], schema).write.parquet(str(tmp_path / "in"))
     spark.createDataFrame([("a", 2), ("b", 1)], "session string, turn int").write.parquet(str(tmp_path / "gone"))
-    found = mentions(detect(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))))
+    found = sessions.passed(detect(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), KEY)
     gone = sessions.deletions(spark.readStream.schema("session string, turn int").parquet(str(tmp_path / "gone")))
     q = sessions.map_stream(found.unionByName(gone), idle=None).writeStream.format("memory").queryName("deleted").outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
     q = q.trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     rows = sorted((r.ord >> 20, r.fake) for r in spark.table("deleted").collect())
     assert [t for t, _ in rows] == [1, 2, 2, 4] and rows[0][1] in (rows[1][1], rows[2][1])
-    assert [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]][-1] == 1
+    assert [(r.value.people, r.value.messages) for r in sessions.stored(spark, str(tmp_path / "cp")).collect()] == [(0, 1)]
 
 
 def test_access_log(spark):
@@ -130,17 +140,42 @@ def test_window_stream(spark, tmp_path):
     assert got == [(0, 2, 6.0), (1, 1, 9.0)]
 
 
-def test_idle_sessions_end(spark, tmp_path):
-    schema = "session string, turn int, text string"
-    src, out = tmp_path / "in", str(tmp_path / "out")
-    spark.createDataFrame([("a", 1, "PESEL 44051401359")], schema).coalesce(1).write.parquet(str(src))
-    stream = spark.readStream.schema(schema).parquet(str(src))
-    q = sessions.pseudonymize_stream(stream, seed="5", idle=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        deadline = time.time() + 90
-        kept = lambda: [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
-        while time.time() < deadline and not (1 in kept() and kept()[-1] == 0):
-            time.sleep(0.5)
-        assert 1 in kept() and kept()[-1] == 0
-    finally:
-        q.stop()
+def test_sessions_end_by_event_time(spark, tmp_path, rocks):
+    """A session whose last message lies before the watermark by more than idle is forgotten, one that went on is not."""
+    schema, src, out, cp = "session string, turn int, text string, at timestamp", tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def pass_on(*rows):
+        spark.createDataFrame(rows, "session string, turn int, text string, at string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(str(src))
+        q = sessions.pseudonymize_stream(spark.readStream.schema(schema).parquet(str(src)), KEY, idle=60, at="at", late="1 second")
+        assert q.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination(120)
+
+    text = "PESEL 44051401359"
+    pass_on(("a", 1, text, "2024-01-01 00:00:00"), ("b", 1, text, "2024-01-01 00:00:00"))
+    pass_on(("b", 2, text, "2024-01-01 00:00:50"), ("c", 1, "bez danych", "2024-01-01 00:01:30"))
+    pass_on(("c", 2, text, "2024-01-01 00:01:31"))
+    meta = {r.key.session: r.value for r in sessions.stored(spark, cp).collect()}
+    assert set(meta) == {"b", "c"} and meta["b"].messages == 2 and meta["c"].messages == 1  # nothing was stored for c's first
+    assert (meta["b"].created_at.second, meta["b"].last_activity.second) == (0, 50)
+    assert {r.key.session for r in sessions.stored(spark, cp, "reverse").collect()} == {"b", "c"}
+
+
+def test_state_holds_no_original_and_costs_by_the_batch(spark, tmp_path, rocks):
+    """A restarted stream over a session of many mentions: a batch of one mention reads and writes a few keys."""
+    schema, src, cp = "session string, turn int, text string", tmp_path / "in", tmp_path / "cp"
+    mails = [f"osoba{i:05d}@poczta.pl" for i in range(3000)]
+    spark.createDataFrame([("a", i, " ".join(mails[i * 500 : i * 500 + 500])) for i in range(6)], schema).coalesce(1).write.parquet(str(src))
+
+    def run():
+        q = sessions.pseudonymize_stream(spark.readStream.schema(schema).parquet(str(src)), KEY, idle=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(cp)).trigger(availableNow=True).start()
+        assert q.awaitTermination(300)
+        return [o["numRowsUpdated"] for p in q.recentProgress for o in p["stateOperators"]], [o["allUpdatesTimeMs"] for p in q.recentProgress for o in p["stateOperators"]]
+
+    first, _ = run()
+    spark.createDataFrame([("a", 9, "znów osoba00007@poczta.pl i nowa@poczta.pl")], schema).coalesce(1).write.mode("append").parquet(str(src))
+    second, _ = run()
+    assert sum(first) >= 6000 and sum(second) < 20
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 3002 and got.select("fake").distinct().count() == 3001
+    kept = b"".join(p.read_bytes() for p in cp.rglob("*") if p.is_file())
+    assert b"osoba00007" not in kept and b"nowa@poczta" not in kept and len(kept) > 10000
+    assert sessions.stored(spark, str(cp), "forward").count() == 3001

@@ -1,4 +1,4 @@
-"""A job: score gold corpora and write the report. `python -m veilworks OUT CORPUS... [--real CORPUS...] [--seed N]`
+"""A job: score gold corpora and write the report. `python -m veilworks OUT CORPUS... [--real CORPUS...] [--key-file PATH]`
 
 Exit codes: 0, 1 for any leak, 2 for an empty corpus, 3 for wrong usage. Missed targets are warnings.
 """
@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from veilworks.functions.crypto import checked_key
 from veilworks.operators import scoring
 from veilworks.plans.evaluate import EXIT_EMPTY, EXIT_USAGE, evaluate
 from veilworks.sources import corpora
@@ -20,7 +22,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     parser.add_argument("out")
     parser.add_argument("corpus", nargs="+")
     parser.add_argument("--real", nargs="*", default=[])
-    parser.add_argument("--seed", default="0")
+    parser.add_argument("--key-file", help="holds 32 bytes in base64; a new key if not given")
     try:
         given = parser.parse_args(args)
     except (argparse.ArgumentError, SystemExit) as e:
@@ -32,7 +34,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     docs = corpora.read_gold(spark, *given.corpus)
     if given.real:
         docs = docs.unionByName(corpora.read_gold(spark, *given.real, source="real"))
-    run = evaluate(docs, seed=given.seed)
+    run = evaluate(docs, checked_key(Path(given.key_file).read_text().strip()) if given.key_file else None)
     for row in scoring.target_warnings(run.stats).collect():  # three at most
         print(f"warning: {row.warning}", file=sys.stderr)
     code = run.exit_code()

@@ -10,7 +10,8 @@ from veilworks.functions.surface import normalize
 from veilworks.operators import spans as sp
 from veilworks.operators import vault
 from veilworks.operators.rewrite import fuzzy_restore, restore, splice
-from veilworks.sources.shared import written
+from veilworks.operators.store import SessionStore
+from veilworks.sources.shared import written_sealed
 
 SEPARATOR = "\n\n"
 
@@ -55,40 +56,47 @@ def counts_by_type(messages: DataFrame, spans: str = "entities") -> DataFrame:
     return messages.select("session", F.explode_outer(spans).alias("x")).filter("x is not null").groupBy("session", F.col("x.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def pseudonymize(messages: DataFrame, seed: str = "0", **options: object) -> tuple[DataFrame, DataFrame]:
-    """Messages with entities, replacements and fake_text, and the state of each session.
+def pseudonymize(messages: DataFrame, key: bytes, store: SessionStore | None = None, **options: object) -> tuple[DataFrame, vault.State]:
+    """Messages with entities, replacements and fake_text, and the state of the sessions.
 
-    Texts are not shuffled to the sessions' tasks; only mentions are, and their fakes come back by row. Messages are
-    numbered and detected once and written, so that sessions and turns may be null or occur again.
+    Texts are not shuffled to the sessions' tasks; only mentions are, as keyed hashes and sealed values, and their fakes
+    come back by row. Messages are numbered and detected once and written, sealed, so that sessions and turns may be null
+    or occur again. With a store its mappings hold on, and what is new is its next version, with the number of messages.
     """
-    held = messages.select(F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("message"), F.col("session").cast("string").alias("session"), "turn", "text")
-    found = written(sp.detect(held, **options).withColumn("row", F.monotonically_increasing_id()), "spans")
-    fakes, state = vault.run(vault.mentions(found), seed)
+    names = [f"m{i}" for i in range(len(messages.columns))]
+    own = [F.col(f"`{c}`").alias(n) for c, n in zip(messages.columns, names, strict=True)]
+    seen = sp.detect(messages, out="_entities", **options)  # options may name columns of the messages
+    numbered = seen.select(*own, F.col("session").cast("string").alias("session"), "turn", F.col("_entities").alias("entities"), F.monotonically_increasing_id().alias("row"))
+    # the text is a column of the message, and is kept once
+    place = names[messages.columns.index("text")]
+    found = written_sealed(numbered, "spans", key, clear=("session", *[n for c, n in zip(messages.columns, names, strict=True) if c in ("session", "role")]))
+    seen = vault.mentions(found, key)
+    if store is None:
+        fakes, rows = vault.run(seen)
+        state = vault.State(rows, key)
+    else:
+        fakes = store.assign(seen, found.select("session"))
+        state = store.state()
     per = fakes.groupBy(F.col("row").alias("of_row")).agg(F.array_sort(F.collect_list(F.struct("i", "fake"))).alias("_fakes"))
-    columns = ["session" if c == "session" else F.col(f"message.`{c}`") for c in messages.columns]
-    both = found.join(per, found["row"] == per["of_row"], "left").select(*columns, "entities", "_fakes")
+    columns = ["session" if c == "session" else F.col(n).alias(c) for c, n in zip(messages.columns, names, strict=True)]
+    both = found.join(per, found["row"] == per["of_row"], "left").withColumn("_text", F.col(place))
     put = F.expr("transform(entities, (x, i) -> named_struct('entity_type', x.entity_type, 'original', x.text, 'fake', _fakes[i].fake, 'start', x.start, 'end', x.end))")
-    both = both.withColumn("replacements", put).withColumn("fake_text", splice("text", "replacements")).drop("_fakes")
-    return both, state
+    both = both.withColumn("replacements", put).withColumn("fake_text", splice("_text", "replacements"))
+    return both.select(*columns, "entities", "replacements", "fake_text"), state
 
 
-def depseudonymize(texts: DataFrame, state: DataFrame, text: str = "text", out: str = "restored", fuzzy: bool = False) -> DataFrame:
+def depseudonymize(texts: DataFrame, state: vault.State, text: str = "text", out: str = "restored", fuzzy: bool = False) -> DataFrame:
     """Adds `out` to (session, text): originals put back, exactly or also for words near to a name's forms."""
-    def joined(frame: DataFrame, more: DataFrame) -> DataFrame:
-        more = more.withColumnRenamed("session", "_of")
-        return frame.join(more, F.col("session").cast("string").eqNullSafe(F.col("_of")), "left").drop("_of")
-
-    full = joined(texts, vault.restorations(state)).withColumn("forms", F.coalesce("forms", F.expr("cast(array() as array<struct<form:string,original:string,kind:string>>)")))
+    forms = vault.restorations(state).withColumnRenamed("session", "_of")
+    full = texts.join(forms, F.col("session").cast("string").eqNullSafe(F.col("_of")), "left").drop("_of")
     full = full.withColumn(out, restore(text, "forms")).drop("forms")
-    if not fuzzy:
-        return full
-    return joined(full, vault.name_tokens(state)).withColumn(out, fuzzy_restore(out, "tokens")).drop("tokens")
+    return fuzzy_restore(full, vault.name_tokens(state), out) if fuzzy else full
 
 
-def round_trip(messages: DataFrame, seed: str = "0", **options: object) -> DataFrame:
+def round_trip(messages: DataFrame, key: bytes, **options: object) -> DataFrame:
     """session, sent (the last user message as the provider sees it), answer (restored) and total entities, with the
     echo provider in the middle."""
-    hidden, state = pseudonymize(messages, seed, **options)
+    hidden, state = pseudonymize(messages, key, **options)
     answer = echo(hidden.select("session", "turn", "role", F.col("fake_text").alias("text"))).withColumnRenamed("answer", "text")
     totals = hidden.groupBy("session").agg(F.sum(F.size("entities")).cast("long").alias("entities"))
     back = depseudonymize(answer, state, out="answer", fuzzy=True).withColumnRenamed("text", "sent")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Container
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -120,15 +121,12 @@ def generate(kind: str, draw: Draw, text: str = "", gender: str | None = None) -
     return Fake(kind, text)
 
 
-def mint(kind: str, key: str, used: set[str], seed: str, text: str = "", gender: str | None = None, draws: int = 64) -> Fake:
+def mint(kind: str, key: str, used: Container[str], seed: str, text: str = "", gender: str | None = None, draws: int = 64) -> Fake:
     """A value none of whose forms is used. Further draws come first; a forced suffix, which breaks forms, only last."""
-    fake = generate(kind, Draw(seed, kind, key, 0), text, gender)
-    for n in range(1, draws):
-        if not used.intersection((fake.base, *fake.forms.values())):
-            return fake
+    for n in range(draws):
         fake = generate(kind, Draw(seed, kind, key, n), text, gender)
-    if not used.intersection((fake.base, *fake.forms.values())):
-        return fake
+        if not any(form in used for form in (fake.base, *fake.forms.values())):
+            return fake
     n = 2
     while f"{fake.base}{n}" in used:
         n += 1

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from veilworks.functions import surface as su
+from veilworks.operators.rewrite import mask_values
 from veilworks.operators.spans import CANONICAL, STRUCTURED
 
 NUMERIC = ("PESEL", "NIP", "REGON", "BANK_ACCOUNT", "PHONE_NUMBER")
@@ -16,30 +20,87 @@ FUZZY = 0.8
 # ---------------------------------------------------------------- alignment
 
 
+Spans = tuple[list[int], list[int], list[str]]
+
+
+def _candidates(gold: Spans, predicted: Spans, by_type: bool) -> list[tuple[int, int, int]]:
+    """(-overlap, g, p) of all pairs that overlap: one sweep by start over both sides, for each type if it counts.
+
+    Each side keeps the spans that have not ended; those that stay all overlap the span that comes, so that the sweep
+    costs the sort and the pairs.
+    """
+    out = []
+    events: dict[str, list[tuple[int, int, int, int]]] = {}
+    for side, (starts, ends, kinds) in enumerate((gold, predicted)):
+        for i, (start, end, kind) in enumerate(zip(starts, ends, kinds, strict=True)):
+            if end > start:
+                events.setdefault(kind if by_type else "", []).append((start, side, i, end))
+    for found in events.values():
+        found.sort()
+        alive: list[list[tuple[int, int]]] = [[], []]
+        for start, side, i, end in found:
+            other = [(e, j) for e, j in alive[1 - side] if e > start]
+            alive[1 - side] = other
+            for e, j in other:
+                out.append((start - min(e, end), i, j) if side == 0 else (start - min(e, end), j, i))
+            alive[side].append((end, i))
+    return out
+
+
+def _equal_places(gold: Spans, predicted: Spans, by_type: bool) -> list[tuple[int, int, int]]:
+    """(-length, g, p) of spans of one place: the first of gold with the first of predicted, and so on."""
+    there: dict[tuple, list[int]] = {}
+    for p, (start, end, kind) in enumerate(zip(*predicted, strict=True)):
+        there.setdefault((start, end, kind if by_type else ""), []).append(p)
+    at = dict.fromkeys(there, 0)
+    out = []
+    for g, (start, end, kind) in enumerate(zip(*gold, strict=True)):
+        key = (start, end, kind if by_type else "")
+        if key in there and at[key] < len(there[key]):
+            out.append((start - end, g, there[key][at[key]]))
+            at[key] += 1
+    return out
+
+
+def matched(gold: Spans, predicted: Spans, policy: str = "overlap", by_type: bool = True) -> list[tuple[int, int, int]]:
+    """(g, p, overlap) one to one: by overlap from the greatest and then by places."""
+    pairs = sorted(_equal_places(gold, predicted, by_type) if policy == "exact" else _candidates(gold, predicted, by_type))
+    used_g, used_p, out = bytearray(len(gold[0])), bytearray(len(predicted[0])), []
+    for o, g, p in pairs:
+        if not used_g[g] and not used_p[p]:
+            used_g[g] = used_p[p] = 1
+            out.append((g, p, -o))
+    return out
+
+
 def align(docs: DataFrame, gold: str = "gold", predicted: str = "predicted", policy: str = "overlap", by_type: bool = True) -> DataFrame:
     """Adds pairs: array of (g, p, overlap), places in both arrays of (type, start, end, text), one to one.
 
-    Greedy, by overlap from the greatest and then by places. A document's spans are few, so its candidates are an array
-    of its own row, and nothing is shuffled.
+    Greedy, by overlap from the greatest and then by places; a sweep finds the pairs that overlap. A document's spans are
+    an array of its own row, and nothing is shuffled. Null arrays have no spans; spans of no length overlap none.
     """
-    same = "x.type = y.type and " if by_type else ""
-    if policy == "exact":
-        match = f"{same} x.start = y.start and x.end = y.end"
-    else:
-        match = f"{same} least(x.end, y.end) > greatest(x.start, y.start)"
-    candidates = f"""array_sort(flatten(transform({gold}, (x, g) -> filter(transform({predicted}, (y, p) -> named_struct('o', least(x.end, y.end) - greatest(x.start, y.start), 'g', g, 'p', p, 'ok', {match})), c -> c.ok))),
-        (a, b) -> case when a.o > b.o then -1 when a.o < b.o then 1 when a.g < b.g then -1 when a.g > b.g then 1 when a.p < b.p then -1 when a.p > b.p then 1 else 0 end)"""
-    chosen = f"""aggregate({candidates}, cast(array() as array<struct<g:int,p:int,overlap:int>>), (acc, c) ->
-        if(exists(acc, z -> z.g = c.g or z.p = c.p), acc, concat(acc, array(named_struct('g', c.g, 'p', c.p, 'overlap', c.o)))))"""
-    return docs.withColumn("pairs", F.expr(chosen))
+    pair = StructType([StructField(c, IntegerType()) for c in ("g", "p", "overlap")])
+
+    def run(gs: pd.Series, ge: pd.Series, gt: pd.Series, ps: pd.Series, pe: pd.Series, pt: pd.Series) -> pd.Series:
+        side = lambda *x: tuple([] if v is None else list(v) for v in x)
+        return pd.Series([[{"g": g, "p": p, "overlap": int(o)} for g, p, o in matched(side(*row[:3]), side(*row[3:]), policy, by_type)] for row in zip(gs, ge, gt, ps, pe, pt, strict=True)], dtype=object)
+
+    run.__annotations__ = {c: pd.Series for c in ("gs", "ge", "gt", "ps", "pe", "pt", "return")}
+    fields = [F.expr(f"transform({side}, x -> x.{c})") for side in (gold, predicted) for c in ("start", "end", "type")]
+    return docs.withColumn("pairs", pandas_udf(run, ArrayType(pair))(*fields))
+
+
+def _rest(spans: str, side: str, pairs: str = "pairs") -> str:
+    """SQL: the spans that no pair holds, in order."""
+    return f"transform(array_except(if(size({spans}) > 0, sequence(0, size({spans}) - 1), cast(array() as array<int>)), transform({pairs}, z -> z.{side})), i -> {spans}[i])"
 
 
 def outcomes(docs: DataFrame, key: str = "doc_id", gold: str = "gold", predicted: str = "predicted") -> DataFrame:
     """One row for each pair, each gold span without one (fn) and each predicted span without one (fp)."""
     rows = f"""concat(
         transform(pairs, z -> named_struct('match_kind', if({gold}[z.g].start = {predicted}[z.p].start and {gold}[z.g].end = {predicted}[z.p].end, 'exact', 'overlap'), 'gold', {gold}[z.g], 'predicted', {predicted}[z.p])),
-        transform(filter({gold}, (x, i) -> not exists(pairs, z -> z.g = i)), x -> named_struct('match_kind', 'fn', 'gold', x, 'predicted', cast(null as struct<type:string,start:int,end:int,text:string>))),
-        transform(filter({predicted}, (y, i) -> not exists(pairs, z -> z.p = i)), y -> named_struct('match_kind', 'fp', 'gold', cast(null as struct<type:string,start:int,end:int,text:string>), 'predicted', y)))"""
+        transform({_rest(gold, "g")}, x -> named_struct('match_kind', 'fn', 'gold', x, 'predicted', cast(null as struct<type:string,start:int,end:int,text:string>))),
+        transform({_rest(predicted, "p")}, y -> named_struct('match_kind', 'fp', 'gold', cast(null as struct<type:string,start:int,end:int,text:string>), 'predicted', y)))"""
     return docs.select(key, F.explode(F.expr(rows)).alias("r")).select(key, "r.*")
 
 
@@ -77,13 +138,13 @@ def detection_report(found: DataFrame, unmapped: int = 0, types: tuple[str, ...]
 def confusion(docs: DataFrame, key: str = "doc_id", gold: str = "gold", predicted: str = "predicted", unmapped: int = 0) -> DataFrame:
     """(gold, predicted, n): matches on the diagonal; leftovers that overlap whatever their type beside it; the rest in
     MISS and SPURIOUS."""
-    left = docs.withColumn("_g", F.expr(f"filter({gold}, (x, i) -> not exists(pairs, z -> z.g = i))")).withColumn("_p", F.expr(f"filter({predicted}, (y, i) -> not exists(pairs, z -> z.p = i))"))
+    left = docs.withColumn("_g", F.expr(_rest(gold, "g"))).withColumn("_p", F.expr(_rest(predicted, "p")))
     crossed = align(left.withColumnRenamed("pairs", "_first"), "_g", "_p", by_type=False)
     cells = f"""concat(
         transform(_first, z -> named_struct('gold', {gold}[z.g].type, 'predicted', {gold}[z.g].type)),
         transform(pairs, z -> named_struct('gold', _g[z.g].type, 'predicted', _p[z.p].type)),
-        transform(filter(_g, (x, i) -> not exists(pairs, z -> z.g = i)), x -> named_struct('gold', x.type, 'predicted', '{MISS}')),
-        transform(filter(_p, (y, i) -> not exists(pairs, z -> z.p = i)), y -> named_struct('gold', '{SPURIOUS}', 'predicted', y.type)))"""
+        transform({_rest("_g", "g")}, x -> named_struct('gold', x.type, 'predicted', '{MISS}')),
+        transform({_rest("_p", "p")}, y -> named_struct('gold', '{SPURIOUS}', 'predicted', y.type)))"""
     out = crossed.select(F.explode(F.expr(cells)).alias("c")).groupBy("c.gold", "c.predicted").agg(F.count(F.lit(1)).alias("n"))
     if unmapped:
         out = out.unionByName(docs.sparkSession.createDataFrame([(SPURIOUS, MISS, unmapped)], "gold string, predicted string, n long"))
@@ -106,12 +167,6 @@ def error_spans(found: DataFrame, key: str = "doc_id") -> DataFrame:
 # ---------------------------------------------------------------- leaks
 
 
-def mask_values(text: str, values: str) -> Column:
-    """The named text with each of the named values blanked, whatever its case, the longest first."""
-    order = f"transform(array_sort(transform(array_distinct(filter({values}, v -> v <> '')), v -> named_struct('n', -length(v), 'v', v))), y -> y.v)"
-    return F.expr(rf"aggregate({order}, {text}, (t, v) -> regexp_replace(t, concat(r'(?iu)\Q', v, r'\E'), repeat(chr(0), length(v))))")
-
-
 def leaks(docs: DataFrame, key: str = "doc_id", gold: str = "gold", text: str = "outbound", fakes: str | None = None) -> DataFrame:
     """key, type, original, form_found, start, end, match_mode of originals that survive in the outbound text.
 

@@ -6,11 +6,14 @@ code points, [start, end).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from veilworks.functions import identifiers as ids
 from veilworks.functions.surface import digits_only, strip_separators
@@ -48,6 +51,11 @@ class Recognizer:
     metadata: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
     guard: str = ""  # without a match of this there is none of the patterns
     keep: Callable[[Column], Column] | None = None
+    digits: int = 0  # matches lie in runs of digits and SEPARATORS and have so many digits at least; 0: they may lie anywhere
+
+
+#: What may stand between the digits of a number, and letters that may stand in front of it.
+SEPARATORS, PREFIX = r"().+\- ", 3
 
 
 # The patterns of addresses, here and in the table below those of all types.
@@ -60,7 +68,7 @@ _CITY = rf"{_CITY_WORD}(?:\s+{_CITY_WORD})?"
 
 def _number(kind: str, patterns: Sequence[str], context: Sequence[str], valid: Callable[[Column], Column], **more: Callable[[Column], Column]) -> Recognizer:
     meta = {"normalized": digits_only, "checksum_valid": lambda t: valid(digits_only(t)), **more}
-    return Recognizer(kind, [(p, INVALID) for p in patterns], context, lambda t: valid(digits_only(t)), meta, r"[0-9]{2}")
+    return Recognizer(kind, [(p, INVALID) for p in patterns], context, lambda t: valid(digits_only(t)), meta, r"[0-9]{2}", digits=9)
 
 
 RECOGNIZERS: tuple[Recognizer, ...] = (
@@ -80,15 +88,22 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
     ),
     Recognizer(
         "DATE_TIME",
-        [(r"\b\d{1,2}[.\-]\d{1,2}[.\-]\d{4}\b", 0.60), (rf"\b\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}}(?:\s*r\.)?", 0.55)],
+        [(r"\b\d{1,2}[.\-]\d{1,2}[.\-]\d{4}\b", 0.60)],
         ["data", "dnia"],
-        metadata={"kind": lambda t: F.when(F.lower(t).rlike(MONTHS), "worded").otherwise("numeric")},
-        guard="[0-9]{4}",
+        metadata={"kind": lambda t: F.lit("numeric")},
+        digits=6,
+    ),
+    Recognizer(
+        "DATE_TIME",
+        [(rf"\b\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}}(?:\s*r\.)?", 0.55)],
+        ["data", "dnia"],
+        metadata={"kind": lambda t: F.lit("worded")},
+        guard=rf"(?i){MONTHS}",
     ),
     Recognizer("EMAIL_ADDRESS", [(r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}\b", 0.99)], (), guard="@"),
     # digits and separators that can be a Polish number: nine digits, or more with the country's prefix
     Recognizer(
-        "PHONE_NUMBER", [(r"(?<![\w+])(?:(?:\+48|0048)[ \-]?)?\(?\d{2,3}\)?(?:[ \-]?\d{2,3}){2,3}(?!\w)", 0.40)], ["tel", "telefon", "kom"], guard=r"[0-9]{2}",
+        "PHONE_NUMBER", [(r"(?<![\w+])(?:(?:\+48|0048)[ \-]?)?\(?\d{2,3}\)?(?:[ \-]?\d{2,3}){2,3}(?!\w)", 0.40)], ["tel", "telefon", "kom"], digits=9,
         keep=lambda t: F.length(F.regexp_replace(digits_only(t), r"^(?:00)?48(?=[0-9]{9}$)", "")) == 9,
     ),
 )
@@ -136,16 +151,18 @@ def clamp(score: Column) -> Column:
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(CEILING))
 
 
-def context_near(text: Column, start: Column, words: Sequence[str]) -> Column:
-    """Whether one of the last words before the place holds one of the given."""
-    if not words:
-        return F.lit(False)
+def _words_before(text: Column, start: Column) -> Column:
+    """The last words before the place."""
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), 0)
     near = tokens(F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))))
     # of more words than are asked for, the last are whole; if so few are near, all that stands before is read
     found = F.when((start <= NEAR) | (F.size(near) > CONTEXT_WORDS), near).otherwise(tokens(F.substring(text, F.lit(1), start)))
-    last = F.slice(F.concat(F.array(*[F.lit("")] * CONTEXT_WORDS), found), -CONTEXT_WORDS, CONTEXT_WORDS)
-    return F.exists(last, lambda t: F.lit(False) if not words else _any(t, words))
+    return F.slice(F.concat(F.array(*[F.lit("")] * CONTEXT_WORDS), found), -CONTEXT_WORDS, CONTEXT_WORDS)
+
+
+def context_near(text: Column, start: Column, words: Sequence[str]) -> Column:
+    """Whether one of the last words before the place holds one of the given."""
+    return F.exists(_words_before(text, start), lambda t: _any(t, words)) if words else F.lit(False)
 
 
 def _any(token: Column, words: Sequence[str]) -> Column:
@@ -155,24 +172,73 @@ def _any(token: Column, words: Sequence[str]) -> Column:
     return out
 
 
-def recognize(text: str, r: Recognizer) -> Column:
-    """Array of SPAN of one recognizer, scored and clamped."""
-    return F.concat(*[_scored(text, r, pattern, base) for pattern, base in r.patterns])
+_FOUND = "array<struct<r:int,base:double,start:int,end:int,text:string>>"
+
 
+def numbers(text: str, recognizers: Sequence[tuple[int, Recognizer]]) -> Column:
+    """Matches of all recognizers of numbers, as _FOUND, from one scan for runs of digits and separators.
 
-def _scored(text: str, r: Recognizer, pattern: str, base: float) -> Column:
-    found = regex_spans(text, pattern, r.guard)
-    if r.keep is not None:
-        found = F.filter(found, lambda x: r.keep(x["text"]))
+    A run has as many digits as it has; only patterns that ask for no more are tried, and only there. A pattern's matches
+    are those that it has in the whole text, since none reaches beyond a run but for letters in front.
+    """
+    least = min(r.digits for _, r in recognizers)
+    tried = [(i, r.digits, pattern, base) for i, r in recognizers for pattern, base in r.patterns]
+
+    def scan(texts: pd.Series) -> pd.Series:
+        run = re.compile(rf"[+(]?\d[\d{SEPARATORS}]*")
+        patterns = [(i, n, re.compile(p, re.IGNORECASE | re.MULTILINE | re.DOTALL), base) for i, n, p, base in tried]
+
+        def one(t: str | None) -> list[dict]:
+            out, before = [], 0
+            for m in run.finditer(t or ""):
+                digits = sum(map(str.isdecimal, m[0]))
+                if digits >= least:
+                    where = max(before, m.start() - PREFIX), min(len(t), m.end() + 2)
+                    out += [{"r": i, "base": base, "start": x.start(), "end": x.end(), "text": x[0]} for i, n, p, base in patterns if n <= digits for x in p.finditer(t, *where)]
+                before = m.end()
+            return out
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    scan.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return pandas_udf(scan, _FOUND)(F.col(text))
+
+
+def recognized(text: str, recognizers: Sequence[Recognizer]) -> Column:
+    """Array of SPAN of all recognizers, scored and clamped."""
+
+    def marked(i: int, base: float) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(i).alias("r"), F.lit(base).alias("base"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"))
+
+    named = list(enumerate(recognizers))
+    lexed = [(i, r) for i, r in named if r.digits]
+    found = [numbers(text, lexed)] if lexed else []
+    for i, r in named:
+        if not r.digits:
+            found += [F.transform(regex_spans(text, p, r.guard), marked(i, base)).cast(_FOUND) for p, base in r.patterns]
+    both = F.concat(*found) if found else F.array().cast(_FOUND)
+
+    def choose(x: Column, values: list[tuple[int, Column]], otherwise: Column) -> Column:
+        out = None
+        for i, v in values:
+            out = F.when(x["r"] == i, v) if out is None else out.when(x["r"] == i, v)
+        return otherwise if out is None else out.otherwise(otherwise)
+
+    kept = [(i, r) for i, r in named if r.keep is not None]
+    if kept:
+        both = F.filter(both, lambda x: choose(x, [(i, r.keep(x["text"])) for i, r in kept], F.lit(True)))
 
     def make(x: Column) -> Column:
         t = x["text"]
-        score = F.when(r.valid(t), F.lit(VALID)).otherwise(F.lit(INVALID)) if r.valid else F.lit(base)
-        score = score + F.when(context_near(F.col(text), x["start"], r.context), CONTEXT_BONUS).otherwise(0.0)
-        meta = F.struct(*[(r.metadata[m](t) if m in r.metadata else F.lit(None)).alias(m) for m in META])
-        return F.struct(F.lit(r.kind).alias("entity_type"), x["start"].alias("start"), x["end"].alias("end"), clamp(score).alias("score"), t.alias("text"), meta.alias("metadata"), F.lit(None).alias("lemma"), F.lit(None).alias("case")).cast(SPAN)
+        score = choose(x, [(i, F.when(r.valid(t), F.lit(VALID)).otherwise(F.lit(INVALID))) for i, r in named if r.valid], x["base"])
+        known = [(i, r.context) for i, r in named if r.context]
+        near = F.exists(_words_before(F.col(text), x["start"]), lambda w: choose(x, [(i, _any(w, words)) for i, words in known], F.lit(False))) if known else F.lit(False)
+        score = score + F.when(near, CONTEXT_BONUS).otherwise(0.0)
+        meta = F.struct(*[choose(x, [(i, r.metadata[m](t)) for i, r in named if m in r.metadata], F.lit(None)).alias(m) for m in META])
+        kind = F.element_at(F.array(*[F.lit(r.kind) for r in recognizers]), x["r"] + 1)
+        return F.struct(kind.alias("entity_type"), x["start"].alias("start"), x["end"].alias("end"), clamp(score).alias("score"), t.alias("text"), meta.alias("metadata"), F.lit(None).alias("lemma"), F.lit(None).alias("case")).cast(SPAN)
 
-    return F.transform(found, make)
+    return F.transform(both, make) if recognizers else F.array().cast(f"array<{SPAN}>")
 
 
 def resolve_overlaps(spans: Column) -> Column:
@@ -181,12 +247,24 @@ def resolve_overlaps(spans: Column) -> Column:
     Of equal places the higher score, then the lesser type stays. Partial overlaps stay.
     """
     order = F.transform(spans, lambda x: F.struct(x["start"].alias("a"), (-x["end"]).alias("b"), (-x["score"]).alias("c"), x["entity_type"].alias("d"), x.alias("x")))
-    start = F.struct(F.lit(-1).alias("m"), F.array().cast(f"array<{SPAN}>").alias("o"))
+    held = F.struct(F.array_sort(order).alias("s"), F.ceil(F.sqrt(F.size(order))).cast("int").alias("k"))
+    return F.transform(F.array(held), lambda y: F.when(y["k"] <= 0, F.array().cast(f"array<{SPAN}>")).otherwise(_not_inside(y["s"], y["k"])))[0]
+
+
+def _not_inside(ordered: Column, k: Column) -> Column:
+    """Of ordered spans those that end behind all before them: greatest ends are carried from block to block of about the
+    root of their number, because an array that a fold appends to is copied each time."""
+    block = lambda j: F.slice(ordered, j * k + 1, k)
+    blocks = F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / k).cast("int"))
+    ends = F.transform(blocks, lambda j: F.array_max(F.transform(block(j), lambda y: y["x"]["end"])))
+    start = F.struct(F.lit(-1).alias("m"), F.array().cast("array<int>").alias("o"))
+    reach = F.aggregate(ends, start, lambda acc, e: F.struct(F.greatest(acc["m"], e).alias("m"), F.concat(acc["o"], F.array(acc["m"])).alias("o")))["o"]
 
-    def step(acc: Column, y: Column) -> Column:
-        return F.struct(F.greatest(acc["m"], y["x"]["end"]).alias("m"), F.when(y["x"]["end"] > acc["m"], F.concat(acc["o"], F.array(y["x"]))).otherwise(acc["o"]).alias("o"))
+    def kept(before: Column, j: Column) -> Column:
+        first = F.struct(before.alias("m"), F.array().cast(f"array<{SPAN}>").alias("o"))
+        return F.aggregate(block(j), first, lambda acc, y: F.struct(F.greatest(acc["m"], y["x"]["end"]).alias("m"), F.when(y["x"]["end"] > acc["m"], F.concat(acc["o"], F.array(y["x"]))).otherwise(acc["o"]).alias("o")))["o"]
 
-    return F.aggregate(F.array_sort(F.transform(order, lambda y: F.struct(y["a"], y["b"], y["c"], y["d"], y["x"].alias("x")))), start, step)["o"]
+    return F.flatten(F.transform(reach, kept))
 
 
 def merge_partial(spans: Column) -> Column:
@@ -211,8 +289,8 @@ def detect(df: DataFrame, text: str = "text", out: str = "entities", extra: Colu
 
     Overlaps go before thresholds: a long span of low score can remove a short one and then go itself.
     """
-    parts = [recognize(text, r) for r in recognizers]
-    df = df.withColumn("_spans", F.concat(*parts, *([] if extra is None else [extra])))
+    found = recognized(text, recognizers)
+    df = df.withColumn("_spans", found if extra is None else F.concat(found, extra))
     blank = F.coalesce(F.col(text), F.lit("")).rlike(r"(?U)^\s*$")
     df = df.withColumn(out, F.when(blank, F.array().cast(f"array<{SPAN}>")).otherwise(in_order(above_threshold(resolve_overlaps(F.col("_spans")), thresholds, default))))
     if mode == "merge":

@@ -1,8 +1,14 @@
-"""Session-consistent mapping of originals to fakes: keyed state, ordered within a session.
+"""Session-consistent mapping of originals to fakes: keyed state, ordered within a session, without an original in it.
 
-A mention looks up its key; a name that is not known reuses the fake of the one person whose words contain, or are
-contained in, its own; all else is minted, unused in the session. The state machine is plain Python and is run by
-`applyInPandas` over a session's mentions or by the streaming operator over its state.
+A mention's key becomes a keyed hash and its surfaces are sealed where the row is, before anything is shuffled to a
+session. The state machine sees hashes, sealed values and what a fake has to copy from its original: a date, the
+length of a number. It looks up a mention's hash; a name that is not known reuses the fake of the one person whose hashed words
+contain, or are contained in, its own; all else is minted, unused in the session, drawn by the keyed hash, so that
+without the key no fake confirms a guess. The state machine is plain Python over tables that are read and written by
+key: dictionaries for a session's mentions in `applyInPandas`, map states in the stream.
+
+State is rows (STATE): fwd, a hash and its fake; face, a fake and its forms by case; rev, a form and the sealed
+original; who, a name's hashed words and its fake. Views open them with the key.
 
 Messages whose session is null make one session, whose name stays null. A null turn comes before all others; messages
 of one turn follow each other in the order of their rows.
@@ -10,216 +16,317 @@ of one turn follow each other in the order of their rows.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable
-from dataclasses import asdict, dataclass, field
+from collections.abc import Iterable, MutableMapping
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
+from veilworks.functions import crypto
 from veilworks.functions.declension import decline, forms, pattern_of
-from veilworks.functions.surface import NAME_TYPES, mapping_key
+from veilworks.functions.surface import NAME_TYPES, collapse, mapping_key, title_words
 from veilworks.operators.generate import mint
 from veilworks.sources.shared import written
 
 
-def title_words(text: str) -> str:
-    return " ".join(w[:1].upper() + w[1:] for w in text.split())
+
+class Noted(dict):
+    """A dictionary that knows which of its keys were written."""
+
+    def __init__(self, *held: object) -> None:
+        super().__init__(*held)
+        self.fresh: dict = {}
+
+    def __setitem__(self, key: object, value: object) -> None:
+        super().__setitem__(key, value)
+        self.fresh[key] = None
 
 
 @dataclass
-class Vault:
-    """One session's state."""
+class Tables:
+    """What a session's mapping is kept in; each may be a view of other storage."""
 
-    session: str
-    seed: str = "0"
-    forward: dict[str, str] = field(default_factory=dict)  # kind|key -> fake base
-    reverse: dict[str, dict] = field(default_factory=dict)  # fake form -> original
-    faces: dict[str, dict[str, str]] = field(default_factory=dict)  # fake base -> case -> form
-    people: list[dict] = field(default_factory=list)  # names in order of arrival
-    writes: int = 0
+    forward: MutableMapping = field(default_factory=Noted)  # keyed hash -> fake base
+    reverse: MutableMapping = field(default_factory=Noted)  # fake form -> {n, sealed, kind, case, exact}
+    faces: MutableMapping = field(default_factory=Noted)  # fake base -> {n, forms}
+    people: MutableMapping = field(default_factory=Noted)  # number -> {words, fake, kind}
+    words: MutableMapping = field(default_factory=dict)  # hashed word -> numbers of the people who bear it
+    size: MutableMapping = field(default_factory=lambda: {"people": 0, "n": 0})
 
-    def __post_init__(self) -> None:
-        """Indexes over the state, which are not part of it."""
-        self.used = {*self.reverse, *self.faces}
-        self.by_word: dict[tuple[str, str], list[int]] = {}
-        for i, p in enumerate(self.people):
-            self._index(i, p)
 
-    def _index(self, i: int, p: dict) -> None:
-        for w in set(p["lemma"].lower().split()):
-            self.by_word.setdefault((p["kind"], w), []).append(i)
+class Used:
+    """Forms that are taken."""
 
-    def dumps(self) -> str:
-        return json.dumps(asdict(self), ensure_ascii=False)
+    def __init__(self, tables: Tables) -> None:
+        self.tables = tables
 
-    @staticmethod
-    def loads(text: str) -> Vault:
-        return Vault(**json.loads(text))
+    def __contains__(self, form: str) -> bool:
+        return form in self.tables.reverse or form in self.tables.faces
 
-    # -- originals to fakes
 
-    def _same_name(self, kind: str, key: str) -> str | None:
+class Vault:
+    """The state machine of one session."""
+
+    def __init__(self, session: str, tables: Tables | None = None) -> None:
+        self.session, self.tables = session, Tables() if tables is None else tables
+        self.used = Used(self.tables)
+
+    def _next(self, what: str) -> int:
+        n = self.tables.size[what]
+        self.tables.size[what] = n + 1
+        return n
+
+    def _same_name(self, words: list[str]) -> str | None:
         """The part of a known fake that stands for this mention, if exactly one known fake fits."""
-        own = key.lower().split()
-        hits = []
-        for i in sorted({i for w in own for i in self.by_word.get((kind, w), ())}):
-            p = self.people[i]
-            theirs = p["lemma"].lower().split()
-            if set(own) <= set(theirs) or set(theirs) <= set(own):
-                hits.append((p["fake"], theirs))
+        t, hits = self.tables, []
+        for i in sorted({i for w in words for i in t.words.get(w) or ()}):
+            theirs = t.people[i]["words"]
+            if set(words) <= set(theirs) or set(theirs) <= set(words):
+                hits.append((t.people[i]["fake"], theirs))
         if len({fake for fake, _ in hits}) != 1:
             return None
         fake, theirs = hits[0]
-        words = fake.split()
-        places = [theirs.index(w) for w in own if w in theirs]
-        return " ".join(words[i] for i in places if i < len(words)) or None
-
-    def _write(self, kind: str, key: str, text: str, lemma: str | None, fake: str, cases: dict[str, str]) -> None:
-        self.forward[f"{kind}|{key}"] = fake
-        original = title_words(lemma) if lemma else text
-        if kind in NAME_TYPES:
-            self.faces[fake] = dict(cases) or {"nom": fake}
-            for case, form in self.faces[fake].items():
-                self.reverse.setdefault(form, {"original": original, "case": case, "kind": kind, "exact": False})
-            self.people.append({"lemma": key, "fake": fake, "kind": kind})
-            self._index(len(self.people) - 1, self.people[-1])
-            self.used.update((fake, *self.faces[fake].values()))
-        else:
-            self.reverse[fake] = {"original": text, "case": None, "kind": kind, "exact": True}
-            self.used.add(fake)
-        self.writes += 1
-
-    def get_or_create(self, kind: str, key: str, text: str, lemma: str | None = None, case: str | None = None, gender: str | None = None) -> str:
+        parts, places = fake.split(), [theirs.index(w) for w in words if w in theirs]
+        return " ".join(parts[i] for i in places if i < len(parts)) or None
+
+    def _put(self, form: str, sealed: str, kind: str, case: str | None, exact: bool) -> None:
+        held = self.tables.reverse.get(form)
+        self.tables.reverse[form] = {"n": held["n"] if held else self._next("n"), "sealed": sealed, "kind": kind, "case": case, "exact": exact}
+
+    def _write(self, m: dict, fake: str, cases: dict[str, str]) -> None:
+        t = self.tables
+        t.forward[m["field"]] = fake
+        if m["entity_type"] not in NAME_TYPES:
+            self._put(fake, m["sealed"], m["entity_type"], None, True)
+            return
+        held = t.faces.get(fake)
+        t.faces[fake] = {"n": held["n"] if held else self._next("n"), "forms": dict(cases) or {"nom": fake}}
+        for case, form in t.faces[fake]["forms"].items():
+            if form not in t.reverse:
+                self._put(form, m["sealed_base"], m["entity_type"], case, False)
+        i = self._next("people")
+        t.people[i] = {"words": m["words"], "fake": fake, "kind": m["entity_type"]}
+        for w in dict.fromkeys(m["words"]):
+            t.words[w] = [*(t.words.get(w) or ()), i]
+
+    def get_or_create(self, m: dict) -> str:
+        """The fake's form for a mention of MENTION."""
+        t, kind = self.tables, m["entity_type"]
         name = kind in NAME_TYPES
-        fake = self.forward.get(f"{kind}|{key}")
+        fake = t.forward.get(m["field"])
         if fake is None and name:
-            fake = self._same_name(kind, key)
+            fake = self._same_name(m["words"])
             if fake is not None:
-                self._write(kind, key, text, lemma, fake, forms(fake, pattern_of(fake, gender)) if " " not in fake else self.faces.get(fake, {}))
+                held = t.faces.get(fake)
+                self._write(m, fake, forms(fake, pattern_of(fake, m["gender"])) if " " not in fake else held["forms"] if held else {})
         if fake is None:
-            made = mint(kind, f"{self.session}|{key}", self.used, self.seed, text, gender)
+            made = mint(kind, f"{self.session}|{m['field']}", self.used, "", m["hint"] or "", m["gender"])
             fake = made.base
-            self._write(kind, key, text, lemma, fake, made.forms)
-        form = self.faces.get(fake, {}).get(case or "nom", fake) if name else fake
-        if name:  # the surface that this form stood in for
-            self.reverse[form] = {"original": text, "case": case, "kind": kind, "exact": True}
-            self.used.add(form)
+            self._write(m, fake, made.forms)
+        if not name:
+            return fake
+        held = t.faces.get(fake)
+        form = (held["forms"] if held else {}).get(m["case"] or "nom", fake)
+        self._put(form, m["sealed"], kind, m["case"], True)  # the surface that this form stood in for
         return form
 
-    # -- fakes to originals
-
-    @staticmethod
-    def surface(record: dict) -> str:
-        """An original as it is written: exact, or declined to the case of the fake's form."""
-        if record["exact"] or record["kind"] not in NAME_TYPES or record["case"] in (None, "nom"):
-            return record["original"]
-        kind = "city" if record["kind"] == "LOCATION" else "person"
-        return " ".join(decline(w, pattern_of(w, None, kind), record["case"]) for w in record["original"].split())
-
-    def restorations(self) -> list[dict]:
-        """form and original, longest form first, then in order of arrival."""
-        rows = [{"form": f, "original": self.surface(r), "kind": r["kind"]} for f, r in self.reverse.items()]
-        return sorted(rows, key=lambda r: -len(r["form"]))
-
-    def name_tokens(self) -> list[dict]:
-        """Words of stored name forms and the original word, or whole name, that each stands for."""
-        out: dict[tuple[str, str], None] = {}
-        for base, cases in self.faces.items():
-            record = next((self.reverse[f] for f in cases.values() if f in self.reverse), None)
-            if record is None:
-                continue
-            original = title_words(record["original"])
-            words, fakes = original.split(), base.split()
-            for form in cases.values():
-                parts = form.split()
-                aligned = len(fakes) == len(words) == len(parts)
-                for i, part in enumerate(parts):
-                    out.setdefault((part.lower(), words[i] if aligned else original))
-        return [{"token": t, "original": o} for t, o in out]
-
-    def mappings(self) -> list[dict]:
-        """Distinct (kind, original, fake)."""
-        out: dict[tuple[str, str, str], None] = {}
-        for base, cases in self.faces.items():
-            record = next((self.reverse[f] for f in cases.values() if f in self.reverse), None)
-            if record is not None:
-                out.setdefault((record["kind"], record["original"], base))
-        for form, r in self.reverse.items():
-            if r["kind"] not in NAME_TYPES:
-                out.setdefault((r["kind"], r["original"], form))
-        return [{"entity_type": k, "original": o, "fake": f} for k, o, f in out]
-
-
-MENTION = "session string, ord long, entity_type string, key string, text string, lemma string, case string, gender string"
+
+# ---------------------------------------------------------------- mentions
+
+
+#: field: the keyed hash; words: keyed hashes of a name's words; hint: what the fake has to copy; sealed, sealed_base: the
+#: surface and, of names, the lemma with first letters raised, each opened by its session only.
+MENTION = "session string, ord long, entity_type string, field string, words array<string>, hint string, case string, gender string, sealed string, sealed_base string"
 MAPPED = "session string, ord long, fake string"
 #: Beside MENTION in batch: the message's row and the mention's place in it, which name a mention.
 PLACE = ("row", "i")
-STATE = "session string, vault string"
+#: n: order of arrival. part fwd: name is the hash, fake its fake. face: name is the fake, forms its forms. rev: name is
+#: the form. who: name is the number, words the hashes, fake the fake. meta: name is what is counted, n the number.
+STATE = "session string, part string, name string, n long, fake string, kind string, case string, exact boolean, sealed string, words array<string>, forms array<struct<case:string,form:string>>"
+_FIELDS = [c.split()[0] for c in STATE.split(", ")]
+
+
+def is_name(kind: Column) -> Column:
+    return kind.isin(*NAME_TYPES)
+
 
+def hidden(rows: DataFrame, key: bytes) -> DataFrame:
+    """Rows of (session, ..., entity_type, text, lemma, case, gender and perhaps key) with field, words, hint and sealed values in place of the texts."""
+    kind, text, lemma = F.col("entity_type"), F.col("text"), F.col("lemma")
+    plain = F.col("key") if "key" in rows.columns else mapping_key(kind, text, lemma)
+    known = kind.isin(*NAME_TYPES, "PESEL", "NIP", "POLISH_BANK_ACCOUNT", "BANK_ACCOUNT", "EMAIL_ADDRESS", "PHONE_NUMBER", "ADDRESS", "POLISH_ADDRESS")
+    hint = F.when(kind == "REGON", F.repeat(F.lit("0"), F.length(F.regexp_replace(text, "[^0-9]", "")))).when(~known, text)
+    words = F.when(is_name(kind), F.transform(F.filter(F.split(collapse(F.lower(F.col("_plain"))), " "), lambda w: w != ""), lambda w: crypto.keyed_hash(F.concat(kind, F.lit("|word|"), w)))).otherwise(F.array().cast("array<string>"))
+    base = F.when(is_name(kind), F.coalesce(title_words(lemma), text))
+    sealed = lambda c: F.base64(crypto.sealed(c, F.col("session")))
+    out = crypto.with_key(rows.withColumn("_plain", F.coalesce(plain, F.lit(""))), key)
+    out = out.withColumn("field", F.concat(F.lit("fwd:"), crypto.keyed_hash(F.concat_ws("|", kind, "_plain")))).withColumn("words", words).withColumn("hint", hint).withColumn("sealed", sealed(F.coalesce(text, F.lit("")))).withColumn("sealed_base", sealed(base))
+    return out.drop("_plain", "key", "text", "lemma", *crypto.KEY_COLUMNS)
 
-def mentions(messages: DataFrame, spans: str = "entities") -> DataFrame:
+
+def mentions(messages: DataFrame, key: bytes, spans: str = "entities") -> DataFrame:
     """Rows for `run`, from (session, turn, spans) and row, if there is one; ord is the order in the session."""
     place = PLACE if "row" in messages.columns else ()
     x = messages.select(F.col("session").cast("string").alias("session"), "turn", *place[:1], F.posexplode_outer(spans).alias("i", "x")).filter("i is not null")
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 40)))
-    return x.select("session", (turn * F.lit(1 << 20) + F.col("i")).alias("ord"), *place, "x.entity_type", mapping_key(F.col("x.entity_type"), F.col("x.text"), F.col("x.lemma")).alias("key"), "x.text", "x.lemma", "x.case", F.col("x.metadata.gender").alias("gender"))
+    rows = x.select("session", (turn * F.lit(1 << 20) + F.col("i")).alias("ord"), *place, "x.entity_type", "x.text", "x.lemma", "x.case", F.col("x.metadata.gender").alias("gender"))
+    return hidden(rows, key).select(*[c.split()[0] for c in MENTION.split(", ")][:2], *place, *[c.split()[0] for c in MENTION.split(", ")][2:])
+
+
+def _none(v: object) -> object:
+    return None if v is None or (isinstance(v, float) and v != v) else v
+
+
+def mention_of(row: dict) -> dict:
+    return {**{c: _none(row[c]) for c in ("entity_type", "field", "hint", "case", "gender", "sealed", "sealed_base")}, "words": list(row["words"]) if row["words"] is not None else []}
 
 
 def replay(vault: Vault, rows: Iterable[dict]) -> list[tuple[str, int, str]]:
-    none = lambda v: None if v is None or v != v else v
-    out = []
-    for r in rows:
-        out.append((vault.session, int(r["ord"]), vault.get_or_create(r["entity_type"], none(r["key"]) or "", none(r["text"]) or "", none(r["lemma"]), none(r["case"]), none(r["gender"]))))
-    return out
+    return [(vault.session, int(r["ord"]), vault.get_or_create(mention_of(r))) for r in rows]
 
 
-def run(rows: DataFrame, seed: str = "0") -> tuple[DataFrame, DataFrame]:
-    """(session, row, i, fake) of the mentions (with row and i), and the state of each session.
+# ---------------------------------------------------------------- state as rows
 
-    A session's mentions depend on each other in order, so a session is one group; that is the only shuffle.
+
+def tables_of(rows: Iterable[dict]) -> Tables:
+    """A session's tables from its rows of STATE, in any order."""
+    t = Tables()
+    for r in sorted(rows, key=lambda r: (int(r["n"]), str(r["name"]))):
+        name, n = r["name"], int(r["n"])
+        if r["part"] == "fwd":
+            dict.__setitem__(t.forward, name, r["fake"])
+        elif r["part"] == "rev":
+            dict.__setitem__(t.reverse, name, {"n": n, "sealed": r["sealed"], "kind": r["kind"], "case": _none(r["case"]), "exact": bool(r["exact"])})
+        elif r["part"] == "face":
+            dict.__setitem__(t.faces, name, {"n": n, "forms": {f["case"]: f["form"] for f in r["forms"]}})
+        elif r["part"] == "who":
+            i = int(name)
+            dict.__setitem__(t.people, i, {"words": list(r["words"]), "fake": r["fake"], "kind": r["kind"]})
+            for w in dict.fromkeys(r["words"]):
+                t.words.setdefault(w, []).append(i)
+    numbers = [x["n"] for table in (t.reverse, t.faces) for x in table.values()]
+    t.size.update(people=len(t.people), n=max(numbers, default=-1) + 1)
+    return t
+
+
+def rows_of(session: str | None, t: Tables) -> list[tuple]:
+    """Rows of STATE for what was written since the tables were made."""
+    made = [("fwd", f, 0, t.forward[f], None, None, None, None, None, None) for f in t.forward.fresh]
+    made += [("face", b, t.faces[b]["n"], None, None, None, None, None, None, [{"case": c, "form": f} for c, f in t.faces[b]["forms"].items()]) for b in t.faces.fresh]
+    made += [("rev", f, r["n"], None, r["kind"], r["case"], r["exact"], r["sealed"], None, None) for f in t.reverse.fresh for r in (t.reverse[f],)]
+    made += [("who", str(i), i, p["fake"], p["kind"], None, None, None, p["words"], None) for i in t.people.fresh for p in (t.people[i],)]
+    return [(session, *m) for m in made]
+
+
+@dataclass(frozen=True)
+class State:
+    """Rows of STATE, sealed, and the key that opens them."""
+
+    rows: DataFrame
+    key: bytes
+
+    def with_rows(self, rows: DataFrame) -> State:
+        return State(rows, self.key)
+
+
+def run(rows: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(session, row, i, fake) of the mentions (with row and i), and what they add to the state, as rows of STATE.
+
+    held: the state before. A session's mentions depend on each other in order, so a session is one group; that is the
+    only shuffle.
     """
+    columns = ["session", "row", "i", "mapped", *_FIELDS[1:]]
+    schema = "session string, row long, i int, mapped string, " + STATE.split(", ", 1)[1]
 
-    def states(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["session"].iloc[0]
-        vault = Vault("" if key is None or key != key else key, seed)
+    def states(key: object, pdf: pd.DataFrame, before: pd.DataFrame | None) -> pd.DataFrame:
+        vault = Vault("" if key is None or key != key else key, tables_of([] if before is None else before.to_dict("records")))
         pdf = pdf.assign(turn=pdf["ord"] // (1 << 20)).sort_values(["turn", "row", "i"])
-        made = replay(vault, pdf.to_dict("records"))
-        return pd.DataFrame({"session": [key] * (len(made) + 1), "row": [*pdf["row"], -1], "i": [*pdf["i"], -1], "fake": [f for _, _, f in made] + [vault.dumps()]})
+        made = [(key, r, i, fake, *[None] * (len(_FIELDS) - 1)) for r, i, (_, _, fake) in zip(pdf["row"], pdf["i"], replay(vault, pdf.to_dict("records")), strict=True)]
+        made += [(key, -1, -1, None, *x[1:]) for x in rows_of(key, vault.tables)]
+        return pd.DataFrame(made, columns=columns).astype({"exact": object, "n": object})
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        return states(pdf["session"].iloc[0], pdf, None)
+
+    def beside(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame([], columns=columns)
+        return states(pdf["session"].iloc[0], pdf, before)
+
+    alone.__annotations__ = {"pdf": pd.DataFrame, "return": pd.DataFrame}
+    beside.__annotations__ = {"pdf": pd.DataFrame, "before": pd.DataFrame, "return": pd.DataFrame}
+    if held is None:
+        made = rows.groupBy("session").applyInPandas(alone, schema)
+    else:
+        made = rows.groupBy("session").cogroup(held.groupBy("session")).applyInPandas(beside, schema)
+    both = written(made, "vault")  # read for fakes and for states; no original is in it
+    fakes, state = both.filter("i >= 0").select("session", "row", "i", F.col("mapped").alias("fake")), both.filter("i < 0").select(*_FIELDS)
+    fakes.written_to = state.written_to = both.written_to
+    return fakes, state
+
+
+# ---------------------------------------------------------------- views
+
+
+def _restored(record: Column, of: Column) -> Column:
+    """An original as it is written: exact, or declined to the case of the fake's form."""
+
+    def surface(originals: pd.Series, kinds: pd.Series, cases: pd.Series, exact: pd.Series) -> pd.Series:
+        def one(original, kind, case, literal):
+            if original is None or literal or kind not in NAME_TYPES or case in (None, "nom"):
+                return original
+            place = "city" if kind == "LOCATION" else "person"
+            return " ".join(decline(w, pattern_of(w, None, place), case) for w in original.split())
+
+        return pd.Series([one(*x) for x in zip(originals, kinds, cases, exact, strict=True)], dtype=object)
+
+    surface.__annotations__ = {c: pd.Series for c in ("originals", "kinds", "cases", "exact", "return")}
+    return pandas_udf(surface, "string")(crypto.opened(F.unbase64(record["sealed"]), of), record["kind"], record["case"], record["exact"])
 
-    states.__annotations__ = {"pdf": pd.DataFrame, "return": pd.DataFrame}
-    both = written(rows.groupBy("session").applyInPandas(states, "session string, row long, i int, fake string"), "vault")  # read for fakes and for states
-    return both.filter("i >= 0"), both.filter("i < 0").select("session", F.col("fake").alias("vault"))
 
+def reverse(state: State) -> DataFrame:
+    """session, n, form, kind and original, as it is put back for the form."""
+    rows = crypto.with_key(state.rows.filter("part = 'rev'"), state.key)
+    record = F.struct("sealed", "kind", "case", "exact")
+    return rows.select("session", "n", F.col("name").alias("form"), "kind", _restored(record, F.col("session")).alias("original"))
 
-def _unfolded(state: DataFrame, schema: str, make) -> DataFrame:
-    def each(batches):
-        for pdf in batches:
-            rows = [(s, *row) for s, v in zip(pdf["session"], pdf["vault"], strict=True) for row in make(Vault.loads(v))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return state.mapInPandas(each, schema)
+def _bases(state: State) -> DataFrame:
+    """session, base, forms, kind and original of each name's fake: the original of the first of its forms that has one."""
+    face = state.rows.filter("part = 'face'").select("session", F.col("name").alias("base"), "n", "forms")
+    form = face.select("session", "base", F.posexplode("forms").alias("at", "x")).select("session", "base", "at", F.col("x.form").alias("form"))
+    rev = state.rows.filter("part = 'rev'").select(F.col("session").alias("_of"), F.col("name").alias("form"), "kind", "sealed")
+    hit = form.join(rev, form["session"].eqNullSafe(rev["_of"]) & (form["form"] == rev["form"])).groupBy("session", "base").agg(F.min_by(F.struct("kind", "sealed"), "at").alias("r"))
+    hit = crypto.with_key(hit, state.key).select(F.col("session").alias("_of"), F.col("base").alias("_base"), "r.kind", crypto.opened(F.unbase64(F.col("r.sealed")), F.col("session")).alias("original"))
+    return face.join(hit, face["session"].eqNullSafe(hit["_of"]) & (face["base"] == hit["_base"])).select("session", "base", "n", "forms", "kind", "original")
 
 
-def mappings(state: DataFrame) -> DataFrame:
+def mappings(state: State) -> DataFrame:
     """session, entity_type, original, fake: the distinct pairs."""
-    return _unfolded(state, "session string, entity_type string, original string, fake string", lambda v: [(m["entity_type"], m["original"], m["fake"]) for m in v.mappings()])
+    names = _bases(state).select("session", F.col("kind").alias("entity_type"), "original", F.col("base").alias("fake"))
+    rest = crypto.with_key(state.rows.filter("part = 'rev'").filter(~is_name(F.col("kind"))), state.key)
+    rest = rest.select("session", F.col("kind").alias("entity_type"), crypto.opened(F.unbase64(F.col("sealed")), F.col("session")).alias("original"), F.col("name").alias("fake"))
+    return names.unionByName(rest).distinct()
 
 
-def restorations(state: DataFrame) -> DataFrame:
-    """session and an array of (form, original), in the order in which they are to be put back."""
-    rows = _unfolded(state, "session string, i long, form string, original string, kind string", lambda v: [(i, r["form"], r["original"], r["kind"]) for i, r in enumerate(v.restorations())])
-    return rows.groupBy("session").agg(F.expr("transform(array_sort(collect_list(struct(i, form, original, kind))), x -> named_struct('form', x.form, 'original', x.original, 'kind', x.kind))").alias("forms"))
+def restorations(state: State) -> DataFrame:
+    """session and an array of (form, original, kind), in the order in which they are to be put back: the longest form first."""
+    rows = reverse(state).groupBy("session").agg(F.array_sort(F.collect_list(F.struct((-F.length("form")).alias("l"), "n", "form", "original", "kind"))).alias("forms"))
+    return rows.select("session", F.transform("forms", lambda x: F.struct(x["form"].alias("form"), x["original"].alias("original"), x["kind"].alias("kind"))).alias("forms"))
 
 
-def name_tokens(state: DataFrame) -> DataFrame:
-    """session and an array of (token, original) for the fuzzy pass."""
-    rows = _unfolded(state, "session string, token string, original string", lambda v: [(r["token"], r["original"]) for r in v.name_tokens()])
-    return rows.groupBy("session").agg(F.array_sort(F.collect_set(F.struct("token", "original"))).alias("tokens"))
+def name_tokens(state: State) -> DataFrame:
+    """session, token and original: words of stored name forms and the original word, or whole name, that each stands for."""
+    bases = _bases(state).withColumn("original", title_words(F.col("original")))
+    rows = bases.select("session", "base", "original", F.explode("forms").alias("x")).select("session", "original", F.split("original", " ").alias("words"), F.split("base", " ").alias("fakes"), F.split("x.form", " ").alias("parts"))
+    aligned = (F.size("fakes") == F.size("words")) & (F.size("fakes") == F.size("parts"))
+    each = rows.select("session", "original", "words", aligned.alias("aligned"), F.posexplode("parts").alias("i", "part"))
+    return each.select("session", F.lower("part").alias("token"), F.when(F.col("aligned"), F.get("words", F.col("i"))).otherwise(F.col("original")).alias("original")).distinct()
 
 
-def summary(state: DataFrame, activity: DataFrame | None = None) -> DataFrame:
+def summary(state: State, activity: DataFrame | None = None) -> DataFrame:
     """session, entity_count and entities_by_type over distinct pairs; with activity (session, ts), first and last."""
     pairs = mappings(state)
     by = pairs.groupBy("session", "entity_type").agg(F.count(F.lit(1)).alias("n")).groupBy("session").agg(F.sum("n").alias("entity_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("entities_by_type"))
@@ -229,10 +336,11 @@ def summary(state: DataFrame, activity: DataFrame | None = None) -> DataFrame:
     return seen.join(by, "session")
 
 
-def delete(state: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def delete(state: State, sessions: DataFrame) -> tuple[State, DataFrame]:
     """The state without the sessions, and (session, existed) for each that was named."""
     named = sessions.select(F.col("session").cast("string").alias("session")).distinct()
-    return state.join(named, "session", "left_anti"), named.join(state.select("session", F.lit(True).alias("existed")), "session", "left").na.fill({"existed": False})
+    there = state.rows.select("session").distinct().withColumn("existed", F.lit(True))
+    return state.with_rows(state.rows.join(named, "session", "left_anti")), named.join(there, "session", "left").na.fill({"existed": False})
 
 
 def original_of(forms_: DataFrame, fake: str = "fake") -> DataFrame:

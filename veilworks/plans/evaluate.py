@@ -11,10 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilworks.functions.crypto import fresh_key
 from veilworks.operators import conversation as chat
 from veilworks.operators import scoring, spans
 from veilworks.sources import reports
-from veilworks.sources.shared import written
+from veilworks.sources.shared import written_sealed
 
 EXIT_OK, EXIT_LEAK, EXIT_EMPTY, EXIT_USAGE = 0, 1, 2, 3
 
@@ -51,11 +52,12 @@ class Evaluation:
         reports.write_json(summary, f"{path}/aggregate")
 
 
-def evaluate(docs: DataFrame, seed: str = "0", **options: object) -> Evaluation:
-    """docs: gold documents (doc_id, source, text, entities)."""
+def evaluate(docs: DataFrame, key: bytes | None = None, **options: object) -> Evaluation:
+    """docs: gold documents (doc_id, source, text, entities). Without a key fakes are drawn, and values sealed, by a new one."""
+    key = fresh_key() if key is None else key
     messages = docs.select(F.col("doc_id").alias("session"), F.lit(1).alias("turn"), F.lit("user").alias("role"), "text")
-    hidden, state = chat.pseudonymize(messages, seed, **options)
-    hidden = written(hidden.select("session", "entities", "replacements", "fake_text"), "hidden")
+    hidden, state = chat.pseudonymize(messages, key, **options)
+    hidden = written_sealed(hidden.select("session", "entities", "replacements", "fake_text"), "hidden", key, clear=("session",))
     kind = "array<struct<type:string,start:int,end:int,text:string>>"
     seen = hidden.select(
         F.col("session").alias("doc_id"), "fake_text", F.transform("replacements", lambda r: r["fake"]).alias("fakes"),

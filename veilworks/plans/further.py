@@ -13,9 +13,9 @@ from veilworks.functions import identifiers as ids
 from veilworks.operators import conversation as chat
 from veilworks.operators import rewrite, scoring, vault
 from veilworks.operators import spans as sp
-from veilworks.plans.registry import query, table, weighted_sql
+from veilworks.plans.registry import KEY, query, table, weighted_sql
 from veilworks.sources import corpora, reports
-from veilworks.sources.shared import shared_dir
+from veilworks.sources.shared import shared_dir, spread
 
 # ---------------------------------------------------------------- sources
 
@@ -101,7 +101,7 @@ UNION ALL SELECT doc_id, 'DATE_TIME', 110, 124, 0.75, '3 maja 2021 r.' FROM v WH
 def detect_further(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tax number, account, phone and worded date in front of whole texts, which all recognizers read to their end; those
     before the address are compared, whose pattern may run on into the words that follow."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    docs = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"))
     nine = (F.col("doc_id") * 7919 % 800000000 + 100000000).cast("string")
     t = F.concat(F.lit("12345678"), nine, F.lit("1234567"))
     a, b, c = _LEAD.split("{}")
@@ -117,7 +117,7 @@ SELECT doc_id, 'ul. Polna ' || (1 + doc_id % 90) || ', 00-950 Warszawa' AS addre
 )
 def detect_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An address behind each whole text; its metadata and the bonus of the word in front."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    docs = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"))
     rows = docs.select("doc_id", F.concat("text", F.lit(". Adres: ul. Polna "), (F.col("doc_id") % 90 + 1).cast("string"), F.lit(", 00-950 Warszawa")).alias("text"))
     only = [r for r in sp.RECOGNIZERS if r.kind == "POLISH_ADDRESS"]
     found = sp.exploded(sp.detect(rows, recognizers=only), "doc_id")
@@ -155,7 +155,13 @@ def _mentions(rows: DataFrame, *each: tuple[str, str, str]) -> DataFrame:
     """Mentions (kind, text, case) of each session, in order; names are their own lemma in the nominative."""
     held = F.array(*[F.struct(F.lit(n).alias("i"), F.lit(k).alias("entity_type"), F.lower(F.lit(t)).alias("key"), F.lit(t).alias("text"), F.lower(F.lit(t)).alias("lemma"), F.lit(c).alias("case")) for n, (k, t, c) in enumerate(each)])
     x = rows.select(F.col("session").cast("string").alias("session"), F.explode(held).alias("x")).select("session", "x.*")
-    return x.select("session", F.col("i").cast("long").alias("ord"), F.col("i").cast("long").alias("row"), "i", "entity_type", "key", "text", "lemma", "case", F.lit(None).cast("string").alias("gender"))
+    x = x.select("session", F.col("i").cast("long").alias("ord"), F.col("i").cast("long").alias("row"), "i", "entity_type", "key", "text", "lemma", "case", F.lit(None).cast("string").alias("gender"))
+    return vault.hidden(x, KEY)
+
+
+def _mapped(rows: DataFrame) -> tuple[DataFrame, vault.State]:
+    made, state = vault.run(rows)
+    return made, vault.State(state, KEY)
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,18 +171,19 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session, true AS surname, true AS again, true AS apart, true AS declined FROM conversations")
 def coreferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A surname alone gets its part of the full name's fake; a repeated name its fake, another person another one."""
-    made, _ = vault.run(_mentions(_sessions(spark, sf_dir), ("PERSON", "Jan Kowalski", "nom"), ("PERSON", "Kowalski", "nom"), ("PERSON", "Jan Kowalski", "nom"), ("PERSON", "Ewa Lis", "nom"), ("PERSON", "Jan Kowalski", "gen")), "3")
+    made, _ = _mapped(_mentions(_sessions(spark, sf_dir), ("PERSON", "Jan Kowalski", "nom"), ("PERSON", "Kowalski", "nom"), ("PERSON", "Jan Kowalski", "nom"), ("PERSON", "Ewa Lis", "nom"), ("PERSON", "Jan Kowalski", "gen")))
     by = made.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "fake"))), lambda x: x["fake"]).alias("f"))
     f = F.col("f")
     words = F.split(f[0], " ")
-    surname = F.concat(declension.decline_col(words[0], declension.pattern_col(words[0]), "gen"), F.lit(" "))
-    return by.select("session", (f[1] == words[1]).alias("surname"), (f[2] == f[0]).alias("again"), (~f[3].isin(f[0], f[1])).alias("apart"), ((f[4] != f[0]) & F.startswith(f[4], F.substring(surname, 1, 2))).alias("declined"))
+    gender = F.when(F.substring(words[0], -1, 1) == "a", "female")  # all first names of women in use end so
+    gen = F.concat_ws(" ", *[declension.decline_col(w, declension.pattern_col(w, gender), "gen") for w in (words[0], words[1])])
+    return by.select("session", (f[1] == words[1]).alias("surname"), (f[2] == f[0]).alias("again"), (~f[3].isin(f[0], f[1])).alias("apart"), (f[4] == gen).alias("declined"))
 
 
 @query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session, 'Widziano: Jan Kowalski, Gdynia, 12.03.1999; i Jan Kowalski.' AS restored, 'Jan Kowalski' AS nearest, 4 AS entity_count FROM conversations")
 def restored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fakes put back exactly and, for a form with a letter too many, by its nearest stored form."""
-    made, state = vault.run(_mentions(_sessions(spark, sf_dir), ("PERSON", "Jan Kowalski", "nom"), ("LOCATION", "Gdynia", "nom"), ("DATE_TIME", "12.03.1999", "nom"), ("PHONE_NUMBER", "501 502 503", "nom")), "4")
+    made, state = _mapped(_mentions(_sessions(spark, sf_dir), ("PERSON", "Jan Kowalski", "nom"), ("LOCATION", "Gdynia", "nom"), ("DATE_TIME", "12.03.1999", "nom"), ("PHONE_NUMBER", "501 502 503", "nom")))
     by = made.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "fake"))), lambda x: x["fake"]).alias("f"))
     f = F.col("f")
     sent = by.select("session", F.concat(F.lit("Widziano: "), f[0], F.lit(", "), f[1], F.lit(", "), f[2], F.lit("; i "), f[0], F.lit(".")).alias("text"), F.concat(f[0], F.lit("x")).alias("fake"))
@@ -192,7 +199,7 @@ SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session, true AS pesel, true AS nip,
 def generated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each builder's value passes the check of its kind; an unknown kind gives its text back."""
     kinds = (("PESEL", "44051401359"), ("NIP", "1234563218"), ("REGON", "123456785"), ("REGON", "12345678500002"), ("POLISH_BANK_ACCOUNT", "61109010140000071219812874"), ("PHONE_NUMBER", "501502503"), ("EMAIL_ADDRESS", "a@b.pl"), ("POLISH_ADDRESS", "ul. Polna 1"), ("DATE_TIME", "12.03.1999"), ("ODD", "as it is"))
-    made, _ = vault.run(_mentions(_sessions(spark, sf_dir), *[(k, t, "nom") for k, t in kinds]), "5")
+    made, _ = _mapped(_mentions(_sessions(spark, sf_dir), *[(k, t, "nom") for k, t in kinds]))
     by = made.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "fake"))), lambda x: x["fake"]).alias("f"))
     f = F.col("f")
     return by.select(
@@ -209,7 +216,7 @@ UNION ALL SELECT 'nobody', false, 0"""
 )
 def deleted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the named sessions those that existed go; what is left keeps its mappings."""
-    _, state = vault.run(_mentions(_sessions(spark, sf_dir), ("PESEL", "44051401359", "nom")), "6")
+    _, state = _mapped(_mentions(_sessions(spark, sf_dir), ("PESEL", "44051401359", "nom")))
     named = _sessions(spark, sf_dir).filter("session % 3 = 0").select(F.col("session").cast("string").alias("session")).union(spark.createDataFrame([("nobody",)], "session string"))
     left, gone = vault.delete(state, named)
     counts = vault.mappings(left).groupBy("session").agg(F.count(F.lit(1)).cast("int").alias("pesels"))

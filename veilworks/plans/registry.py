@@ -17,6 +17,7 @@ from veilworks.functions import surface as su
 from veilworks.operators import conversation as chat
 from veilworks.operators import rewrite, scoring, vault
 from veilworks.operators import spans as sp
+from veilworks.sources.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -64,7 +65,7 @@ FROM (SELECT lang, unnest(m) AS x FROM d) GROUP BY lang"""
 def detect_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emails by language: spans, overlaps, threshold, count. The flagship."""
     only = [r for r in sp.RECOGNIZERS if r.kind == "EMAIL_ADDRESS"]
-    found = sp.exploded(sp.detect(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), recognizers=only), "lang")
+    found = sp.exploded(sp.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), recognizers=only), "lang")
     return found.groupBy("lang", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_distinct"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -144,7 +145,7 @@ def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     ten = F.concat(F.lit("44051"), F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"))
     pesel = F.concat(ten, ids.pesel_control(ten).cast("string"))
     text = F.concat(F.lit("PESEL "), pesel, F.lit(" oraz REGON "), regon, F.lit(" i "), F.lit("000000001"), F.lit(" dnia 12.01.2024. "), F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), pesel.alias("pesel"), regon.alias("regon"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.alias("text"), pesel.alias("pesel"), regon.alias("regon"))
 
 
 _PLANTED = f"""
@@ -339,7 +340,7 @@ def _private_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     ten = F.concat(F.lit("44051"), F.lpad((F.col("session") % 100000).cast("string"), 5, "0"))
     pesel = F.concat(ten, ids.pesel_control(ten).cast("string"))
     mail = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" napisz: u"), F.col("session").cast("string"), F.lit("@poczta.pl"))).otherwise(F.lit(""))
-    return _messages(spark, sf_dir).withColumn("text", F.concat(F.lit("PESEL "), pesel, mail, F.lit(". "), F.col("text")))
+    return spread(_messages(spark, sf_dir)).withColumn("text", F.concat(F.lit("PESEL "), pesel, mail, F.lit(". "), F.col("text")))
 
 
 @query(
@@ -349,7 +350,7 @@ FROM conversations GROUP BY conv_id"""
 )
 def pseudonymize_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No original is left in what is sent, and every message comes back whole."""
-    hidden, state = chat.pseudonymize(_private_chat(spark, sf_dir), seed="7")
+    hidden, state = chat.pseudonymize(_private_chat(spark, sf_dir), KEY)
     back = chat.depseudonymize(hidden.select("session", "text", "fake_text", "entities"), state, text="fake_text")
     gone = F.forall("entities", lambda x: ~F.contains(F.col("fake_text"), x["text"]))
     return back.groupBy("session").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.size("entities")).cast("long").alias("entities"), F.bool_and(gone).alias("hidden"), F.bool_and(F.col("restored") == F.col("text")).alias("restored"))
@@ -362,7 +363,7 @@ UNION ALL SELECT CAST(conv_id AS VARCHAR), 'EMAIL_ADDRESS', 1, true FROM convers
 )
 def session_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One original has one fake through all turns of its session."""
-    _, state = chat.pseudonymize(_private_chat(spark, sf_dir), seed="7")
+    _, state = chat.pseudonymize(_private_chat(spark, sf_dir), KEY)
     return vault.mappings(state).groupBy("session", "entity_type").agg(F.countDistinct("original").alias("n"), (F.countDistinct("fake") == F.countDistinct("original")).alias("one_fake"))
 
 
@@ -378,7 +379,7 @@ def counts_over_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chat_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole round trip with the echo provider. Fakes are this engine's own, so there is no SQL for it."""
-    return chat.round_trip(_private_chat(spark, sf_dir), seed="7")
+    return chat.round_trip(_private_chat(spark, sf_dir), KEY)
 
 
 @query(
@@ -391,7 +392,7 @@ FROM w GROUP BY conv_id"""
 )
 def answers_of_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The echoed answer comes back as the whole last user message, and what was sent holds none of its originals."""
-    trip = chat.round_trip(_private_chat(spark, sf_dir), seed="7")
+    trip = chat.round_trip(_private_chat(spark, sf_dir), KEY)
     sent = lambda pattern: F.contains("sent", F.nullif(F.regexp_extract("answer", pattern, 0), F.lit("")))
     left = [F.coalesce(sent(p), F.lit(False)) for p in ("[0-9]{11}", r"u[0-9]+@poczta\.pl")]
     return trip.select("session", "entities", (~(left[0] | left[1])).alias("hidden"), F.md5(F.col("answer").cast("binary")).alias("answer"))

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+
+from veilworks.functions import crypto
 
 #: Folders of sessions that have none set, by application; only where all runs on one machine.
 _own: dict[str, str] = {}
@@ -41,6 +45,26 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def written_sealed(df: DataFrame, tag: str, key: bytes, clear: tuple[str, ...] = ()) -> DataFrame:
+    """`written`, with strings and what may hold them sealed in the file and opened as they are read; not those named in clear."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    shut = [f.name not in clear and isinstance(f.dataType, (StringType, ArrayType, MapType, StructType)) for f in df.schema.fields]
+    flat = crypto.with_key(df.toDF(*names), key)
+    of = F.lit(tag)
+    as_text = lambda c, f: F.col(c) if isinstance(f.dataType, StringType) else F.to_json(c)
+    stored = written(flat.select(*[crypto.sealed(as_text(c, f), of).alias(c) if s else F.col(c) for c, f, s in zip(names, df.schema.fields, shut, strict=True)]), tag)
+    back = lambda c, f: crypto.opened(F.col(c), of) if isinstance(f.dataType, StringType) else F.from_json(crypto.opened(F.col(c), of), f.dataType)
+    out = crypto.with_key(stored, key).select(*[back(c, f).alias(f.name) if s else F.col(c).alias(f.name) for c, f, s in zip(names, df.schema.fields, shut, strict=True)])
+    out.written_to = stored.written_to
+    return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew if its scan has fewer tasks than there are cores, for work that costs more than a shuffle of its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Scratch:
     """Tables that live as long as a with block: what is read after it has to be written by `keep`, or to the caller's own place."""
 
