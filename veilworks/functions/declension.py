@@ -1,7 +1,4 @@
-"""Polish declension of names and cities by fixed endings, once as a table and twice read: for columns and for state.
-
-Each pattern has, for each case, what is cut from the end and what is put there; a few stems change first.
-"""
+"""Polish declension of names and cities by fixed endings, once as a table and twice read: for columns and for state."""
 
 from __future__ import annotations
 
@@ -10,21 +7,41 @@ from pyspark.sql import functions as F
 
 CASES = ("nom", "gen", "dat", "acc", "ins", "loc")
 VOWELS = "aeiouyąęó"
-#: Pattern, then letters to cut and endings in the order of CASES. "=": the word as it is. Fixed values.
-#: Marks: I is i after k or g, else y; E is ce or dze for k or g, else ie; M is iem after k or g, else em;
-#: L is u after k, g or ch, else ie, where ń becomes ni before a, e and u.
+#: For each pattern: how a word ends in the nominative, and the endings that stand in its place in the order of CASES. The
+#: first that fits holds. Fixed values.
 ENDINGS = {
-    "ADJ_M": (1, ("=", "iego", "iemu", "iego", "im", "im")),
-    "ADJ_F": (1, ("=", "iej", "iej", "ą", "ą", "iej")),
-    "NOUN_F_A": (1, ("=", "I", "E", "ę", "ą", "E")),
-    "NOUN_M_CONS": (0, ("=", "a", "owi", "a", "M", "L")),
-    "CITY_M": (0, ("=", "a", "owi", "=", "M", "L")),
-    "CITY_F": (1, ("=", "I", "E", "ę", "ą", "E")),
-    "INDECLINABLE": (0, ("=",) * 6),
+    "ADJ_M": (("i", ("i", "iego", "iemu", "iego", "im", "im")),),
+    "ADJ_F": (("a", ("a", "iej", "iej", "ą", "ą", "iej")),),
+    "NOUN_F_A": (
+        ("ka", ("ka", "ki", "ce", "kę", "ką", "ce")),
+        ("ga", ("ga", "gi", "dze", "gę", "gą", "dze")),
+        ("ńa", ("ńa", "ńy", "nie", "ńę", "ńą", "nie")),
+        ("a", ("a", "y", "ie", "ę", "ą", "ie")),
+    ),
+    "NOUN_M_CONS": (
+        ("ek", ("ek", "ka", "kowi", "ka", "kiem", "ku")),
+        ("k", ("k", "ka", "kowi", "ka", "kiem", "ku")),
+        ("g", ("g", "ga", "gowi", "ga", "giem", "gu")),
+        ("ch", ("ch", "cha", "chowi", "cha", "chem", "chu")),
+        ("ń", ("ń", "nia", "ńowi", "nia", "ńem", "niu")),
+        ("", ("", "a", "owi", "a", "em", "ie")),
+    ),
+    "CITY_M": (
+        ("ów", ("ów", "owa", "owowi", "ów", "owem", "owie")),
+        ("k", ("k", "ka", "kowi", "k", "kiem", "ku")),
+        ("g", ("g", "ga", "gowi", "g", "giem", "gu")),
+        ("ch", ("ch", "cha", "chowi", "ch", "chem", "chu")),
+        ("ń", ("ń", "ńa", "ńowi", "ń", "ńem", "niu")),
+        ("", ("", "a", "owi", "", "em", "ie")),
+    ),
+    "CITY_F": (
+        ("ka", ("ka", "ki", "ce", "kę", "ką", "ce")),
+        ("ga", ("ga", "gi", "dze", "gę", "gą", "dze")),
+        ("a", ("a", "y", "ie", "ę", "ą", "ie")),
+    ),
+    "INDECLINABLE": (("", ("", "", "", "", "", "")),),
 }
 ADJECTIVES = (("ADJ_M", ("ski", "cki", "dzki")), ("ADJ_F", ("ska", "cka", "dzka")))
-#: Patterns whose ń softens; cities keep it before a.
-SOFT_BEFORE_A = ("NOUN_M_CONS",)
 
 
 def pattern_of(word: str, gender: str | None = None, kind: str = "person") -> str:
@@ -42,33 +59,13 @@ def pattern_of(word: str, gender: str | None = None, kind: str = "person") -> st
 
 
 def decline(word: str, pattern: str, case: str) -> str:
-    cut, endings = ENDINGS[pattern]
-    mark = endings[CASES.index(case)]
-    if mark == "=":
+    if case == "nom":
         return word
     low = word.lower()
-    stem = word[: len(word) - cut]
-    if pattern == "NOUN_M_CONS" and low.endswith("ek"):
-        stem = word[:-2] + word[-1]
-    if pattern == "CITY_M" and low.endswith("ów"):
-        stem = word[:-2] + "ow"
-    hard = stem[-1:].lower() in ("k", "g")
-    if mark == "I":
-        return stem + ("i" if hard else "y")
-    if mark == "E":
-        if hard:
-            return stem[:-1] + ("ce" if stem[-1].lower() == "k" else "dze")
-        soft = pattern == "NOUN_F_A" and stem.endswith("ń")
-        return stem[:-1] + "nie" if soft else stem + "ie"
-    if mark == "M":
-        return stem + ("iem" if hard else "em")
-    if mark == "L":
-        if stem.endswith("ń"):
-            return stem[:-1] + "niu"
-        return stem + ("u" if hard or stem.lower().endswith("ch") else "ie")
-    if mark == "a" and stem.endswith("ń") and pattern in SOFT_BEFORE_A:
-        return stem[:-1] + "nia"
-    return stem + mark
+    for ending, by_case in ENDINGS[pattern]:
+        if low.endswith(ending):
+            return word[: len(word) - len(ending)] + by_case[CASES.index(case)]
+    return word
 
 
 def forms(word: str, pattern: str) -> dict[str, str]:
@@ -100,36 +97,14 @@ def pattern_col(word: Column, gender: Column | None = None, kind: str = "person"
 
 
 def decline_col(word: Column, pattern: Column, case: str) -> Column:
-    low = F.lower(word)
-    but = lambda s, n: F.substring(s, F.lit(1), F.greatest(F.length(s) - n, F.lit(0)))
-    out = None
-    for name, (cut, endings) in ENDINGS.items():
-        mark = endings[CASES.index(case)]
-        stem = but(word, cut)
-        if name == "NOUN_M_CONS":
-            stem = F.when(low.endswith("ek"), F.concat(but(word, 2), F.substring(word, -1, 1))).otherwise(stem)
-        if name == "CITY_M":
-            stem = F.when(low.endswith("ów"), F.concat(but(word, 2), F.lit("ow"))).otherwise(stem)
-        last = F.lower(F.substring(stem, -1, 1))
-        hard, soft = last.isin("k", "g"), stem.endswith("ń")
-        put = lambda ending, s=stem: F.concat(s, F.lit(ending))
-        softened = lambda ending, s=stem: F.concat(but(s, 1), F.lit(ending))
-        if mark == "=":
-            made = word
-        elif mark == "I":
-            made = F.when(hard, put("i")).otherwise(put("y"))
-        elif mark == "E":
-            made = F.when(last == "k", softened("ce")).when(last == "g", softened("dze"))
-            made = (made.when(soft, softened("nie")) if name == "NOUN_F_A" else made).otherwise(put("ie"))
-        elif mark == "M":
-            made = F.when(hard, put("iem")).otherwise(put("em"))
-        elif mark == "L":
-            made = F.when(soft, softened("niu")).when(hard | F.lower(stem).endswith("ch"), put("u")).otherwise(put("ie"))
-        elif mark == "a" and name in SOFT_BEFORE_A:
-            made = F.when(soft, softened("nia")).otherwise(put("a"))
-        else:
-            made = put(mark)
-        out = F.when(pattern == name, made) if out is None else out.when(pattern == name, made)
+    if case == "nom":
+        return word
+    low, out = F.lower(word), None
+    for name, rows in ENDINGS.items():
+        for ending, by_case in rows:
+            made = F.concat(F.substring(word, F.lit(1), F.length(word) - len(ending)), F.lit(by_case[CASES.index(case)]))
+            hit = (pattern == name) & low.endswith(ending)
+            out = F.when(hit, made) if out is None else out.when(hit, made)
     return out.otherwise(word)
 
 

@@ -315,6 +315,20 @@ def names_from_gazetteer(df: DataFrame, gazetteer: DataFrame, key: str, text: st
     return hit.groupBy(key).agg(F.collect_list(span).alias("names"))
 
 
+def words_of(text: str, words: int = 3) -> Column:
+    """Array of (s, surface, before) of all runs of up to `words` capitalized words with spaces between them: where a run
+    starts, its text, and the word in front of it, if only spaces lie between."""
+    gap = lambda i: f"z.b[{i}] rlike r'(?U)^\\s+$'"
+    capital = lambda i: f"z.m[{i}] rlike r'^\\p{{Lu}}'"
+    run = lambda n: "concat(z.m[i]" + "".join(f", z.b[i + {k}], z.m[i + {k}]" for k in range(1, n)) + ")"
+    fits = lambda n: " and ".join([f"i + {n} <= size(z.m)", *[f"{gap(f'i + {k}')} and {capital(f'i + {k}')}" for k in range(1, n)]])
+    before = f"if(i > 0 and {gap('i')}, z.m[i - 1], null)"
+    runs = ", ".join(f"if({fits(n)}, named_struct('s', e[i] - length(z.m[i]), 'surface', {run(n)}, 'before', {before}), null)" for n in range(1, words + 1))
+    none = "cast(array() as array<struct<s:int,surface:string,before:string>>)"
+    made = _bind(_ENDS, "e", f"flatten(transform(filter(sequence(0, size(z.m) - 1), i -> {capital('i')}), i -> filter(array({runs}), r -> r is not null)))")
+    return F.expr(_bind(_pieces(f"`{text}`", r"\w+"), "z", f"if(coalesce(size(z.m), 0) <= 0, {none}, {made})"))
+
+
 def canonical(label: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(v) for kv in ALIASES.items() for v in kv]), label)
 

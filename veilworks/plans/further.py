@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilworks.functions import declension, dialog
 from veilworks.functions import identifiers as ids
 from veilworks.operators import conversation as chat
-from veilworks.operators import rewrite, scoring, vault
+from veilworks.operators import names, rewrite, scoring, vault
 from veilworks.operators import spans as sp
 from veilworks.plans.registry import KEY, query, table, weighted_sql
 from veilworks.sources import corpora, reports
@@ -133,11 +133,41 @@ def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of a gazetteer in whole texts, with lemma and case, through overlaps and thresholds."""
     rows = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.concat("text", F.lit(". Anna Zielińska w Gdyni")).alias("text"))
     gazetteer = spark.createDataFrame([("Anna Zielińska", "PERSON", "anna zielińska", "gen"), ("Zielińska", "PERSON", "zielińska", "nom"), ("Gdyni", "LOCATION", "gdynia", "loc")], "surface string, entity_type string, lemma string, case string")
-    names = sp.names_from_gazetteer(rows, gazetteer, "doc_id")
-    found = sp.exploded(sp.detect(rows.join(names, "doc_id", "left"), recognizers=[], extra=F.coalesce("names", F.array().cast(f"array<{sp.SPAN}>"))), "doc_id")
+    held = sp.names_from_gazetteer(rows, gazetteer, "doc_id")
+    found = sp.exploded(sp.detect(rows.join(held, "doc_id", "left"), recognizers=[], extra=F.coalesce("names", F.array().cast(f"array<{sp.SPAN}>"))), "doc_id")
     return found.select("doc_id", F.col("text").alias("name"), "entity_type", F.col("start").alias("start_at"), F.col("case").alias("grammatical"))
 
 
+#: Base form, type, gender, and forms that a text may hold: the words before it, the form, and its case.
+_INFLECTED = (
+    ("Jan Kowalski", "PERSON", "male", (("od", "Jana Kowalskiego", "gen"), ("z", "Janem Kowalskim", "ins"), ("ku", "Janowi Kowalskiemu", "dat"), ("oraz", "Jan Kowalski", "nom"), ("przez", "Jana Kowalskiego", "acc"))),
+    ("Anna Nowak", "PERSON", "female", (("dla", "Anny Nowak", "gen"), ("przez", "Annę Nowak", "acc"), ("o", "Annie Nowak", "loc"), ("ku", "Annie Nowak", "dat"), ("panią", "Anną Nowak", "ins"))),
+    ("Olga Zielińska", "PERSON", "female", (("dla", "Olgi Zielińskiej", "gen"), ("przy", "Oldze Zielińskiej", "loc"), ("dzięki", "Oldze Zielińskiej", "dat"), ("za", "Olgę Zielińską", "acc"), ("przed", "Olgą Zielińską", "ins"))),
+    ("Marek Wójcik", "PERSON", "male", (("bez", "Marka", "gen"), ("pana", "Wójcika", "gen"), ("panem", "Wójcikiem", "ins"), ("przy", "Marku Wójciku", "loc"), ("ku", "Markowi", "dat"))),
+    ("Kraków", "LOCATION", None, (("do", "Krakowa", "gen"), ("w", "Krakowie", "loc"), ("pod", "Krakowem", "ins"), ("przez", "Kraków", "acc"), ("oraz", "Kraków", "nom"))),
+    ("Warszawa", "LOCATION", None, (("do", "Warszawy", "gen"), ("w", "Warszawie", "loc"), ("nad", "Warszawą", "ins"), ("przez", "Warszawę", "acc"), ("dzięki", "Warszawie", "dat"))),
+    ("Gdańsk", "LOCATION", None, (("od", "Gdańska", "gen"), ("o", "Gdańsku", "loc"), ("przed", "Gdańskiem", "ins"), ("ku", "Gdańskowi", "dat"), ("", "Gdańsk", "nom"))),
+)
+_FORMS = [(k, prep, form, kind, (base if len(form.split()) == len(base.split()) else next(b for b in base.split() if b[:3] == form[:3])).lower(), case) for k, (prep, form, kind, base, case) in enumerate((p, f, t, b, c) for b, t, _, x in _INFLECTED for p, f, c in x)]
+
+
+@query(
+    f"""
+WITH f(k, prep, form, kind, lemma, cased) AS (VALUES {", ".join(repr(r) for r in _FORMS)})
+SELECT doc_id, form AS name, kind AS entity_type, length(text) + 11 + CASE WHEN prep = '' THEN 0 ELSE length(prep) + 1 END AS start_at, lemma, cased
+FROM documents JOIN f ON doc_id % {len(_FORMS)} = k WHERE text IS NOT NULL"""
+)
+def inflected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of base names behind whole texts: lemma and case from an index of generated forms and the word before."""
+    docs = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"))
+    one = F.element_at(F.array(*[F.lit(f"{prep} {form}" if prep else form) for _, prep, form, *_ in _FORMS]), (F.col("doc_id") % len(_FORMS) + 1).cast("int"))
+    rows = docs.select("doc_id", F.concat("text", F.lit(". Mówiono: "), one, F.lit(".")).alias("text"))
+    index = names.form_index(spark.createDataFrame([(b, t, g) for b, t, g, _ in _INFLECTED], "base string, entity_type string, gender string"))
+    found = names.names_in_texts(rows, index, "doc_id")
+    spans = sp.exploded(sp.detect(rows.join(found, "doc_id", "left"), recognizers=[], extra=F.coalesce("names", F.array().cast(f"array<{sp.SPAN}>"))), "doc_id")
+    return spans.select("doc_id", F.col("text").alias("name"), "entity_type", F.col("start").alias("start_at"), "lemma", F.col("case").alias("cased"))
+
+
 @query(
     f"""
 SELECT c_custkey, CASE c_custkey % 8 {" ".join(f"WHEN {i} THEN {('NULL' if c is None else repr(c))}" for i, c in enumerate(("PERSON", "ADDRESS", "BANK_ACCOUNT", "BANK_ACCOUNT", "NIP", None, "DATE_TIME", None)))} END AS label FROM customer"""
