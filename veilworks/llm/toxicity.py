@@ -5,10 +5,10 @@ and its gain is the number of bytes by which the toxic one is shorter. Longer wi
 toxic word saves in what its neighbours cost. A text's statistic adds up the gains above a threshold, and a table turns
 it into a probability; threshold and table are those that describe a fold of labelled texts best that trained nothing.
 
-The toxic dictionary is trained on contrast: word beginnings that are so often in toxic and so seldom in ordinary texts
-that chance is ruled out (families of near copies count once), and the words of toxic texts that have them. The
-ordinary dictionary holds the commonest ordinary words and, nearest to its end, the ordinary words that compressed
-better with the toxic one. Both are bounded.
+The toxic dictionary is made by zstandard's trainer from windows chosen by contrast: word beginnings that are so often in
+toxic and so seldom in ordinary texts that chance is ruled out (families of near copies count once), and the words of
+toxic texts that have them. The ordinary dictionary is raw content, the commonest ordinary words and, nearest to its end,
+the ordinary words that compressed better with the toxic one; the trainer leaves out too many of them. Both are bounded.
 
 The fit uses about `TOXIC` and `ORDINARY` labelled rows of at most `TRAIN_BYTES` bytes, drawn by a hash of doc_id;
 every text is scored whole. Cases: null text counts as empty and has the score of a text without gains; with no toxic
@@ -39,6 +39,8 @@ BEGIN, CHANCE = range(3, 11), -12.0
 #: A word is toxic to `train` from this gain on; for texts, gains below one of GAINS don't count, and sums above MOST
 #: count as MOST.
 GAIN, GAINS, MOST = 5, (3, 4, 5, 6, 7), 20
+#: Trainer: bytes of a segment and of the pieces that it counts, and times that each sample is given to it.
+SEGMENT, PIECE, TIMES = 24, 8, 20
 LIMIT = 0.7
 MARK = b"\x01\x02\x03\x04\x05"
 EDGES = ".,;:!?\"'()[]{}#*$%&|<>"
@@ -106,6 +108,16 @@ def _packed(words: list[str], size: int) -> bytes:
     return b"".join(reversed(out))
 
 
+def _trained(words: list[str]) -> bytes:
+    """A dictionary of zstandard's trainer from the words between marks, as many as fit; raw if they are too few for it."""
+    packed = _packed(words, TOXIC_BYTES)
+    samples = [MARK + w + MARK for w in packed.split(MARK) if w]
+    try:
+        return zstandard.train_dictionary(2 * TOXIC_BYTES, samples * TIMES, k=SEGMENT, d=PIECE, level=19).as_bytes()
+    except zstandard.ZstdError:
+        return packed
+
+
 def train(texts: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     """Contents of the toxic and of the ordinary dictionary."""
     words: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
@@ -136,7 +148,7 @@ def train(texts: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     chosen = {p for p in begins[1] if toxic(p)}
     bad = [w for w, _ in sorted(words[1].items(), key=lambda x: (-x[1], x[0])) if any(w[:k] in chosen for k in BEGIN if len(w) >= k)]
     good = [w for w, _ in sorted(words[0].items(), key=lambda x: (-x[1], x[0]))]
-    first, second = _packed(bad, TOXIC_BYTES), _packed(good, ORDINARY_BYTES)
+    first, second = _trained(bad) if bad else b"", _packed(good, ORDINARY_BYTES)
     if not first:
         return b"", second
     near = Distance(first, second)
