@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilworks.operators import scoring
 from veilworks.operators.generate import phone_col
 from veilworks.operators.spans import detect
-from veilworks.sources import corpora, reports
+from veilworks.sources import corpora, metrics, reports
 from veilworks.streaming import sessions
 
 ENTITY = [("PERSON", 0, 3, "Jan")]
@@ -179,3 +179,45 @@ def test_state_holds_no_original_and_costs_by_the_batch(spark, tmp_path, rocks):
     kept = b"".join(p.read_bytes() for p in cp.rglob("*") if p.is_file())
     assert b"osoba00007" not in kept and b"nowa@poczta" not in kept and len(kept) > 10000
     assert sessions.stored(spark, str(cp), "forward").count() == 3001
+
+
+def test_lines_of_gold(spark, tmp_path):
+    """Lines are counted over parts of a file, blank ones included, and a line that is no document is named."""
+    folder = tmp_path / "g"
+    folder.mkdir()
+    good = lambda i, source="real": json.dumps({"doc_id": f"d{i}", "source": source, "contract_type": "x", "text": "Jan " * 200, "entities": []})
+    lines = [good(i) for i in range(200)]
+    lines[3], lines[50], lines[120], lines[199] = "", "{no json", good(120, "web"), good(7)
+    (folder / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (folder / "b.jsonl").write_text(good(900) + "\n\n" + good(901, "web"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert corpora.gold_lines(spark, str(folder)).rdd.getNumPartitions() > 3
+        got = {(r.file.rsplit("/", 1)[1], r.line, r.violation) for r in corpora.located(spark, str(folder)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {("a.jsonl", 51, "no document"), ("a.jsonl", 121, "source"), ("a.jsonl", 8, "doc_id occurs again"), ("a.jsonl", 200, "doc_id occurs again"), ("b.jsonl", 3, "source")}
+    with pytest.raises(ValueError, match=r"b.jsonl:3: d901: source"):
+        corpora.read_gold(spark, str(folder / "b.jsonl"))
+
+
+def test_observed_metrics(spark, tmp_path):
+    df = spark.createDataFrame([("a@b.pl c@d.pl",), ("x",), (None,)], "text string")
+    rows, seen = metrics.observed(detect(df))
+    assert rows.count() == 3 and seen.get == {"rows": 3, "chars": 14, "entities": 2, "rows_with_entities": 1}
+    df.write.parquet(str(tmp_path / "in"))
+    lines = []
+    listener = metrics.Lines(lines.append)
+    spark.streams.addListener(listener)
+    try:
+        stream = metrics.observed_stream(detect(spark.readStream.schema("text string").parquet(str(tmp_path / "in"))))
+        assert stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        for _ in range(50):
+            if lines:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    got = json.loads(lines[0])
+    assert (got["rows"], got["entities"], got["batch"]) == (3, 2, 0) and "a@b.pl" not in lines[0]

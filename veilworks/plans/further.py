@@ -14,7 +14,7 @@ from veilworks.operators import conversation as chat
 from veilworks.operators import names, rewrite, scoring, vault
 from veilworks.operators import spans as sp
 from veilworks.plans.registry import KEY, query, table, weighted_sql
-from veilworks.sources import corpora, reports
+from veilworks.sources import corpora, metrics, reports
 from veilworks.sources.shared import shared_dir, spread
 
 # ---------------------------------------------------------------- sources
@@ -59,6 +59,37 @@ def gold_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.violations(gold)
 
 
+@query(
+    """
+WITH d AS (SELECT doc_id, doc_id % 8 AS part, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS line FROM documents WHERE length(text) > 0)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, part, line, CASE WHEN doc_id % 5 = 0 THEN 'entity range' ELSE 'source' END AS violation FROM d WHERE doc_id % 5 < 2"""
+)
+def located_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File and line of each broken document, of whole texts written as gold lines in eight folders, in order of doc_id."""
+    docs = table(spark, sf_dir, "documents").filter("length(text) > 0")
+    k = F.col("doc_id") % 5
+    entity = F.struct(F.lit("PERSON").alias("type"), F.lit(0).alias("start"), F.when(k == 0, 0).otherwise(1).alias("end"), F.when(k == 0, "").otherwise(F.substring("text", 1, 1)).alias("text"))
+    gold = docs.select((F.col("doc_id") % 8).alias("part"), F.col("doc_id").alias("n"), F.col("doc_id").cast("string").alias("doc_id"), F.when(k == 1, "web").otherwise("real").alias("source"), F.lit("x").alias("contract_type"), "text", F.array(entity).alias("entities"))
+    where = f"{shared_dir(spark)}/gold-{uuid.uuid4().hex}"
+    gold.repartition("part").sortWithinPartitions("part", "n").drop("n").write.partitionBy("part").json(where)
+    found = corpora.located(spark, f"{where}/part=*")
+    return found.select("doc_id", F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part"), "line", "violation")
+
+
+@query(
+    """
+SELECT 'emails' AS what, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(coalesce(sum(len(m)), 0) AS BIGINT) AS entities, CAST(sum(CASE WHEN len(m) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS rows_with_entities
+FROM (SELECT text, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9\\-]+(?:\\.[A-Za-z0-9\\-]+)*\\.[A-Za-z]{2,}') AS m FROM documents)"""
+)
+def observed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a running detection of whole texts reports of itself, while its rows are written."""
+    only = [r for r in sp.RECOGNIZERS if r.kind == "EMAIL_ADDRESS"]
+    rows, seen = metrics.observed(sp.detect(spread(table(spark, sf_dir, "documents").select("text")), recognizers=only))
+    rows.select("entities").write.format("noop").mode("overwrite").save()
+    counts = seen.get
+    return spark.createDataFrame([("emails", *[counts[c] for c in ("rows", "chars", "entities", "rows_with_entities")])], "what string, rows long, chars long, entities long, rows_with_entities long")
+
+
 @query(
     """
 SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 'Umowa: ' || c_name || ', ' || c_mktsegment || ' i ' || c_name || '.' AS text, 7 AS a, 7 + length(c_name) AS b, 12 + length(c_name) + length(c_mktsegment) AS c, 'PERSON,LOCATION,PERSON' AS kinds

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,20 +26,44 @@ def read_gold(spark: SparkSession, *paths: str, source: str | None = None, check
     docs = spark.read.schema(schema).option("mode", "FAILFAST").json(there)
     if not check:
         return docs
-    broken = violations(docs, source)
-    first = broken.limit(1).collect()
-    if first:
-        raise ValueError(f"{first[0].doc_id}: {first[0].violation}")
+    if violations(docs, source).limit(1).count():
+        first = located(spark, *there, source=source).orderBy("file", "line").first()
+        raise ValueError(f"{first.file}:{first.line}: {first.doc_id}: {first.violation}")
     return docs
 
 
+def gold_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """file, line (from 1) and value of each line that isn't blank.
+
+    Rows of a part of a file are numbered as they are scanned, and the lines of the parts before it, of which there are
+    as many as tasks, are added. No file is read in one piece.
+    """
+    at = F.monotonically_increasing_id()
+    rows = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("id"))
+    parts = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = rows.join(parts.select("file", "block", "first", earlier.alias("earlier")), ["file", "block"])
+    return both.select("file", (F.col("id") - F.col("first") + F.col("earlier") + 1).alias("line"), "value").filter(r"value rlike '\\S'")
+
+
+def located(spark: SparkSession, *paths: str, source: str | None = None) -> DataFrame:
+    """file, line, doc_id and violation: each rule that a line breaks, also that of being no document."""
+    schema = StructType.fromDDL(GOLD + ", _broken string")
+    read = gold_lines(spark, *paths).withColumn("d", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    bad = read.filter("d._broken is not null").select("file", "line", "d.doc_id", F.lit("no document").alias("violation"))
+    good = read.filter("d._broken is null").select("file", "line", "d.*")
+    own = good.select("file", "line", "doc_id", F.explode(_broken(source)).alias("violation"))
+    again = good.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).filter("n > 1").select("file", "line", "doc_id", F.lit("doc_id occurs again").alias("violation"))
+    return bad.unionByName(own).unionByName(again)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at))
 
 
-def violations(docs: DataFrame, source: str | None = None) -> DataFrame:
-    """doc_id and each rule that a document breaks."""
+def _broken(source: str | None) -> Column:
+    """Array of the names of the rules that a document breaks."""
     known = ", ".join(f"'{t}'" for t in CANONICAL)
     checks = {
         "source": "source is null or source not in ('synthetic', 'real')" if source is None else f"coalesce(source, '') <> '{source}'",
@@ -52,7 +76,12 @@ def violations(docs: DataFrame, source: str | None = None) -> DataFrame:
                 and array_sort(transform(entities, x -> named_struct('t', x.type, 's', x.start, 'e', x.end)))[y.i - 1].e > y.x.s)""",
     }
     found = F.array(*[F.when(F.coalesce(F.expr(c), F.lit(False)), F.lit(name)) for name, c in checks.items()])
-    own = docs.select("doc_id", F.explode(F.filter(found, lambda v: v.isNotNull())).alias("violation"))
+    return F.filter(found, lambda v: v.isNotNull())
+
+
+def violations(docs: DataFrame, source: str | None = None) -> DataFrame:
+    """doc_id and each rule that a document breaks."""
+    own = docs.select("doc_id", F.explode(_broken(source)).alias("violation"))
     again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit("doc_id occurs again").alias("violation"))
     return own.union(again)
 
