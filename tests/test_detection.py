@@ -85,3 +85,9 @@ def test_gazetteer(spark):
 def test_labels(spark):
     df = spark.createDataFrame([("IBAN",), ("POLISH_ADDRESS",), ("ORG",)], "l string")
     assert [r[0] for r in df.select(sp.canonical(F.col("l"))).collect()] == ["BANK_ACCOUNT", "ADDRESS", None]
+
+
+def test_suffixes_of_mail_addresses(spark):
+    df = spark.createDataFrame([("a@b.pl, c@d.co.uk, e@f.invalid, g@uk.example",)], "text string")
+    mails = lambda suffixes: [x.text for x in sp.detect(df, recognizers=[r for r in sp.with_suffixes(suffixes) if r.kind == "EMAIL_ADDRESS"]).first().entities]
+    assert mails(["pl", ".CO.UK"]) == ["a@b.pl", "c@d.co.uk"] and mails(["uk"]) == ["c@d.co.uk"] and mails([]) == []

@@ -133,3 +133,17 @@ def test_near_tokens(spark):
     got = {(r.session, r.word): r.original for r in rewrite.near_tokens(spark.createDataFrame(words, "session string, word string"), held).collect()}
     want = {("s", w): o for s, w in words if s == "s" and len(w) >= rewrite.LEAST and (o := best(w, [t[1:] for t in tokens])) is not None}
     assert got == want and len(want) > 20
+
+
+def test_common_subsequences():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(row[-1], last[j + 1]))
+        assert scoring.common_length(a, b) == row[-1]
+    many = [str(i % 997) for i in range(20000)]
+    assert scoring.common_length(many, many[5:]) == 19995

@@ -111,6 +111,10 @@ def test_chat(spark):
     assert back.filter("restored <> text").count() == 0
     trips = {r.session: r for r in chat.round_trip(m, KEY).collect()}
     assert trips["a"].answer == rows[3][3] and trips["a"].entities == 5 and trips["b"].answer == "hej"
+    own = lambda kind, draw, text, gender: gen.Fake(kind, f"<{kind} {draw.digits(4)}>") if kind == "PESEL" else gen.generate(kind, draw, text, gender)
+    shout = lambda rows: chat.echo(rows).withColumn("answer", F.concat(F.lit("Odp.: "), "answer"))
+    trips = {r.session: r for r in chat.round_trip(m, KEY, provider=shout, build=own).collect()}
+    assert trips["a"].answer == "Odp.: " + rows[3][3] and "<PESEL " in trips["a"].sent
     assert {r.session: r.violation for r in chat.validate(m).collect()} == {"a": None, "b": None, "c": "last_role"}
     assert [(r.role, r.content) for r in chat.merge_roles(m).filter("session = 'b'").collect()] == [("user", "NIP 1234563218\n\nhej")]
     assert {r.session: r.entity_count for r in vault.summary(state).collect()} == {"a": 3, "b": 1}

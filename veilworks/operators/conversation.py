@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from veilworks.functions.dialog import ROLES
 from veilworks.functions.surface import normalize
 from veilworks.operators import spans as sp
 from veilworks.operators import vault
+from veilworks.operators.generate import Builder, generate
 from veilworks.operators.rewrite import fuzzy_restore, restore, splice
 from veilworks.operators.store import SessionStore
 from veilworks.sources.shared import written_sealed
@@ -56,7 +59,7 @@ def counts_by_type(messages: DataFrame, spans: str = "entities") -> DataFrame:
     return messages.select("session", F.explode_outer(spans).alias("x")).filter("x is not null").groupBy("session", F.col("x.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def pseudonymize(messages: DataFrame, key: bytes, store: SessionStore | None = None, **options: object) -> tuple[DataFrame, vault.State]:
+def pseudonymize(messages: DataFrame, key: bytes, store: SessionStore | None = None, build: Builder = generate, **options: object) -> tuple[DataFrame, vault.State]:
     """Messages with entities, replacements and fake_text, and the state of the sessions.
 
     Texts are not shuffled to the sessions' tasks; only mentions are, as keyed hashes and sealed values, and their fakes
@@ -72,10 +75,10 @@ def pseudonymize(messages: DataFrame, key: bytes, store: SessionStore | None = N
     found = written_sealed(numbered, "spans", key, clear=("session", *[n for c, n in zip(messages.columns, names, strict=True) if c in ("session", "role")]))
     seen = vault.mentions(found, key)
     if store is None:
-        fakes, rows = vault.run(seen)
+        fakes, rows = vault.run(seen, build=build)
         state = vault.State(rows, key)
     else:
-        fakes = store.assign(seen, found.select("session"))
+        fakes = store.assign(seen, found.select("session"), build=build)
         state = store.state()
     per = fakes.groupBy(F.col("row").alias("of_row")).agg(F.array_sort(F.collect_list(F.struct("i", "fake"))).alias("_fakes"))
     columns = ["session" if c == "session" else F.col(n).alias(c) for c, n in zip(messages.columns, names, strict=True)]
@@ -93,11 +96,14 @@ def depseudonymize(texts: DataFrame, state: vault.State, text: str = "text", out
     return fuzzy_restore(full, vault.name_tokens(state), out) if fuzzy else full
 
 
-def round_trip(messages: DataFrame, key: bytes, **options: object) -> DataFrame:
-    """session, sent (the last user message as the provider sees it), answer (restored) and total entities, with the
-    echo provider in the middle."""
+def round_trip(messages: DataFrame, key: bytes, provider: Callable[[DataFrame], DataFrame] = echo, **options: object) -> DataFrame:
+    """session, sent (what the provider answers), answer (restored) and total entities.
+
+    provider: from (session, turn, role, text), in which originals are hidden, to (session, answer); the echo gives back
+    the last user message.
+    """
     hidden, state = pseudonymize(messages, key, **options)
-    answer = echo(hidden.select("session", "turn", "role", F.col("fake_text").alias("text"))).withColumnRenamed("answer", "text")
+    answer = provider(hidden.select("session", "turn", "role", F.col("fake_text").alias("text"))).withColumnRenamed("answer", "text")
     totals = hidden.groupBy("session").agg(F.sum(F.size("entities")).cast("long").alias("entities"))
     back = depseudonymize(answer, state, out="answer", fuzzy=True).withColumnRenamed("text", "sent")
     totals = totals.withColumnRenamed("session", "_of")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Container
+from collections.abc import Callable, Container
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -121,10 +121,14 @@ def generate(kind: str, draw: Draw, text: str = "", gender: str | None = None) -
     return Fake(kind, text)
 
 
-def mint(kind: str, key: str, used: Container[str], seed: str, text: str = "", gender: str | None = None, draws: int = 64) -> Fake:
-    """A value none of whose forms is used. Further draws come first; a forced suffix, which breaks forms, only last."""
+#: Makes a value of (kind, draw, hint, gender); it may call `generate` for kinds that it doesn't know.
+Builder = Callable[[str, Draw, str, str | None], Fake]
+
+
+def mint(kind: str, key: str, used: Container[str], seed: str, text: str = "", gender: str | None = None, draws: int = 64, build: Builder = generate) -> Fake:
+    """A value of `build` none of whose forms is used. Further draws come first; a forced suffix, which breaks forms, only last."""
     for n in range(draws):
-        fake = generate(kind, Draw(seed, kind, key, n), text, gender)
+        fake = build(kind, Draw(seed, kind, key, n), text, gender)
         if not any(form in used for form in (fake.base, *fake.forms.values())):
             return fake
     n = 2

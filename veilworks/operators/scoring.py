@@ -305,20 +305,27 @@ def answer_summary(answers: DataFrame) -> DataFrame:
     return answers.agg(F.count(F.lit(1)).alias("documents"), count("leak_free"), count("reconstructed"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence of two arrays: one row of the table is folded over the other array."""
-    zero = F.array_repeat(F.lit(0), F.size(b) + 1)
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: a column of the table is the bits of one number, and each word of a one sum."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(b):
+        at[w] = at.get(w, 0) | 1 << i
+    whole = (1 << len(b)) - 1
+    open_ = whole
+    for w in a:
+        hit = open_ & at.get(w, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & whole
+    return len(b) - open_.bit_count()
 
-    def row(before: Column, x: Column) -> Column:
-        start = F.struct(F.array(F.lit(0)).alias("r"), F.lit(0).alias("last"))
-        step = lambda acc, y: _grown(acc, F.when(y["v"] == x, F.element_at(before, y["i"]) + 1).otherwise(F.greatest(F.element_at(before, y["i"] + 1), acc["last"])))
-        return F.aggregate(F.transform(b, lambda v, i: F.struct(v.alias("v"), (i + 1).alias("i"))), start, step)["r"]
 
-    return F.element_at(F.aggregate(a, zero, row), -1)
+def lcs_length(a: Column, b: Column) -> Column:
+    """Longest common subsequence of two arrays of words; null arrays have none."""
 
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([0 if p is None or q is None else common_length(list(p), list(q)) for p, q in zip(x, y, strict=True)], dtype="int64")
 
-def _grown(acc: Column, value: Column) -> Column:
-    return F.struct(F.concat(acc["r"], F.array(value)).alias("r"), value.alias("last"))
+    run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+    return pandas_udf(run, "long")(a, b)
 
 
 def rouge_l(reference: Column, candidate: Column) -> Column:

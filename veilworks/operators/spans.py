@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from veilworks.functions import identifiers as ids
+from veilworks.functions import phones
 from veilworks.functions.surface import digits_only, strip_separators
 
 SPAN = (
@@ -104,11 +105,20 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
     # digits and separators that can be a Polish number: nine digits, or more with the country's prefix
     Recognizer(
         "PHONE_NUMBER", [(r"(?<![\w+])(?:(?:\+48|0048)[ \-]?)?\(?\d{2,3}\)?(?:[ \-]?\d{2,3}){2,3}(?!\w)", 0.40)], ["tel", "telefon", "kom"], digits=9,
-        keep=lambda t: F.length(F.regexp_replace(digits_only(t), r"^(?:00)?48(?=[0-9]{9}$)", "")) == 9,
+        keep=phones.is_possible, metadata={"normalized": phones.national, "kind": phones.kind},
     ),
 )
 
 
+def with_suffixes(suffixes: Sequence[str], recognizers: Sequence[Recognizer] = RECOGNIZERS) -> tuple[Recognizer, ...]:
+    """The recognizers, of which that of mail addresses asks for a domain under one of the suffixes, such as those of a public list."""
+    held = F.array(*[F.lit(x.lower().lstrip(".")) for x in suffixes]) if suffixes else F.array().cast("array<string>")
+    labels = lambda t: F.split(F.lower(F.substring_index(t, "@", -1)), r"\.")
+    # what is behind each dot of the domain
+    ends = lambda t: F.transform(F.sequence(F.lit(2), F.greatest(F.size(labels(t)), F.lit(2))), lambda i: F.array_join(F.slice(labels(t), i, F.size(labels(t))), "."))
+    return tuple(replace(r, keep=lambda t: F.arrays_overlap(ends(t), held)) if r.kind == "EMAIL_ADDRESS" else r for r in recognizers)
+
+
 def _bind(value: str, name: str, body: str) -> str:
     """SQL: body, in which name stands for the value, computed once."""
     return f"transform(array({value}), {name} -> {body})[0]"

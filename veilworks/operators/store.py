@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilworks.operators import vault
+from veilworks.operators.generate import Builder, generate
 from veilworks.operators.vault import STATE, State, is_name
 
 _FIELDS = [c.split()[0] for c in STATE.split(", ")]
@@ -100,7 +101,7 @@ class SessionStore:
         """The number of the version that these rows of STATE make."""
         return self._put(rows, "delta")
 
-    def assign(self, mentions: DataFrame, messages: DataFrame | None = None, now: int | None = None) -> DataFrame:
+    def assign(self, mentions: DataFrame, messages: DataFrame | None = None, now: int | None = None, build: Builder = generate) -> DataFrame:
         """(session, row, i, fake) of mentions (vault.mentions, with row); what is new is the next version.
 
         messages: rows with a session; each counts as one of its session, if that has a mapping then. now: milliseconds.
@@ -112,7 +113,7 @@ class SessionStore:
         open_ = looked.filter(F.col("_base").isNull() | is_name(F.col("entity_type"))).select(F.col("session").alias("_open")).distinct()
         of = lambda df: df["session"].eqNullSafe(F.col("_open"))
         sure = looked.join(open_, of(looked), "left_anti").select("session", "row", "i", F.col("_base").alias("fake"))
-        made, fresh = vault.run(mentions.join(open_, of(mentions), "left_semi"), held.filter("part <> 'meta'").join(open_, of(held), "left_semi"))
+        made, fresh = vault.run(mentions.join(open_, of(mentions), "left_semi"), held.filter("part <> 'meta'").join(open_, of(held), "left_semi"), build)
         rows = fresh
         if messages is not None:
             seen = messages.groupBy("session").agg(F.count(F.lit(1)).alias("messages"))

@@ -27,7 +27,7 @@ from pyspark.sql.functions import pandas_udf
 from veilworks.functions import crypto
 from veilworks.functions.declension import decline, forms, pattern_of
 from veilworks.functions.surface import NAME_TYPES, collapse, mapping_key, title_words
-from veilworks.operators.generate import mint
+from veilworks.operators.generate import Builder, generate, mint
 from veilworks.sources.shared import written
 
 
@@ -69,8 +69,8 @@ class Used:
 class Vault:
     """The state machine of one session."""
 
-    def __init__(self, session: str, tables: Tables | None = None) -> None:
-        self.session, self.tables = session, Tables() if tables is None else tables
+    def __init__(self, session: str, tables: Tables | None = None, build: Builder = generate) -> None:
+        self.session, self.tables, self.build = session, Tables() if tables is None else tables, build
         self.used = Used(self.tables)
 
     def _next(self, what: str) -> int:
@@ -122,7 +122,7 @@ class Vault:
                 held = t.faces.get(fake)
                 self._write(m, fake, forms(fake, pattern_of(fake, m["gender"])) if " " not in fake else held["forms"] if held else {})
         if fake is None:
-            made = mint(kind, f"{self.session}|{m['field']}", self.used, "", m["hint"] or "", m["gender"])
+            made = mint(kind, f"{self.session}|{m['field']}", self.used, "", m["hint"] or "", m["gender"], build=self.build)
             fake = made.base
             self._write(m, fake, made.forms)
         if not name:
@@ -231,17 +231,17 @@ class State:
         return State(rows, self.key)
 
 
-def run(rows: DataFrame, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def run(rows: DataFrame, held: DataFrame | None = None, build: Builder = generate) -> tuple[DataFrame, DataFrame]:
     """(session, row, i, fake) of the mentions (with row and i), and what they add to the state, as rows of STATE.
 
-    held: the state before. A session's mentions depend on each other in order, so a session is one group; that is the
+    held: the state before. build: makes the values. A session's mentions depend on each other in order, so a session is one group; that is the
     only shuffle.
     """
     columns = ["session", "row", "i", "mapped", *_FIELDS[1:]]
     schema = "session string, row long, i int, mapped string, " + STATE.split(", ", 1)[1]
 
     def states(key: object, pdf: pd.DataFrame, before: pd.DataFrame | None) -> pd.DataFrame:
-        vault = Vault("" if key is None or key != key else key, tables_of([] if before is None else before.to_dict("records")))
+        vault = Vault("" if key is None or key != key else key, tables_of([] if before is None else before.to_dict("records")), build)
         pdf = pdf.assign(turn=pdf["ord"] // (1 << 20)).sort_values(["turn", "row", "i"])
         made = [(key, r, i, fake, *[None] * (len(_FIELDS) - 1)) for r, i, (_, _, fake) in zip(pdf["row"], pdf["i"], replay(vault, pdf.to_dict("records")), strict=True)]
         made += [(key, -1, -1, None, *x[1:]) for x in rows_of(key, vault.tables)]

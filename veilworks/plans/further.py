@@ -142,6 +142,24 @@ def detect_further(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter((F.col("start") < len(_LEAD) + 32) & (F.col("entity_type") != "POLISH_ADDRESS")).select("doc_id", "entity_type", F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.round("score", 2).alias("score"), "text")
 
 
+_PHONES = (("601", "mobile"), ("226", "geographic"), ("703", "premium"), ("800", "toll_free"), ("801", "shared_cost"), ("391", "voip"), ("999", "possible"))
+
+
+@query(
+    f"""
+SELECT doc_id, length(text) + 8 AS start_at, {"".join(f"CASE WHEN doc_id % {len(_PHONES)} = {i} THEN '{k}' ELSE " for i, (_, k) in enumerate(_PHONES))}''{"END " * len(_PHONES)} AS kind,
+       {"".join(f"CASE WHEN doc_id % {len(_PHONES)} = {i} THEN '{p}' ELSE " for i, (p, _) in enumerate(_PHONES))}''{" END" * len(_PHONES)} || '234567' AS normalized, 0.6::DOUBLE AS score FROM documents WHERE text IS NOT NULL"""
+)
+def phones_by_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number behind each whole text, with its kind by the numbering plan."""
+    docs = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"))
+    prefix = F.element_at(F.array(*[F.lit(p) for p, _ in _PHONES]), (F.col("doc_id") % len(_PHONES) + 1).cast("int"))
+    rows = docs.select("doc_id", F.length("text").alias("n"), F.concat("text", F.lit(". Tel.: "), F.when(F.col("doc_id") % 2 == 0, "+48 ").otherwise(""), prefix, F.lit("-234 567.")).alias("text"))
+    only = [r for r in sp.RECOGNIZERS if r.kind == "PHONE_NUMBER"]
+    found = sp.exploded(sp.detect(rows, recognizers=only), "doc_id", "n").filter("start >= n")
+    return found.select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("metadata.kind").alias("kind"), F.col("metadata.normalized").alias("normalized"), F.round("score", 2).alias("score"))
+
+
 @query(
     """
 SELECT doc_id, 'ul. Polna ' || (1 + doc_id % 90) || ', 00-950 Warszawa' AS address, true AS has_street, '00-950' AS postal_code, 0.8::DOUBLE AS score FROM documents WHERE text IS NOT NULL"""

@@ -489,12 +489,13 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'PESEL' ELSE 'PERSON' END AS type,
 FROM documents"""
 )
 def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An identifier, an inflected name and a verbatim name, each found once however often gold has it."""
+    """An identifier, an inflected name and a verbatim name behind whole texts, each found once however often gold has it."""
     d = F.col("doc_id") % 3
-    text = F.when(d == 0, "numer 44051401359 tu").when(d == 1, "widziano Kowalskiego, nie Kowalczyka").otherwise("oto Kowalski i Nowela")
+    planted = F.when(d == 0, "numer 44051401359 tu").when(d == 1, "widziano Kowalskiego, nie Kowalczyka").otherwise("oto Kowalski i Nowela")
     person = "named_struct('type', 'PERSON', 'start', 0, 'end', 8, 'text', 'Kowalski')"
     gold = F.expr(f"if(doc_id % 3 = 0, array(named_struct('type', 'PESEL', 'start', 0, 'end', 11, 'text', '44051401359')), array({person}, {person}))")
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("outbound"), gold.alias("gold"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" | "), planted).alias("outbound"), gold.alias("gold"))
     return scoring.leaks(rows).select("doc_id", "type", "match_mode", "form_found")
 
 
@@ -503,8 +504,10 @@ def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'correct_inflection' WHEN 2 THEN 'fuzzy_recovered' WHEN 3 THEN 'missed' ELSE 'correct_inflection' END AS outcome, doc_id % 5 = 0 AS in_place FROM documents"""
 )
 def restoration_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.element_at(F.array(*[F.lit(t) for t in ("Kowalski jest", "pan Kowalskiego", "pan Kawalski", "nikogo tu", "pan kowalską")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("restored"), F.expr("array(named_struct('type', 'PERSON', 'start', 0, 'end', 8, 'text', 'Kowalski'))").alias("gold"))
+    """A name in front of whole texts: in its place, inflected, misspelt, gone."""
+    planted = F.element_at(F.array(*[F.lit(t) for t in ("Kowalski jest", "pan Kowalskiego", "pan Kawalski", "nikogo tu", "pan kowalską")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = docs.select("doc_id", F.concat(planted, F.lit(" | "), F.coalesce("text", F.lit(""))).alias("restored"), F.expr("array(named_struct('type', 'PERSON', 'start', 0, 'end', 8, 'text', 'Kowalski'))").alias("gold"))
     return scoring.restoration(rows).select("doc_id", "outcome", "in_place")
 
 

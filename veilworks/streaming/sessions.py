@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from veilworks.operators.generate import Builder, generate
 from veilworks.operators.spans import SPAN, detect
 from veilworks.operators.vault import MAPPED, MENTION, Tables, Vault, hidden, mention_of
 
@@ -70,8 +71,8 @@ class SessionMapping(StatefulProcessor):
     MAPS = {"forward": "string", "reverse": "string", "faces": "string", "people": "long", "words": "string"}
     META = "people long, n long, created_at timestamp, last_activity timestamp, messages long, timer long"
 
-    def __init__(self, idle: int | None, event_time: bool) -> None:
-        self.idle, self.event_time = idle, event_time
+    def __init__(self, idle: int | None, event_time: bool, build: Builder = generate) -> None:
+        self.idle, self.event_time, self.build = idle, event_time, build
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -91,7 +92,7 @@ class SessionMapping(StatefulProcessor):
             return
         tables = {n: StoredMap(s) for n, s in self.maps.items()}
         size = {"people": 0, "n": 0}
-        vault = Vault("" if key[0] is None else str(key[0]), Tables(**tables, size=size))
+        vault = Vault("" if key[0] is None else str(key[0]), Tables(**tables, size=size), self.build)
         now = None if self.idle is None or self.event_time else timerValues.getCurrentProcessingTimeInMs()
         before = self.meta.get()
         created, last, messages, timer = (None, None, 0, None) if before is None else (before[2], before[3], before[4], before[5])
@@ -138,7 +139,7 @@ class SessionMapping(StatefulProcessor):
         pass
 
 
-def map_stream(rows: DataFrame, idle: int | None = IDLE_SECONDS, event_time: bool = False) -> DataFrame:
+def map_stream(rows: DataFrame, idle: int | None = IDLE_SECONDS, event_time: bool = False, build: Builder = generate) -> DataFrame:
     """Rows of `passed` with their fakes. A session's state lives while it has rows, for `idle` seconds after the last.
 
     With event_time rows have a watermark on `at`, and a session ends when that is past its last row by idle. A row
@@ -149,7 +150,7 @@ def map_stream(rows: DataFrame, idle: int | None = IDLE_SECONDS, event_time: boo
     if held != ROCKSDB:
         raise ValueError(f"set {PROVIDER} to {ROCKSDB}")
     mode = "None" if idle is None else "EventTime" if event_time else "ProcessingTime"
-    processor = SessionMapping(None if idle is None else idle * 1000, event_time)
+    processor = SessionMapping(None if idle is None else idle * 1000, event_time, build)
     return rows.groupBy("session").transformWithStateInPandas(processor, MAPPED, "append", mode)
 
 
