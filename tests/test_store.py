@@ -76,7 +76,7 @@ def test_known_hashes_meet_no_state_machine(spark, tmp_path, monkeypatch):
     first = {r.session: r.fake_text for r in through(named(spark, *rows), store)[0].collect()}
     met = []
     run = vault.run
-    monkeypatch.setattr(vault, "run", lambda rows, held=None: met.append(rows.count()) or run(rows, held))
+    monkeypatch.setattr(vault, "run", lambda rows, held=None, *build: met.append(rows.count()) or run(rows, held, *build))
     second = {r.session: r.fake_text for r in through(named(spark, *rows, ("new", 1, rows[0][2])), store)[0].collect()}
     assert met == [1] and {s: second[s] for s in first} == first
 
