@@ -130,3 +130,25 @@ def test_corpus(spark):
     assert version != sc.corpus_hash(df.withColumn("text", F.lit("x"))).first().version
     assert version != sc.corpus_hash(df.union(df.limit(1))).first().version
     assert len(sc.corpus_hash(df.limit(0)).first().version) == 16
+
+
+def test_few_words_are_compared(spark):
+    """What near_words drops shares no stem and is not as alike; of a long text without such words nothing is left."""
+    words = "kowalski Kowalskiego KOWALSKĄ kowal kow Kawalski kowalsk Kowalewski kówalski İowa kańem Kań KAŃEM jan Jana Janowi żółw żółw Wyszogrodzki wyszogrodzkich wiszogrodzky abcdefghij abcdefghxy abcdefgxyz nowak"
+    rows = [(words, t) for t in [*words.split(), "...", "", "a b"]] + [(None, "kowalski"), ("", "kowalski"), ("słowo i zdanie " * 500, "Kowalski"), ("kowalski", None)]
+    df = spark.createDataFrame(rows, "text string, target string")
+    same, alike = lambda w: sc.su.stems_shared(w, F.col("target")), lambda w: sc.su.similarity(w, F.col("target")) >= sc.FUZZY
+    for least, tests in ((None, [same]), (sc.FUZZY, [same, alike])):
+        near = df.withColumn("near", sc.near_words(F.col("text"), F.col("target"), least)).withColumn("all", sc.su.tokens(F.col("text")))
+        for test in tests:
+            for r in near.select("target", F.filter("all", test).alias("want"), F.filter("near", test).alias("got")).collect():
+                assert (r.got or []) == (r.want or []), r.target
+        assert near.filter("text like 'słowo%'").first().near == []
+
+
+def test_spaces_and_digits(spark):
+    texts = ["a b", "  a\t b ", "a b", "a   b\n\nc", "\n", " ", "", "a  b   c", "x\r\ny"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(sc.su.collapse(F.col("t")).alias("got"), F.trim(F.regexp_replace("t", r"(?U)\s+", " ")).alias("want")).collect()
+    assert all(r.got == r.want for r in got)
+    assert spark.createDataFrame([("a1-22 x3",)], "t string").select(sc.su.digits_only(F.col("t"))).first()[0] == "1223"

@@ -26,7 +26,7 @@ def nfc(c: Column) -> Column:
 
 
 def digits_only(c: Column) -> Column:
-    return F.regexp_replace(c, "[^0-9]", "")
+    return F.regexp_replace(c, "[^0-9]+", "")
 
 
 def strip_separators(c: Column) -> Column:
@@ -34,7 +34,8 @@ def strip_separators(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    # a single space stays as it is, so that a text is not put together anew word by word
+    return F.trim(F.regexp_replace(c, r"(?U)[^\S ]\s*| \s+", " "))
 
 
 #: Decomposed Polish letters: a letter, its mark, and both in one.
@@ -46,7 +47,12 @@ def composed_polish(c: Column) -> Column:
     out = c
     for base, mark, letter in COMPOSED:
         out = F.replace(out, F.lit(base + mark), F.lit(letter))
-    return F.when(c.rlike("[\u0301\u0307\u0328]"), out).otherwise(c)
+    return F.when(has_marks(c), out).otherwise(c)
+
+
+def has_marks(c: Column) -> Column:
+    """Whether there may be something for `composed_polish` to compose."""
+    return c.rlike("[\u0301\u0307\u0328]")
 
 
 def normalize(c: Column) -> Column:
