@@ -128,3 +128,17 @@ def test_without_the_key_a_fake_confirms_nothing(spark):
         hidden, state = chat.pseudonymize(rows, key, recognizers=[], extra=F.col("names"))
         fakes.append({r.fake_text for r in hidden.collect()})
     assert len(fakes[0]) == 8 and not fakes[0] & fakes[1]
+
+
+def test_groups_are_plain_rows(spark, monkeypatch):
+    """A session's mentions meet the state machine as Arrow rows, in order of turn, row and place; no data frame is made for each."""
+    seen = []
+    monkeypatch.setattr(vault, "written", lambda df, tag, held=vault.written: (seen.append(df), held(df, tag))[1])
+    rows = [(s, turn << 20 | i, r, i, "PERSON", f"fwd:{name}", [f"h{w}" for w in name.split()], None, "nom", None, "x", "y") for s in ("a", None) for r, turn, i, name in ((7, 2, 0, "Kowalski"), (5, 1, 1, "Jan Kowalski"), (5, 1, 0, "Ewa Lis"))]
+    df = spark.createDataFrame(rows, "session string, ord long, row long, i int, entity_type string, field string, words array<string>, hint string, case string, gender string, sealed string, sealed_base string")
+    fakes, state = vault.run(df)
+    got = {(r.session, r.row, r.i): r.fake for r in fakes.collect()}
+    assert len(got) == 6 and all(got[s, 7, 0] == got[s, 5, 1].split()[-1] for s in ("a", None))
+    again, more = vault.run(df, held=state)
+    assert {(r.session, r.row, r.i): r.fake for r in again.collect()} == got
+    assert all("InArrow" in x._jdf.queryExecution().toString() and "InPandas" not in x._jdf.queryExecution().toString() for x in seen) and len(seen) == 2

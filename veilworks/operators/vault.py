@@ -5,7 +5,7 @@ session. The state machine sees hashes, sealed values and what a fake has to cop
 length of a number. It looks up a mention's hash; a name that is not known reuses the fake of the one person whose hashed words
 contain, or are contained in, its own; all else is minted, unused in the session, drawn by the keyed hash, so that
 without the key no fake confirms a guess. The state machine is plain Python over tables that are read and written by
-key: dictionaries for a session's mentions in `applyInPandas`, map states in the stream.
+key: dictionaries for a session's mentions in `applyInArrow`, map states in the stream.
 
 State is rows (STATE): fwd, a hash and its fake; face, a fake and its forms by case; rev, a form and the sealed
 original; who, a name's hashed words and its fake. Views open them with the key.
@@ -20,6 +20,7 @@ from collections.abc import Iterable, MutableMapping
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -146,6 +147,11 @@ PLACE = ("row", "i")
 #: the form. who: name is the number, words the hashes, fake the fake. meta: name is what is counted, n the number.
 STATE = "session string, part string, name string, n long, fake string, kind string, case string, exact boolean, sealed string, words array<string>, forms array<struct<case:string,form:string>>"
 _FIELDS = [c.split()[0] for c in STATE.split(", ")]
+#: What a session's group gives back: a mention's fake by its place, or a row of STATE.
+_MADE = pa.schema(
+    [("session", pa.string()), ("row", pa.int64()), ("i", pa.int32()), *[(c, pa.string()) for c in ("mapped", "part", "name")], ("n", pa.int64()), *[(c, pa.string()) for c in ("fake", "kind", "case")]]
+    + [("exact", pa.bool_()), ("sealed", pa.string()), ("words", pa.list_(pa.string())), ("forms", pa.list_(pa.struct([("case", pa.string()), ("form", pa.string())])))]
+)
 
 
 def is_name(kind: Column) -> Column:
@@ -237,30 +243,30 @@ def run(rows: DataFrame, held: DataFrame | None = None, build: Builder = generat
     held: the state before. build: makes the values. A session's mentions depend on each other in order, so a session is one group; that is the
     only shuffle.
     """
-    columns = ["session", "row", "i", "mapped", *_FIELDS[1:]]
     schema = "session string, row long, i int, mapped string, " + STATE.split(", ", 1)[1]
 
-    def states(key: object, pdf: pd.DataFrame, before: pd.DataFrame | None) -> pd.DataFrame:
-        vault = Vault("" if key is None or key != key else key, tables_of([] if before is None else before.to_dict("records")), build)
-        pdf = pdf.assign(turn=pdf["ord"] // (1 << 20)).sort_values(["turn", "row", "i"])
-        made = [(key, r, i, fake, *[None] * (len(_FIELDS) - 1)) for r, i, (_, _, fake) in zip(pdf["row"], pdf["i"], replay(vault, pdf.to_dict("records")), strict=True)]
-        made += [(key, -1, -1, None, *x[1:]) for x in rows_of(key, vault.tables)]
-        return pd.DataFrame(made, columns=columns).astype({"exact": object, "n": object})
+    def states(session: str | None, mine: list[dict], before: list[dict]) -> pa.Table:
+        vault = Vault("" if session is None else session, tables_of(before), build)
+        mine.sort(key=lambda r: (r["ord"] // (1 << 20), r["row"], r["i"]))
+        made = [(session, r["row"], r["i"], fake, *[None] * (len(_FIELDS) - 1)) for r, (_, _, fake) in zip(mine, replay(vault, mine), strict=True)]
+        made += [(session, -1, -1, None, *x[1:]) for x in rows_of(session, vault.tables)]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), _MADE, strict=True)], schema=_MADE)
 
-    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
-        return states(pdf["session"].iloc[0], pdf, None)
+    # plain rows: a session mostly has few, and a data frame for each costs more than its mentions
+    def alone(rows: pa.Table) -> pa.Table:
+        mine = rows.to_pylist()
+        return states(mine[0]["session"], mine, [])
 
-    def beside(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame([], columns=columns)
-        return states(pdf["session"].iloc[0], pdf, before)
+    def beside(rows: pa.Table, before: pa.Table) -> pa.Table:
+        mine = rows.to_pylist()
+        return states(mine[0]["session"], mine, before.to_pylist()) if mine else _MADE.empty_table()
 
-    alone.__annotations__ = {"pdf": pd.DataFrame, "return": pd.DataFrame}
-    beside.__annotations__ = {"pdf": pd.DataFrame, "before": pd.DataFrame, "return": pd.DataFrame}
+    alone.__annotations__ = {"rows": pa.Table, "return": pa.Table}
+    beside.__annotations__ = {"rows": pa.Table, "before": pa.Table, "return": pa.Table}
     if held is None:
-        made = rows.groupBy("session").applyInPandas(alone, schema)
+        made = rows.groupBy("session").applyInArrow(alone, schema)
     else:
-        made = rows.groupBy("session").cogroup(held.groupBy("session")).applyInPandas(beside, schema)
+        made = rows.groupBy("session").cogroup(held.groupBy("session")).applyInArrow(beside, schema)
     both = written(made, "vault")  # read for fakes and for states; no original is in it
     fakes, state = both.filter("i >= 0").select("session", "row", "i", F.col("mapped").alias("fake")), both.filter("i < 0").select(*_FIELDS)
     fakes.written_to = state.written_to = both.written_to
