@@ -14,7 +14,7 @@ from veilworks.operators import vault
 from veilworks.operators.generate import Builder, generate
 from veilworks.operators.rewrite import fuzzy_restore, restore, splice
 from veilworks.operators.store import SessionStore
-from veilworks.sources.shared import written_sealed
+from veilworks.sources.shared import small_batches, written_sealed
 
 SEPARATOR = "\n\n"
 
@@ -90,6 +90,7 @@ def pseudonymize(messages: DataFrame, key: bytes, store: SessionStore | None = N
 
 def depseudonymize(texts: DataFrame, state: vault.State, text: str = "text", out: str = "restored", fuzzy: bool = False) -> DataFrame:
     """Adds `out` to (session, text): originals put back, exactly or also for words near to a name's forms."""
+    small_batches(texts.sparkSession)
     forms = vault.restorations(state).withColumnRenamed("session", "_of")
     full = texts.join(forms, F.col("session").cast("string").eqNullSafe(F.col("_of")), "left").drop("_of")
     full = full.withColumn(out, restore(text, "forms")).drop("forms")

@@ -18,6 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from veilworks.functions import identifiers as ids
 from veilworks.functions import phones
 from veilworks.functions.surface import digits_only, strip_separators
+from veilworks.sources.shared import small_batches
 
 SPAN = (
     "struct<entity_type:string,start:int,end:int,score:double,text:string,"
@@ -299,6 +300,7 @@ def detect(df: DataFrame, text: str = "text", out: str = "entities", extra: Colu
 
     Overlaps go before thresholds: a long span of low score can remove a short one and then go itself.
     """
+    small_batches(df.sparkSession)
     found = recognized(text, recognizers)
     df = df.withColumn("_spans", found if extra is None else F.concat(found, extra))
     blank = F.coalesce(F.col(text), F.lit("")).rlike(r"(?U)^\s*$")
@@ -308,17 +310,37 @@ def detect(df: DataFrame, text: str = "text", out: str = "entities", extra: Colu
     return df.drop("_spans")
 
 
+#: Slots of the sketch of first words. A gazetteer that fills them all leaves all runs to the join, as without it.
+SLOTS = 1 << 16
+
+
+def _slot(word: str) -> str:
+    return f"pmod(xxhash64({word}), {SLOTS}L)"
+
+
+def _first_words(gazetteer: DataFrame) -> DataFrame:
+    """One row: _bits, an array of longs with a bit for the slot of each word that begins a surface."""
+    words = gazetteer.select(F.regexp_extract("surface", r"^(?imsuU)\w+", 0).alias("w")).select(F.expr(_slot("w")).alias("slot")).distinct()
+    parts = words.groupBy((F.col("slot") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    held = parts.agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
+    return held.select(F.transform(F.sequence(F.lit(0), F.lit(SLOTS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("_bits"))
+
+
 def names_from_gazetteer(df: DataFrame, gazetteer: DataFrame, key: str, text: str = "text", words: int = 3) -> DataFrame:
     """key and spans of names: runs of up to `words` words that a gazetteer (surface, entity_type, lemma, case) holds.
 
-    The stand-in for a language model; any DataFrame of (key, names: array of SPAN) can take its place. The planner
+    Runs are cut where a word begins a surface, by a sketch of those words. The stand-in for a language model; any DataFrame of (key, names: array of SPAN) can take its place. The planner
     chooses the join by the gazetteer's size.
     """
     run = lambda n: "concat(z.m[i]" + "".join(f", z.b[i + {k}], z.m[i + {k}]" for k in range(1, n)) + ")"
     runs = ", ".join(f"if(i + {n} <= size(z.m), named_struct('s', e[i] - length(z.m[i]), 'surface', {run(n)}), null)" for n in range(1, words + 1))
-    made = _bind(_ENDS, "e", f"flatten(transform(sequence(0, size(z.m) - 1), i -> filter(array({runs}), r -> r is not null)))")
+    # only runs whose first word begins a surface are made
+    begins = f"(_bits[cast({_slot('z.m[i]')} div 64 as int)] & shiftleft(1L, cast({_slot('z.m[i]')} % 64 as int))) <> 0L"
+    made = _bind(_ENDS, "e", f"flatten(transform(y, i -> filter(array({runs}), r -> r is not null)))")
     none = "cast(array() as array<struct<s:int,surface:string>>)"
-    grams = df.select(key, F.explode(F.expr(_bind(_pieces(f"`{text}`", r"\w+"), "z", f"if(coalesce(size(z.m), 0) <= 0, {none}, {made})"))).alias("r"))
+    found = _bind(f"filter(sequence(0, size(z.m) - 1), i -> {begins})", "y", f"if(size(y) = 0, {none}, {made})")
+    rows = df.select(key, text).join(F.broadcast(_first_words(gazetteer)), how="cross")  # one row of 8 KB
+    grams = rows.select(key, F.explode(F.expr(_bind(_pieces(f"`{text}`", r"\w+"), "z", f"if(coalesce(size(z.m), 0) <= 0, {none}, {found})"))).alias("r"))
     grams = grams.select(key, F.col("r.s").alias("s"), F.col("r.surface").alias("surface"))
     hit = grams.join(gazetteer, "surface")
     span = F.struct(F.col("entity_type"), F.col("s").alias("start"), (F.col("s") + F.length("surface")).alias("end"), F.lit(NAME_SCORE).alias("score"), F.col("surface").alias("text"), F.struct(*[F.lit(None).alias(m) for m in META]).alias("metadata"), "lemma", "case").cast(SPAN)

@@ -65,6 +65,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of a batch that goes to a Python worker: texts of any length are held there more than once.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Batches of few rows, so that what a Python worker holds does not grow with its partition; never of more than are set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(held, rows) if held > 0 else rows))
+
+
 class Scratch:
     """Tables that live as long as a with block: what is read after it has to be written by `keep`, or to the caller's own place."""
 
