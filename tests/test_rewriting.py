@@ -126,3 +126,14 @@ def test_original_of(spark):
     forms = [("Nowakiem", "Kowalskim"), ("Nowak", "Kowalski")]
     df = spark.createDataFrame([("Nowak", forms), ("nowakim", forms), ("Zupa", forms)], "fake string, forms array<struct<form:string,original:string>>")
     assert [r.original for r in vault.original_of(df).collect()] == ["Kowalski", "Kowalskim", None]
+
+
+def test_row_tokens(spark):
+    """Tokens made in the row are those of token_masks over exploded spans, and make no shuffle."""
+    rows = [(1, [("PERSON", 9, 10, "b"), ("PERSON", 0, 1, "b"), ("PERSON", 4, 5, "a"), ("PESEL", 2, 3, "a"), ("ODD", 6, 7, "c"), ("PERSON", 4, 6, "aa")]), (2, [("PERSON", 1, 2, "z")]), (3, [])]
+    df = spark.createDataFrame(rows, "k int, spans array<struct<entity_type:string,start:int,end:int,text:string>>")
+    want = rewrite.token_masks(df.select("k", F.explode("spans").alias("x")).select("k", "x.*"), "k")
+    made = df.select("k", rewrite.row_tokens("spans").alias("t"))
+    pick = lambda d: sorted((r.k, r.entity_type, r.start, r.end, r.text, r.token) for r in d.collect())
+    assert pick(made.select("k", F.explode("t").alias("x")).select("k", "x.*")) == pick(want)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()

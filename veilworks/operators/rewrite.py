@@ -279,6 +279,18 @@ def token_masks(spans: DataFrame, *key: str, kind: str = "entity_type") -> DataF
     return first.withColumn("token", F.concat(F.lit("["), label, F.lit("_"), n.cast("string"), F.lit("]"))).drop("_first")
 
 
+def row_tokens(spans: str, kind: str = "entity_type") -> Column:
+    """The named array of (type, start, end, text), each with its token as of `token_masks`: of a row's own spans, with no shuffle.
+
+    The distinct values of a row are read for each of its spans; for texts of very many spans, explode them for `token_masks`.
+    """
+    labels = "map(" + ", ".join(f"'{k}', '{v.strip('[]')}'" for k, v in MASKS.items()) + ")"
+    first = f"array_distinct(transform(array_sort(transform({spans}, x -> named_struct('start', x.start, 'text', x.text, 'kind', x.{kind}))), x -> named_struct('kind', x.kind, 'text', x.text)))"
+    number = f"size(filter(slice(f, 1, cast(array_position(f, named_struct('kind', x.{kind}, 'text', x.text)) as int)), y -> y.kind <=> x.{kind}))"
+    token = f"concat('[', coalesce(try_element_at({labels}, x.{kind}), '{OTHER_MASK.strip('[]')}'), '_', {number}, ']')"
+    return F.expr(f"transform(array({first}), f -> transform({spans}, x -> named_struct('{kind}', x.{kind}, 'start', x.start, 'end', x.end, 'text', x.text, 'token', {token})))[0]")
+
+
 def restore_tokens(text: str, pairs: str) -> Column:
     """Tokens of the named array of (token, value) back to values, whatever their case, the longest first."""
     order = f"transform(array_sort(transform({pairs}, p -> named_struct('n', -length(p.token), 'token', p.token, 'value', p.value))), p -> p)"

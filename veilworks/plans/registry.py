@@ -529,10 +529,9 @@ def reversible_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values number in order of appearance; tokens go back to values whatever their case."""
     text = F.concat(F.lit("Ewa zna Jan"), F.col("k").cast("string"), F.lit(", a Ewa ma 44051401359."))
     docs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct().withColumn("text", text).withColumn("n", F.length(F.col("k").cast("string")))
-    spans = docs.select("k", "text", F.explode(F.expr("""transform(array(array(0, 3), array(8, 11 + n), array(15 + n, 18 + n), array(22 + n, 33 + n)), (p, i) -> named_struct('entity_type', if(i < 3, 'PERSON', 'PESEL'), 'start', p[0], 'end', p[1]))""")).alias("x"))
-    spans = spans.select("k", F.col("text").alias("whole"), "x.*").withColumn("text", F.expr("substring(whole, start + 1, end - start)"))
-    tokens = rewrite.token_masks(spans, "k")
-    per = tokens.groupBy("k", "whole").agg(F.collect_list(F.struct("start", "end", F.col("token").alias("fake"))).alias("parts"), F.collect_set(F.struct("token", F.col("text").alias("value"))).alias("pairs"))
+    spans = F.expr("""transform(array(array(0, 3), array(8, 11 + n), array(15 + n, 18 + n), array(22 + n, 33 + n)), (p, i) -> named_struct('entity_type', if(i < 3, 'PERSON', 'PESEL'), 'start', p[0], 'end', p[1], 'text', substring(text, p[0] + 1, p[1] - p[0])))""")
+    tokens = docs.select("k", F.col("text").alias("whole"), spans.alias("spans")).select("k", "whole", rewrite.row_tokens("spans").alias("tokens"))
+    per = tokens.select("k", "whole", F.expr("transform(tokens, x -> named_struct('start', x.start, 'end', x.end, 'fake', x.token))").alias("parts"), F.expr("array_distinct(transform(tokens, x -> named_struct('token', x.token, 'value', x.text)))").alias("pairs"))
     per = per.withColumn("masked", rewrite.splice("whole", "parts")).withColumn("_low", F.lower("masked"))
     return per.select(F.col("k").alias("l_orderkey"), "masked", (F.lower(rewrite.restore_tokens("_low", "pairs")) == F.lower("whole")).alias("same"))
 
