@@ -219,6 +219,38 @@ def test_passages(spark, monkeypatch, group):
     assert sum(got[i].n_passages == 1 for i in range(24)) >= 21
 
 
+@pytest.mark.parametrize("group", [20000, 1])
+def test_passages_of_different_others(spark, monkeypatch, group):
+    """A text shares 360 bytes with one other and, overlapping these, 360 bytes with a third: noted, but none is to go."""
+    monkeypatch.setattr(substrings, "GROUP", group)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(5))
+    own = lambda n: " ".join(word() for _ in range(n))
+    texts = []
+    for _ in range(8):
+        left, mid, right = own(10), own(49), own(10)
+        texts += [f"{own(90)} {left} {mid} {right} {own(90)}", f"{own(90)} {left} {mid} {own(90)}", f"{own(90)} {mid} {right} {own(90)}"]
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.digests(substrings.removed(frame(spark, texts), "doc_id")).collect()}
+    assert [got[i][:4] for i in range(len(texts))] == brute_removed(texts) and not any(x[1] for x in got.values())
+    assert sum(got[i][4] == 1 for i in range(0, len(texts), 3)) >= 7
+
+
+@pytest.mark.parametrize("width", [1, 7])
+def test_substrings_of_dealt_families(spark, monkeypatch, width):
+    """Near copies whose edits recur, so that blocks recur whole, in their core only, or not at all."""
+    monkeypatch.setattr(substrings, "GROUP", 1)
+    rng = random.Random(32)
+    base = [f"w{rng.randrange(10**width):0{width}d}" for _ in range(1100 // (width + 2))]
+    texts = [" ".join(base)]
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(0, len(words), 20)] = f"e{rng.randrange(3)}"
+        texts.append(" ".join(words[rng.randrange(30) :]))
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.digests(substrings.removed(frame(spark, texts), "doc_id")).collect()}
+    assert [got[i][:4] for i in range(len(texts))] == brute_removed(texts)
+
+
 def test_substrings_edges(spark):
     assert substrings.removed(empty(spark), "doc_id").count() == 0
     twice = frame(spark, [LONG]).union(frame(spark, [LONG]))

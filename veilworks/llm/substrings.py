@@ -10,9 +10,11 @@ one in about 190, need to be compared. An anchor has a context: what the strings
    start at the anchor, and the reversed prefixes that end at it, are put in order by deep-shallow sorting; common
    prefixes of neighbours give those of all pairs, and a pair that agrees on 400 bytes around the anchor covers what
    it agrees on.
-3. An anchor with more than `GROUP` different contexts is dealt out by its 400-byte strings instead: each context
-   names the strings that the anchor stands for, their hashes are counted with partial sums, and those counted twice
-   come back to the contexts in bounded parts. So no task gets a group without bound, and no group is cut.
+3. An anchor with more than `GROUP` different contexts is dealt out by blocks of neighbouring 400-byte strings instead.
+   Strings of a block have a core in common; contexts whose core occurs once in its place go. A block that recurs whole
+   is covered whole; of those that share their core and differ around it one each names its strings, whose hashes
+   are counted with partial sums and come back counted. So no task gets a group without bound, no group is cut, and
+   rows grow with the contexts, not with their pairs.
 
 Texts travel once, by a key of doc_id and text, and meet there both the contexts that are wanted of them and their
 covered spans. Counts are written before they meet what they count, so that Spark can split the join at a hot anchor.
@@ -43,9 +45,9 @@ from veilworks.llm.suffixsort import deep_shallow, neighbours
 LENGTH = 400
 GRAM = 16
 REACH = LENGTH - GRAM  # bytes before an anchor that a string around it can have
-#: Contexts of an anchor that one task compares (16 MB at most), and repeated strings that meet a context at a time.
+#: Contexts of an anchor that one task compares (16 MB at most); neighbouring strings, and runs of words, of a block.
 GROUP = 20_000
-PART = 4096
+STRINGS, RUNS = 32, 8
 #: A shorter stretch is noted if it has more words than this.
 PASSAGE = 50
 
@@ -239,49 +241,118 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _spans(*out)
 
 
-def _pieces(before: bytes, after: bytes, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends, in the context, of the strings that an anchor stands for and of the shorter runs of PASSAGE + 1
-    words around it, and their hashes."""
-    data = np.frombuffer(before[::-1] + after, np.uint8)
-    starts = np.arange(len(before) - low, len(before) - high + 1)
-    ends = starts + LENGTH
-    first, last = word_spans(data, np.array([0, len(data)]))
-    if len(first) > PASSAGE:
-        first, last = first[:-PASSAGE], last[PASSAGE:]
-        here = (first <= len(before)) & (last >= len(before) + GRAM) & (last - first < LENGTH)
-        starts, ends = np.concatenate([starts, first[here]]), np.concatenate([ends, last[here]])
-    return starts, ends, span_hash(prefix_hash(data), starts, ends).view(np.int64)
+def _buffer(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts end to end, where they start, where their anchors lie, and how far before these the first and the last
+    string start."""
+    before, after = (batch.column(c).to_pylist() for c in ("before", "after"))
+    data = np.frombuffer(b"".join(x[::-1] + y for x, y in zip(before, after, strict=True)), np.uint8)
+    low, behind = (np.array([len(x) for x in c], np.int64) for c in (before, after))
+    offsets = np.concatenate([[0], np.cumsum(low + behind)]).astype(np.int64)
+    return data, offsets, offsets[:-1] + low, low, LENGTH - behind
 
 
-_STRINGS = "anchor long, string long, n long"
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """count[i] whole numbers from first[i] on, for all i end to end, each behind its i."""
+    at = np.repeat(np.arange(len(count)), count)
+    return at, first[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings of hot anchors' contexts, counted within the batch."""
+def _runs(data: np.ndarray, offsets: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where words start and end; the first words of the runs of PASSAGE + 1 words and fewer than LENGTH bytes around
+    anchors, their contexts, and the words at the anchors."""
+    first, last = word_spans(data, offsets)
+    doc = np.searchsorted(offsets, first, side="right") - 1
+    n = max(0, len(first) - PASSAGE)
+    a, b, at = first[:n], last[len(last) - n :], doc[:n]
+    here = np.flatnonzero((at == doc[len(doc) - n :]) & (a <= place[at]) & (b >= place[at] + GRAM) & (b - a < LENGTH))
+    return first, last, here, at[here], np.searchsorted(last, place, side="right")
+
+
+def _names(sums: np.ndarray, start: np.ndarray, stop: np.ndarray, anchor: np.ndarray, place: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64 bits for what is read from start to stop and for where the anchor, and which, lies in it."""
+    away = ((place - start) * 2 + words).astype(np.int64).view(np.uint64)
+    return mix64(span_hash(sums, start, stop) + mix64(anchor.view(np.uint64) + mix64(away))).view(np.int64)
+
+
+_BLOCKS = "rid long, pos int, anchor long, known boolean, core long, block long, words boolean, start int, first int, last int, stop int"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of hot anchors' contexts, and the runs of words, by blocks of STRINGS or RUNS neighbours; core names what
+    all that may be of a block have in common, block what those of this context span. start, first: those of the first
+    one; last, stop: those of the last one."""
     for batch in batches:
-        held: list[np.ndarray] = []
-        for anchor, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "before", "after", "low", "high")), strict=True):
-            _, _, found = _pieces(*row)
-            held.append(np.stack([np.full(len(found), anchor, np.int64), found], 1))
-        pairs, n = np.unique(np.concatenate([*held, np.zeros((0, 2), np.int64)]), axis=0, return_counts=True)
-        yield pa.RecordBatch.from_pydict({"anchor": pa.array(pairs[:, 0], pa.int64()), "string": pa.array(pairs[:, 1], pa.int64()), "n": pa.array(n, pa.int64())})
+        data, offsets, place, low, high = _buffer(batch)
+        rid, pos, anchor = (batch.column(c).to_numpy() for c in ("rid", "pos", "anchor"))
+        sums = prefix_hash(data)
+        at, c = _ranges(-(low // STRINGS), low // STRINGS - high // STRINGS + 1)
+        core = place[at] + c * STRINGS
+        start, last = np.maximum(core - STRINGS + 1, (place - low)[at]), np.minimum(core, (place - high)[at])
+        columns = [[at, core, core + LENGTH + 1 - STRINGS, start, start + LENGTH, last, last + LENGTH]]
+        begin, end, run, doc, zero = _runs(data, offsets, place)
+        block = (run - zero[doc]) // RUNS
+        fresh = np.flatnonzero(np.diff(block, prepend=-LENGTH) | np.diff(doc, prepend=-1))
+        at, a, b = doc[fresh], run[fresh], run[np.append(fresh[1:], len(run)) - 1] if len(run) else run
+        base = zero[at] + block[fresh] * RUNS
+        columns.append([at, begin[base + RUNS - 1], end[base + PASSAGE], begin[a], end[a + PASSAGE], begin[b], end[b + PASSAGE]])
+        words = np.repeat([False, True], [len(c[0]) for c in columns])
+        at, core, core_stop, start, first, last, stop = (np.concatenate(c) for c in zip(*columns, strict=True))
+        names = [_names(sums, x, y, anchor[at], place[at], words) for x, y in ((core, core_stop), (start, stop))]
+        shift = (pos - place)[at]
+        out = [rid[at], pos[at], anchor[at], batch.column("known").to_numpy(zero_copy_only=False)[at], *names, words, start + shift, first + shift, last + shift, stop + shift]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int32()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
+
+
+_STRINGS = "string long, rid long, pos int, block long, wanted boolean, start int, stop int"
 
 
-def _hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts, each with a bounded part of its anchor's strings that occur twice."""
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings and runs of the blocks that are asked for of each context."""
     for batch in batches:
-        out: tuple[list[int], list[int], list[int]] = ([], [], [])
-        twice = batch.column("twice")
-        for i, (rid, pos, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rid", "pos", "before", "after", "low", "high")), strict=True)):
-            starts, ends, found = _pieces(*row)
-            hit = np.isin(found, twice[i].values.to_numpy())
-            whole = hit & (ends - starts == LENGTH)
-            for part in (whole, hit & ~whole):
-                if part.any():
-                    out[0].append(rid)
-                    out[1].append(pos - len(row[0]) + int(starts[part].min()))
-                    out[2].append(pos - len(row[0]) + int(ends[part].max()))
-        yield _spans(*out)
+        data, offsets, place, _, _ = _buffer(batch)
+        rid, pos, anchor = (batch.column(c).to_numpy() for c in ("rid", "pos", "anchor"))
+        asked = batch.column("blocks")
+        of = np.repeat(np.arange(len(rid)), asked.value_lengths().to_numpy(zero_copy_only=False))
+        fields = asked.flatten()
+        start, stop, words, wanted = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        shift = (place - pos)[of]
+        start, stop = start + shift, stop + shift
+        order = np.argsort(start, kind="stable")
+        plain, runs = order[~words[order]], order[words[order]]
+        k, a = _ranges(start[plain], stop[plain] - start[plain] - LENGTH + 1)
+        block, b = plain[k], a + LENGTH
+        if len(runs):
+            begin, end, run, _, _ = _runs(data, offsets, place)
+            x, y = begin[run], end[run + PASSAGE]
+            k = np.searchsorted(start[runs], x, side="right") - 1
+            here = (k >= 0) & (y <= stop[runs[k]])
+            block, a, b = (np.concatenate(c) for c in ((block, runs[k[here]]), (a, x[here]), (b, y[here])))
+        at = of[block]
+        string = _names(prefix_hash(data), a, b, anchor[at], place[at], words[block])
+        out = [string, rid[at], pos[at], (start - shift)[block] * 2 + words[block], wanted[block], a - shift[block], b - shift[block]]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _STRINGS.split(", ")])
+
+
+def _dealt(contexts: DataFrame) -> DataFrame:
+    """Spans of the contexts of hot anchors, a table that goes. Rows grow with the contexts: each has about a dozen blocks, a block that
+    recurs whole is covered whole, and of those that share only their core one each is taken apart."""
+    blocks = written(contexts.mapInArrow(_blocks, _BLOCKS), "blocks")
+    cores = written(blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n"), (F.min("block") < F.max("block")).alias("mixed")).filter("n > 1").select("core", "mixed"), "cores")
+    one = F.min(F.struct("rid", "pos", "known", "words", "start", "stop"))
+    same = written(blocks.join(cores, "core").groupBy("core", "block", "mixed").agg(F.count(F.lit(1)).alias("n"), one.alias("one")), "same")
+    again = blocks.filter("not known").join(same.filter("n > 1").select("core", "block"), ["core", "block"])
+    again = again.select("rid", F.struct("start", F.col("first").alias("stop")).alias("a"), F.struct(F.col("last").alias("start"), "stop").alias("b"))
+    asked = F.struct("one.start", "one.stop", "one.words", (~F.col("one.known") & (F.col("n") == 1)).alias("wanted"))
+    lists = same.filter("mixed").groupBy("one.rid", "one.pos").agg(F.collect_list(asked).alias("blocks"))  # of one context
+    strings = written(contexts.join(lists, ["rid", "pos"]).mapInArrow(_strings, _STRINGS), "strings")
+    drop(contexts, cores)
+    twice = written(strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("string"), "twice")
+    ends = F.struct("start", "stop")
+    hit = strings.filter("wanted").join(twice, "string").groupBy("rid", "pos", "block").agg(F.min(ends).alias("a"), F.max(ends).alias("b")).select("rid", "a", "b")
+    # what lies between the first and the last of a block is covered by these two, which overlap
+    return again.union(hit).select("rid", F.explode(F.array("a", "b")).alias("x")).select("rid", "x.start", "x.stop")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -314,12 +385,10 @@ def spans(texts: DataFrame) -> DataFrame:
         return texts.join(lists, "rid").mapInArrow(_cut, _CONTEXTS)
 
     cool = cut(False).select("anchor", "known", "rid", "pos", "before", "after").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare, _SPANS)
-    strings = cut(True).mapInArrow(_strings, _STRINGS).groupBy("anchor", "string").agg(F.sum("n").alias("n")).filter("n > 1")
-    part = F.pmod(F.col("string"), F.ceil(F.col("m") / PART))
-    sizes = strings.groupBy("anchor").agg(F.count("n").alias("m"))
-    twice = strings.join(sizes, "anchor").groupBy("anchor", part.alias("part")).agg(F.collect_list("string").alias("twice")).select("anchor", "twice")
-    hot = cut(True).filter("not known").join(twice, "anchor").mapInArrow(_hit, _SPANS)
-    return whole.union(cool).union(hot)
+    out = whole.union(cool)
+    if groups.filter("hot").limit(1).count():
+        out = out.union(_dealt(written(cut(True).select("anchor", "known", "rid", "pos", "before", "after"), "hot")))
+    return out
 
 
 def _merge(pairs: list[dict]) -> list[tuple[int, int]]:
