@@ -524,6 +524,20 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == [(n, c, c == i) for i, (n, c) in enumerate(want)]
 
 
+def test_near_duplicates_in_large_groups(spark):
+    """Most are near to some other of their group and not to the one that a list is first met with, and their least
+    common value is often one that either leaves out."""
+    rng = random.Random(33)
+    texts = []
+    for _ in range(25):
+        base = prose(120, rng)
+        texts += [edited(base, rng.randint(1, 3), rng) for _ in range(14)]
+        texts += [edited(x, rng.randint(1, 3), rng) for x in texts[-6:]]
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.deduplicated(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
 def test_near_duplicate_edges(spark):
     docs = frame(spark, [BASE, BASE]).union(frame(spark, [BASE])).union(frame(spark, ["other words here"]).withColumn("doc_id", F.lit(None).cast("long")))
     kept = neardup.keep_one(docs)

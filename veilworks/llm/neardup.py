@@ -236,12 +236,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 class Cell:
     """One cell of a list: a block with itself, or one block with another."""
 
-    def __init__(self, node: np.ndarray, root: np.ndarray, block: np.ndarray, n: np.ndarray, sketch: list[bytes], least: list[bytes], value: int, first: int, second: int):
+    def __init__(self, node: np.ndarray, root: np.ndarray, block: np.ndarray, n: np.ndarray, sketch: list[bytes], kept: list[np.ndarray], value: int, first: int, second: int):
         order = np.argsort(node, kind="stable")
         self.node, self.root, self.block, self.n = node[order], root[order], block[order], n[order]
         self.sets = table([sketch[i] for i in order])
-        self.least = table([least[i] for i in order], INDEXED, np.uint64)
-        self.own, self.first, self.second = np.array(value, np.int64).view(np.uint64), first, second
+        self.kept = table([kept[i] for i in order], INDEXED, np.int64)
+        self.own, self.first, self.second = value, first, second
 
     def _far(self, i: int, j: int) -> np.ndarray:
         """Pairs of rows i to j with all rows: of different components, of the cell's blocks, each once."""
@@ -271,8 +271,9 @@ class Cell:
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of candidates and their estimates.
 
-        A pair is looked at only in the list of the least value that both index, so it comes from one list. In cells
-        that are not small, pairs that share too few of their least values go first.
+        A pair is looked at only in the list of the least value that both keep, so it comes from one list: one that
+        either leaves out has not both of them. In cells that are not small, pairs that share too few of their least
+        values go first.
         """
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         shared = self._shared()
@@ -285,8 +286,8 @@ class Cell:
             x += i
             for k in range(0, len(x), STRIP):
                 p, q = x[k : k + STRIP], y[k : k + STRIP]
-                same = (self.least[p][:, :, None] == self.least[q][:, None, :]).any(2)
-                lead = self.least[p, same.argmax(1)]
+                same = (self.kept[p][:, :, None] == self.kept[q][:, None, :]).any(2)
+                lead = self.kept[p, same.argmax(1)]
                 here = same.any(1) & (lead == self.own)
                 p, q = p[here], q[here]
                 score = estimates(self.sets[p], self.n[p], self.sets[q], self.n[q])
@@ -325,9 +326,13 @@ class Cell:
         return self.node[p[keep]], self.node[q[keep]]
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    return np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1]) if len(column) else []
+
+
 def _cells(how: str):
     """Rows come by cell; a cell, which is bounded, is held at a time."""
-    names = ("node", "root", "block", "n_shingles", "sketch", "least", "value", "first", "second")
+    names = ("node", "root", "block", "n_shingles", "sketch", "kept", "value", "first", "second")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
@@ -348,7 +353,7 @@ def _cells(how: str):
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() if c in ("sketch", "least") else batch.column(c).to_numpy() for c in names]
+            columns = [batch.column(c).to_pylist() if c == "sketch" else _lists(batch.column(c)) if c == "kept" else batch.column(c).to_numpy() for c in names]
             keys = np.stack(columns[6:], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             out: tuple[list, list] = ([], [])
@@ -367,14 +372,15 @@ def _cells(how: str):
 
 
 def rest_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame, how: str) -> DataFrame:
-    """Candidates between components that share a list, from cells of bounded blocks; how: forest or all."""
+    """Candidates between components that share a list, from cells of bounded blocks; how: forest or all. kept: the
+    values of a class that postings have."""
     rows = postings.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rows.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
     open_ = open_.select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(open_, "value").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("value", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "node", "root", "block")
-    cells = cells.join(classes.select("node", "sketch", "least", "n_shingles"), "node")
+    cells = cells.join(classes.select("node", "sketch", "kept", "n_shingles"), "node")
     n, key = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["value", "first", "second"]
     return cells.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_cells(how), "a long, b long").distinct()
 
@@ -385,7 +391,8 @@ def link(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     values = written(kept_values(classes), "values")
     lists = values.groupBy("value").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     postings = written(values.join(lists.select("value", "hub"), "value"), "postings")
-    listed = written(classes.join(postings.select("node").distinct(), "node", "left_semi"), "listed")
+    kept = postings.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("kept"))  # INDEXED at most
+    listed = written(classes.drop("least").join(kept, "node"), "listed")
     drop(values, classes)
     texts = written(bodies(docs, listed.select("node", "at")), "bodies")
     stars = postings.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
